@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, langid, simhash
+from . import ann, decontam, langid, packing, pii, simhash, tokencount, tokenfile
 
 QUERIES = {
     "op2_ann": ann.op2_ann,
     "op4_langid": langid.op4_langid,
+    "op5_tokenfile": tokenfile.op5_tokenfile,
     "op6_simhash": simhash.op6_simhash,
+    "op7_decontam": decontam.op7_decontam,
+    "op8_pii": pii.op8_pii,
+    "op9_packing": packing.op9_packing,
+    "op10_tokencount": tokencount.op10_tokencount,
 }
 
 #: Operators that SQL can express; the others are held against brute force in tests/llm.

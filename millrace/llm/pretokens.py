@@ -26,8 +26,34 @@ BYTE_PATTERN = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 WORD_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
-#: Entries of a worker's cache; when full it starts anew.
-CACHE = 300_000
+#: Entries of a worker's cache; full, it becomes the old one, of which what is asked for again returns.
+CACHE = 250_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {i: chr(i) if i in plain else chr(next(rest)) for i in range(256)}
+
+
+class Known(dict):
+    """Pre-token -> ids as bytes; what is missing goes through the library's model."""
+
+    def __init__(self, library: Tokenizer, size: int) -> None:
+        super().__init__()
+        self.tokenize, self.size, self.old = library.model.tokenize, size, {}
+        self.letters = str.maketrans(_byte_letters())
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = _packed([x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        self[word] = ids
+        return ids
 
 
 class PretokenEncoder:
@@ -37,32 +63,23 @@ class PretokenEncoder:
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.words = name.startswith("word")
         self.find = (WORD_PATTERN if self.words else BYTE_PATTERN).findall
-        self.size, self.known = cache, {}
+        self.known = Known(self.library, cache)
 
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Make every pre-token of new known; a full cache is dropped first, except for what is asked."""
-        missing = [x for x in new if x not in self.known]
-        if len(self.known) + len(missing) > self.size:
-            self.known = {x: self.known[x] for x in new if x in self.known}
-        for i in range(0, len(missing), 50_000):
-            part = missing[i : i + 50_000]
-            for x, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = _packed(e.ids)
-        return self.known
-
     def split(self, text: str) -> list[str] | None:
         """Pre-tokens, or None if the text must go through the library whole."""
         if OTHER.search(text):
             return None
         return self.find(text.lower() if self.words else text)
 
+    def encode_one(self, text: str) -> bytes:
+        cut = self.split(text)
+        return self.whole(text) if cut is None else b"".join(map(self.known.__getitem__, cut))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.split(x) for x in texts]
-        known = self.learn(set().union(*(x for x in cut if x)))
-        return [self.whole(t) if c is None else b"".join([known[x] for x in c]) for t, c in zip(texts, cut, strict=True)]
+        return [self.encode_one(x) for x in texts]
 
 
 def _packed(ids: list[int]) -> bytes:

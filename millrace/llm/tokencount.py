@@ -36,16 +36,14 @@ Edit = tuple[int, int, str]
 class TokenTree:
     """Counts of a text by leaf, summed in a segment tree."""
 
-    def __init__(self, text: str, code: PretokenEncoder, cut: list[str] | None = None) -> None:
-        """cut: the text's pre-tokens, if they are known already."""
+    def __init__(self, text: str, code: PretokenEncoder) -> None:
         self.text, self.code = text, code
         self.whole = "<|" in text
         self.encoded = 0
         if self.whole:
             parts = [[text]]
         else:
-            if cut is None:
-                cut = (_any if OTHER.search(text) else BYTE_PATTERN).findall(text)
+            cut = (_any if OTHER.search(text) else BYTE_PATTERN).findall(text)
             parts = [cut[i : i + LEAF] for i in range(0, len(cut), LEAF)] or [[]]
         self.leaves = [(list(map(len, p)), self.count(p)) for p in parts]
         self.encoded = 0  # of what follows only
@@ -56,11 +54,7 @@ class TokenTree:
         if self.whole:
             return [len(self.code.whole(x)) >> 2 for x in parts]
         known = self.code.known
-        try:
-            return [len(known[x]) >> 2 for x in parts]
-        except KeyError:
-            known = self.code.learn(set(parts))
-            return [len(known[x]) >> 2 for x in parts]
+        return [len(known[x]) >> 2 for x in parts]
 
     def build(self) -> None:
         self.size = 1 << max(len(self.leaves) - 1, 0).bit_length()
@@ -179,11 +173,9 @@ def recount(docs: DataFrame, edits_of: object, vocabulary: str = "byte_bpe_50k.j
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
         for b in chunks(batches, "text"):
-            rows, texts = [], b.column("text").to_pylist()
-            cuts = [code.split(x) for x in texts]
-            code.learn(set().union(*(x for x in cuts if x)))  # new pre-tokens of all texts at once
-            for doc_id, text, parts in zip(b.column("doc_id").to_pylist(), texts, cuts, strict=True):
-                tree = TokenTree(text, code, parts)
+            rows = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                tree = TokenTree(text, code)
                 before, cut, edits = tree.total(), sum(len(x) for x, _ in tree.leaves), edits_of(text)
                 rows.append((doc_id, before, len(edits), tree.edit(edits), cut, tree.encoded))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)

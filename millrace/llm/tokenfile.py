@@ -78,7 +78,10 @@ class ShardWriter:
         self.name, self.width = name, width
         self.temporary = f"{self.folder}/.{name}-{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.temporary)
-        self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
+        held = _dictionary(dictionary)
+        if held:
+            held.precompute_compress(level=LEVEL)  # else each short document pays for digesting it
+        self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=True)
         self.out.write(HEAD.pack(MAGIC, dictionary_hash(dictionary), width, 0))
         self.at, self.index = HEAD.size, []
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, packing, pii, simhash, tokencount, tokenfile
+from . import ann, decontam, langid, licenses, packing, pii, repeats, simhash, tokencount, tokenfile
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_ann": ann.op2_ann,
+    "op3_repeats": repeats.op3_repeats,
     "op4_langid": langid.op4_langid,
     "op5_tokenfile": tokenfile.op5_tokenfile,
     "op6_simhash": simhash.op6_simhash,

@@ -181,15 +181,15 @@ def repeated_suffixes(text: np.ndarray, length: int) -> np.ndarray:
 def repeated_in(parts: list[bytes], twice: list[bool], length: int) -> list[list[tuple[int, int]]]:
     """Runs [a, b) of string starts in each context whose strings are found again among all contexts."""
     pieces, places, at = [], [], 0
-    for x, double in zip(parts, twice, strict=True):
+    for x in parts:
         places.append(at)
-        for _ in range(2 if double else 1):
-            pieces += [x, b"\xff"]
-            at += len(x) + 1
+        pieces += [x, b"\xff"]
+        at += len(x) + 1
     flags = repeated_suffixes(np.frombuffer(b"".join(pieces), np.uint8), length)
     out = []
-    for x, place in zip(parts, places, strict=True):
-        own = np.concatenate(([False], flags[place : place + len(x) - length + 1], [False]))
+    for x, place, double in zip(parts, places, twice, strict=True):
+        # a context's multiplicity counts in the width of its strings' intervals
+        own = np.concatenate(([False], flags[place : place + len(x) - length + 1] | double, [False]))
         edges = np.flatnonzero(own[1:] != own[:-1]).tolist()
         out.append(list(zip(edges[::2], edges[1::2], strict=True)))
     return out
@@ -257,7 +257,6 @@ def expand(found: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for key, digest, part, weight in zip(*(b.column(x).to_pylist() for x in ("key", "digest", "content", "weight")), strict=True):
                 if keys and key == keys[-1] and digest == digests[-1]:
-                    size += len(part) if weights[-1] == 1 else 0
                     weights[-1] = 2
                     continue
                 if size >= BATCH and key != keys[-1]:
@@ -267,7 +266,7 @@ def expand(found: DataFrame, length: int) -> DataFrame:
                 digests.append(digest)
                 parts.append(part)
                 weights.append(weight)
-                size += len(part) * min(weight, 2)
+                size += len(part)
         yield done()
 
     dealt = found.select("key", "digest", "content", "weight").repartition("key").sortWithinPartitions("key", "digest")
@@ -303,6 +302,12 @@ def repeated_runs(candidates: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
+def _once_or_twice(keys: np.ndarray) -> np.ndarray:
+    """Each key once, or twice if there are more of it."""
+    found, n = np.unique(keys, return_counts=True)
+    return np.repeat(found, np.minimum(n, 2))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     k = GRAMS[0] if length > GRAMS[0] else length
@@ -315,7 +320,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys: list[list[np.ndarray]] = [[] for _ in texts]
             for i, h, _, _ in contexts(texts, length, k):
                 keys[i].append(h.view(np.int64))
-            keys = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in keys]
+            keys = [_once_or_twice(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in keys]
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([b.column("sha"), b.column("doc_id"), flat], ["sha", "doc_id", "keys"])
 

@@ -22,11 +22,9 @@ def one(*ids: int) -> Column:
 
 def strip_bounds(a: Column, bos: int = BOS, eos: int = EOS) -> tuple[Column, Column]:
     """[begin, end) without all leading bos and all trailing eos ids."""
-    places = F.sequence(F.lit(0), F.size(a) - 1)
-    inner = F.when(F.size(a) > 0, F.filter(places, lambda i: F.get(a, i) != bos))
-    begin = F.coalesce(F.array_min(inner), F.size(a))
-    tail = F.when(F.size(a) > 0, F.filter(places, lambda i: (F.get(a, i) != eos) & (i >= begin)))
-    return begin, F.coalesce(F.array_max(tail) + 1, begin)
+    begin = F.coalesce(F.array_min(F.transform(a, lambda x, i: F.when(x != bos, i))), F.size(a))
+    end = F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(x != eos, i + 1))), F.lit(0))
+    return begin, F.greatest(begin, end)
 
 
 def strip(a: Column, bos: int = BOS, eos: int = EOS) -> Column:

@@ -8,6 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 
 def seed_of(key: str) -> int:
@@ -32,7 +33,7 @@ def random_split(n: int, rng: random.Random) -> tuple[int, int]:
     return left, rng.randint(left + 1, n - 1)
 
 
-@F.pandas_udf("coin double, left_end int, middle_end int")
+@F.pandas_udf(StructType().add("coin", DoubleType()).add("left_end", IntegerType()).add("middle_end", IntegerType()))
 def split_draws(seed: pd.Series, key: pd.Series, n: pd.Series) -> pd.DataFrame:
     """The coin, then the cuts, of each key: the order in which they are drawn is part of the result."""
     rows = []
@@ -42,7 +43,7 @@ def split_draws(seed: pd.Series, key: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["coin", "left_end", "middle_end"])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def sample_sorted(seed: pd.Series, items: pd.Series, k: pd.Series) -> pd.Series:
     """k of items without replacement, in ascending order; all of them if there are no more."""
     return pd.Series([sorted(random.Random(int(s)).sample(list(x), int(c))) if c < len(x) else list(x) for s, x, c in zip(seed, items, k, strict=True)])

@@ -1 +1,6 @@
+"""Queries over the driver's tables; importing this registers them all."""
 
+from . import corpus
+from .registry import ORACLES, QUERIES, query
+
+__all__ = ["ORACLES", "QUERIES", "corpus", "query"]

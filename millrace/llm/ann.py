@@ -11,8 +11,9 @@ Exact copies of a vector beyond the k + 1 smallest ids can't be among anyone's k
 the smaller id; they are set aside before tiles are formed, so that a hot vector makes no hot block.
 
 Defined results: vectors null, empty, zero or with null or non-finite components take no part, as query
-or candidate; nor do null ids, nor vectors of another length than the query's; a repeated vec_id counts
-once a row, and a query's own rows (same vec_id) are never its candidates; an empty table gives an empty
+or candidate; nor do null ids, nor vectors of another length than the query's; a repeated vec_id is
+a candidate once a row, but asks once, with its smallest vector; a query's own rows (same vec_id) are never
+its candidates; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -123,6 +124,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(vec_id, v) twice -> query_id, rank, vec_id, score: each query's k nearest, ties to the smaller vec_id."""
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     left, right = pack(queries, query_block, 1), pack(lean(vectors, k), block, 2)
     numbers = right.select("block").distinct()
     # a row for each tile of the stated query set against all blocks; rows are whole blocks

@@ -24,3 +24,13 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage in the folder of spark.checkpoint.dir, which executors share; a temporary one where none is set (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()

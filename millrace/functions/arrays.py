@@ -22,18 +22,20 @@ def one(*ids: int) -> Column:
 
 def strip_bounds(a: Column, bos: int = BOS, eos: int = EOS) -> tuple[Column, Column]:
     """[begin, end) without all leading bos and all trailing eos ids."""
-    begin = F.coalesce(F.array_min(F.transform(a, lambda x, i: F.when(x != bos, i))), F.size(a))
-    end = F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(x != eos, i + 1))), F.lit(0))
+    # the passes over the array are taken only where an end needs them
+    begin = F.when(F.get(a, F.lit(0)) != bos, 0).otherwise(F.coalesce(F.array_min(F.transform(a, lambda x, i: F.when(x != bos, i))), F.size(a)))
+    end = F.when(F.get(a, F.size(a) - 1) != eos, F.size(a)).otherwise(F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(x != eos, i + 1))), F.lit(0)))
     return begin, F.greatest(begin, end)
 
 
 def strip(a: Column, bos: int = BOS, eos: int = EOS) -> Column:
     begin, end = strip_bounds(a, bos, eos)
-    return cut(a, begin, end)
+    bare = (F.get(a, F.lit(0)) != bos) & (F.get(a, F.size(a) - 1) != eos)
+    return F.when(bare, a).otherwise(cut(a, begin, end))
 
 
 def cap(a: Column, n: int | None) -> Column:
-    return a if n is None else cut(a, 0, max(n, 0))
+    return a if n is None else F.when(F.size(a) <= n, a).otherwise(cut(a, 0, max(n, 0)))
 
 
 def clean_ltr(a: Column) -> Column:

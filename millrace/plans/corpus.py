@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import windows as W
-from ..session import table
+from ..session import settle, table
 from .registry import query
 
 #: Words of a document, as both engines cut them.
@@ -70,13 +70,18 @@ def threshold(scores: DataFrame, low: float | None, high: float | None, fraction
     return kept if fraction <= 0 else lowest_dropped(kept, "ppl", key, F.expr(f"int(n * {fraction})"))
 
 
-def global_rank(df: DataFrame, order: list, tie: str, buckets: int = 256) -> DataFrame:
-    """row_number over a total order without one task for all rows: range partitions, their counts, ranks inside."""
-    parts = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_n", "_before")
+def global_rank(df: DataFrame, order: list, tie: str) -> DataFrame:
+    """row_number over a total order without one task for all rows: range partitions, their counts, ranks inside.
+
+    The partitioned rows are settled first: their numbers must mean the same to the counts and to the ranks.
+    Callers keep df to the columns that they need.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return ranked.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def lowest_dropped(df: DataFrame, score: str, key: str, drop) -> DataFrame:  # noqa: ANN001

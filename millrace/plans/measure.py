@@ -312,9 +312,10 @@ SELECT n.arm, CAST(g.i AS INTEGER) AS i, (SELECT count(*) FROM v WHERE v.arm = n
 def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values at or above each threshold: each value is put to its last threshold once, and counts are summed from above."""
     steps = 51
-    grid = S.log_grid(0.01, 1.0, steps)
-    last = F.size(F.filter(grid, lambda t: F.col("l_discount") >= t * (1 - 1e-9)))
-    v = facts(spark, sf_dir).select("arm", F.when(F.col("l_discount") > 0, last).otherwise(0).alias("above")).groupBy("arm", "above").agg(F.count("*").alias("k"))
+    # the grid is even in logarithms, so a value's last threshold is a division; the slack is the grid's rounding
+    last = F.floor((F.log10("l_discount") + 2) * ((steps - 1) / 2) + 1e-7) + 1
+    last = F.greatest(F.least(last, F.lit(steps)), F.lit(0))
+    v = facts(spark, sf_dir).select("arm", F.when(F.col("l_discount") > 0, last).otherwise(0).cast("int").alias("above")).groupBy("arm", "above").agg(F.count("*").alias("k"))
     n = v.groupBy("arm").agg(F.sum("k").alias("n"))
     every = n.select("arm", "n", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
     counted = every.join(v.withColumn("i", F.col("above") - 1), ["arm", "i"], "left")

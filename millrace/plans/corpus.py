@@ -73,11 +73,12 @@ def threshold(scores: DataFrame, low: float | None, high: float | None, fraction
 def global_rank(df: DataFrame, order: list, tie: str) -> DataFrame:
     """row_number over a total order without one task for all rows: range partitions, their counts, ranks inside.
 
-    The partitioned rows are settled first: their numbers must mean the same to the counts and to the ranks.
+    Rows are settled before, as range partitioning reads them twice, and once partitioned: partitions' numbers
+    must mean the same to the counts and to the ranks.
     Callers keep df to the columns that they need.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    parts = settle(settle(df).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

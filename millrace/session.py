@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,10 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir, which executors share; a temporary one where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+    """Write df once to the folder of spark.checkpoint.dir, which executors share, and read it back.
+
+    Lineage is cut, lost executors cost no recomputation, and the rows keep their partitions' numbers. Where no
+    folder is set (tests), a temporary one is.
+    """
+    spark = df.sparkSession
+    home = spark.conf.get("spark.checkpoint.dir", None)
+    if not home:
+        home = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", home)
+    path = f"{home.rstrip('/')}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -197,13 +197,21 @@ def repeated_in(parts: list[bytes], twice: list[bool], length: int) -> list[list
 
 # --- the stages ---
 
-CONTEXT = "key long, digest binary, content binary, cid long, start long, weight int"
+#: lead and multiplicity: the first of equal contexts in a batch stands for them all when strings are compared.
+CONTEXT = "key long, digest binary, content binary, cid long, start long, weight int, lead boolean, multiplicity int"
 
 
 def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
+    first: dict[tuple[int, bytes], int] = {}
+    lead, many = [False] * len(rows), [0] * len(rows)
+    for i, r in enumerate(rows):
+        j = first.setdefault(r[:2], i)
+        lead[j] = True
+        many[j] = min(many[j] + r[5], 2)
     kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
     names = ["key", "digest", "content", "cid", "start", "weight"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(lead, pa.bool_()), pa.array(many, pa.int32())], [*names, "lead", "multiplicity"])
 
 
 def _digest(x: bytes) -> bytes:
@@ -269,7 +277,7 @@ def expand(found: DataFrame, length: int) -> DataFrame:
                 size += len(part)
         yield done()
 
-    dealt = found.select("key", "digest", "content", "weight").repartition("key").sortWithinPartitions("key", "digest")
+    dealt = found.filter("lead").select("key", "digest", "content", F.col("multiplicity").alias("weight")).repartition("key").sortWithinPartitions("key", "digest")
     return dealt.mapInArrow(run, "key long, digest binary, runs array<struct<a: int, b: int>>")
 
 

@@ -33,11 +33,10 @@ def window_scores(tokens: DataFrame, length: int = 64, stride: int = 64) -> Data
     """doc_id, window_index, window_start, ppl under an add-one unigram model of the table itself."""
     counts = tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    # one pass of each window's distinct words keeps the join to the counts small
     inside = W.sliding(tokens.filter(F.size("t") >= length), "t", length, stride).select("doc_id", "window_index", "window_start", F.explode("t").alias("word"))
-    inside = inside.groupBy("doc_id", "window_index", "window_start", "word").agg(F.count("*").alias("k"))
-    nll = F.sum(F.col("k") * -F.log((F.col("c") + 1) / (F.col("n") + F.col("v")))) / F.greatest(F.sum("k"), F.lit(1))
-    scored = inside.join(counts, "word").crossJoin(F.broadcast(total)).groupBy("doc_id", "window_index", "window_start").agg(nll.alias("nll"))
+    # a word's cost is worked out once, where it is counted
+    cost = counts.crossJoin(F.broadcast(total)).select("word", (-F.log((F.col("c") + 1) / (F.col("n") + F.col("v")))).alias("cost"))
+    scored = inside.join(cost, "word").groupBy("doc_id", "window_index", "window_start").agg(F.avg("cost").alias("nll"))
     ppl = F.when(F.col("nll") < 50, F.exp(F.least("nll", F.lit(50.0)))).otherwise(float("inf"))
     return scored.select("doc_id", "window_index", "window_start", F.round(ppl, 6).alias("ppl"))
 

@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing this registers them all."""
 
-from . import corpus, measure, sequences
+from . import corpus, measure, reports, sequences
 from .registry import ORACLES, QUERIES, query
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "measure", "query", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "measure", "query", "reports", "sequences"]

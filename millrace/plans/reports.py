@@ -122,7 +122,7 @@ def mdl2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mdl5_nll", f"""WITH {LM.replace("LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx)", "JOIN c USING (ctx, token) JOIN (SELECT ctx, ln(sum(exp(logit))) AS z FROM c GROUP BY ctx) USING (ctx)").replace("rank, logit - z", "logit - z")}
-SELECT doc_id, round(-sum(lp), 6) AS nll_sum, round(-avg(lp), 6) AS nll, round(exp(-avg(lp)), 6) AS ppl FROM x GROUP BY doc_id""")
+SELECT doc_id, round(0.0 - sum(lp), 6) AS nll_sum, round(0.0 - avg(lp), 6) AS nll, round(exp(-avg(lp)), 6) AS ppl FROM x GROUP BY doc_id""")
 def mdl5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Teacher-forced cost of ten target words under the table model, over all its continuations."""
     g, logits = table_model(spark, sf_dir)

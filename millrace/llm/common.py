@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Bytes of text that one step of a Python function holds in working arrays.
 CHUNK_BYTES = 4 << 20
+#: Parts that the rows of one key are spread over in spread_join.
+SPREAD = 256
 
 
 def prepare(spark: SparkSession) -> None:
@@ -66,6 +68,18 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             yield batch.slice(begin)
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join the rows of many to at most one row a key, however many rows share a key.
+
+    Rows of many fall into SPREAD parts by the hash of the columns in by. The row of a key goes to the parts
+    that its key's rows are in, and no others: no task gathers a key's rows, and one grows to no more rows than
+    many has. many is read twice.
+    """
+    many = many.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(SPREAD)))
+    places = many.select(*keys, "_part").distinct()
+    return many.join(places.join(one, keys), [*keys, "_part"], how).drop("_part")
+
+
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(u, v) long -> (node, root): root is the smallest node reachable. Alternating large and small stars.
 

@@ -10,7 +10,8 @@ exactly; bytes that such strings cover are removed.
    anchor every eighty bytes or so. Strings whose anchor occurs once can't repeat and are left out.
 3. The strings of a repeated anchor make a context, the bytes that they cover. Contexts are dealt by
    anchor, so equal strings meet in one task, in batches of about BATCH bytes; equal contexts count once,
-   at most twice where they repeat. A batch's contexts are joined and sorted by their first 256 symbols
+   at most twice where they repeat, and those of one part are made one before they are dealt. A batch's
+   contexts are joined and sorted by their first 256 symbols
    into a Burrows-Wheeler transform. From the intervals of prefixes of 16 symbols, backward extension
    breadth-first sets each boundary between neighbouring suffixes at its common prefix's length, shortest
    first; an interval whose boundary was set before is not extended again. After LENGTH - 1 the
@@ -31,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, table
+from .common import chunks, materialize, spread_join, table
 
 LENGTH = 200
 #: Lengths of the k-grams that anchors are taken from; later ones for hot anchors.
@@ -246,6 +248,17 @@ def cut_contexts(found: DataFrame, length: int, k: int) -> DataFrame:
 def expand(found: DataFrame, length: int) -> DataFrame:
     """Contexts -> (key, digest, runs): runs of string starts that repeat, where there are any."""
 
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # in order of key and digest: equal contexts of a batch become one
+            if not b.num_rows:
+                continue
+            key, digest = b.column("key"), b.column("digest")
+            new = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.not_equal(digest[1:], digest[:-1])).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], new)))
+            weights = np.minimum(np.add.reduceat(b.column("weight").to_numpy(), first), 2)
+            rows = b.take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in ("key", "digest", "content")), pa.array(weights, pa.int32())], ["key", "digest", "content", "weight"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, digests, parts, weights, size = [], [], [], [], 0
 
@@ -269,7 +282,8 @@ def expand(found: DataFrame, length: int) -> DataFrame:
                 size += len(part)
         yield done()
 
-    dealt = found.select("key", "digest", "content", "weight").repartition("key").sortWithinPartitions("key", "digest")
+    own = found.select("key", "digest", "content", "weight").sortWithinPartitions("key", "digest")
+    dealt = own.mapInArrow(combine, "key long, digest binary, content binary, weight int").repartition("key").sortWithinPartitions("key", "digest")
     return dealt.mapInArrow(run, "key long, digest binary, runs array<struct<a: int, b: int>>")
 
 
@@ -290,8 +304,8 @@ def repeated_runs(candidates: DataFrame, length: int = LENGTH) -> DataFrame:
                 later = cut_contexts(found.join(hot, "key", "left_semi"), length, grams[level + 1])
                 found = found.join(hot, "key", "left_anti")
         runs = expand(found, length)
-        lean = found.select("key", "digest", "cid", "start")
-        own = lean.join(runs, ["key", "digest"]).select("cid", "start", F.explode("runs").alias("r"))
+        own = spread_join(found.select("key", "digest", "cid", "start"), runs, ["key", "digest"], ["cid", "start"])
+        own = own.select("cid", "start", F.explode("runs").alias("r"))
         own = own.select("cid", (F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") + length - 1).alias("end"))
         out = own if out is None else out.unionByName(own)
         if later is None:
@@ -328,7 +342,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = long.select("sha", "doc_id", "text").mapInArrow(mark, "sha string, doc_id long, keys array<long>")
     classes = marked.groupBy("sha").agg(F.first("keys").alias("keys"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"), F.min("doc_id").alias("doc_id"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    each = classes.select("cid", "weight", F.explode("keys").alias("key")).repartition("key")
+    each = classes.select("cid", "weight", F.explode("keys").alias("key"))
     again = each.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1").select("key")
     wanted = each.join(again, "key").groupBy("cid").agg(F.collect_set("key").alias("keys"))
     wanted = classes.select("cid", "weight", F.col("sha").alias("class_sha"), F.col("doc_id").alias("class_doc")).join(wanted, "cid")

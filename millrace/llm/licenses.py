@@ -11,7 +11,8 @@ point where a unit without any of them can't reach the threshold any more, so no
 A file is a licence file by its name (LICENSE, COPYING, NOTICE and the like), or if its notices hold at
 least half of its words. A file without a notice takes the licence of the nearest directory above it that
 has a licence file: its directory's ancestors, once for each distinct directory, are joined to the
-directories of licence files by path, and files to their directories.
+directories of licence files by path, and files to their directories. Both joins spread the rows of a
+directory that is above or around very many.
 
 Defined results: null and empty texts have no notice but inherit; a null path has no directory and
 inherits nothing; of several notices, or licence files in a directory, the largest cosine (to 9 digits)
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, table
+from .common import chunks, materialize, spread_join, table
 
 THRESHOLD = 0.7
 WORD = re.compile(r"[a-z0-9]+")
@@ -194,9 +195,9 @@ def inherit(scanned: DataFrame) -> DataFrame:
     steps = F.expr("transform(sequence(0, size(parts)), i -> struct(array_join(slice(parts, 1, size(parts) - i), '/') as above, i as distance))")
     parts = F.expr("if(dir = '', cast(array() as array<string>), split(dir, '/'))")
     above = wanted.withColumn("parts", parts).select("dir", F.explode(steps).alias("a")).select("dir", "a.above", "a.distance")
-    nearest = above.join(given, "above").groupBy("dir").agg(F.min(F.struct("distance", "from_license", "from_score")).alias("near"))
+    nearest = spread_join(above, given, ["above"], ["dir"]).groupBy("dir").agg(F.min(F.struct("distance", "from_license", "from_score")).alias("near"))
     own, bare = scanned.filter("license is not null"), scanned.filter("license is null")
-    bare = bare.join(nearest, "dir", "left").select(
+    bare = spread_join(bare, nearest, ["dir"], ["file_id", "path"], "left").select(
         "file_id", "path", F.col("near.from_license").alias("license"), F.col("near.from_score").alias("score"), "is_license_file",
         F.when(F.col("near").isNull(), "none").otherwise("inherited").alias("origin"), F.col("near.distance").alias("distance"),
     )

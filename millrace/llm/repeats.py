@@ -43,7 +43,7 @@ LENGTH = 200
 GRAMS = (40, 120, 180)
 HOT = 4096
 #: Bytes of a batch that a transform is built over; of a text that anchors are taken from at once.
-BATCH, PIECE = 1 << 20, 1 << 20
+BATCH, PIECE = 1 << 18, 1 << 20
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 _rng = np.random.default_rng(23)

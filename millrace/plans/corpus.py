@@ -13,7 +13,7 @@ from .registry import query
 
 #: Words of a document, as both engines cut them.
 WORDS = r"w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS t FROM documents)"
-#: Code points of a document's first 200 characters as token ids, and of every whole text.
+#: Code points of whole texts as token ids.
 CODES = "c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)) AS t FROM documents)"
 
 
@@ -142,17 +142,15 @@ def str2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.char_slice(F.col("text"), 10, 60).alias("part"), F.length("text").cast("long").alias("n"))
 
 
-@query("str4_normalize_key", r"""SELECT doc_id, nullif(trim(regexp_replace(lower(regexp_replace(strip_accents(replace(replace(substr(text, 1, 80), 'ß', 'ss'), 'ẞ', '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), '') AS title_key FROM documents
-WHERE NOT regexp_matches(substr(text, 1, 80), '[0-9\[]')""")
+@query("str4_normalize_key", r"""SELECT doc_id, nullif(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(replace(text, 'ß', 'ss'), 'ẞ', '')), '[^\x00-\x7F]', '', 'g'), ',?\s*\b\d{3,4}\s*-\s*\d{0,4}\b', ' ', 'g'), '\[[^\]]+\]', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), '') AS title_key FROM documents""")
 def str4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 80)
-    return docs(spark, sf_dir).filter(~head.rlike(r"[0-9\[]")).select("doc_id", T.normalize_key(head).alias("title_key"))
+    return docs(spark, sf_dir).select("doc_id", T.normalize_key("text").alias("title_key"))
 
 
-@query("str5_str7_terms", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(substr(text, 1, 120), ',', ';'), ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS terms FROM documents)
+@query("str5_str7_terms", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, ',', ';'), ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS terms FROM documents)
 SELECT doc_id, len(terms) AS n_terms, terms[1] AS first, CASE WHEN len(terms) > 1 THEN terms[1] || ' | ' || terms[2] END AS work_key FROM p""")
 def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = T.terms(F.translate(F.substring("text", 1, 120), ",", ";"))
+    terms = T.terms(F.translate("text", ",", ";"))
     first, second = F.get(terms, F.lit(0)), F.get(terms, F.lit(1))
     return docs(spark, sf_dir).select("doc_id", F.size(terms).cast("long").alias("n_terms"), first.alias("first"), T.work_key(first, second).alias("work_key"))
 

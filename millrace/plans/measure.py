@@ -364,13 +364,22 @@ def mth8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- table language model ---
 
-LM = f"""{WORDS}, b AS (SELECT doc_id, t[1 : 60] AS t FROM w WHERE len(t) >= 60), g AS (SELECT doc_id, t, unnest(range(1, 60)) AS i FROM b), c AS (SELECT t[i] AS ctx, t[i + 1] AS token, ln(count(*)) AS logit FROM g GROUP BY ALL),
+LM = f"""{WORDS}, g AS (SELECT doc_id, len(t) AS size, unnest(range(1, len(t))) AS i, unnest(t[1 : len(t) - 1]) AS ctx, unnest(t[2 : len(t)]) AS token FROM w WHERE len(t) > 1), c AS (SELECT ctx, token, ln(count(*)) AS logit FROM g GROUP BY ALL),
+q AS (SELECT doc_id, i, ctx, token FROM g WHERE size >= 60 AND i BETWEEN 30 AND 39),
 r AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(logit, 6) DESC, token) AS rank FROM c), k AS (SELECT * FROM r WHERE rank <= 40), z AS (SELECT ctx, ln(sum(exp(logit))) AS z FROM k GROUP BY ctx),
-x AS (SELECT doc_id, i, rank, logit - z AS lp FROM (SELECT doc_id, i, t[i] AS ctx, t[i + 1] AS token FROM g WHERE i BETWEEN 30 AND 39) LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx))"""
+x AS (SELECT doc_id, i, rank, logit - z AS lp FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx))"""
+
+
+def table_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pos, ctx, token), (ctx, token, logit): ten targets after thirty words of each text of sixty or more, and the logarithms of how often all texts' words follow each other."""
+    t = tokens(spark, sf_dir).select("doc_id", F.size("t").alias("size"), F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("ctx"), F.expr("slice(t, 2, size(t) - 1)").alias("token")).alias("p")).filter("size > 1")
+    logits = t.select(F.explode("p").alias("p")).groupBy("p.ctx", "p.token").agg(F.log(F.count("*")).alias("logit"))
+    targets = t.filter("size >= 60").select("doc_id", F.posexplode(F.slice("p", 30, 10)).alias("at", "p")).select("doc_id", (F.col("at") + 29).alias("pos"), "p.ctx", "p.token")
+    return targets, logits
 
 
 def topk_scores(targets: DataFrame, logits: DataFrame, k: int, spare: float) -> DataFrame:
-    """targets (key, pos, ctx, token), logits (ctx, token, logit) -> each key's probability of its target, renormalised over the k best."""
+    """targets (key, pos, ctx, token), logits (ctx, token, logit) -> each key's probability of its target, renormalised over the k best. (The geometric mean is rounded a billionth up, so that exact halves agree.)"""
     w = Window.partitionBy("ctx").orderBy(F.desc(F.round("logit", 6)), "token")
     top = logits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     high = top.groupBy("ctx").agg(F.max("logit").alias("high"))
@@ -384,17 +393,15 @@ def topk_scores(targets: DataFrame, logits: DataFrame, k: int, spare: float) ->
 
     return g.select(
         "key", F.col("s").alias("supported"), F.round(F.when(F.col("log_p_z") > -S.INF, F.col("log_p_z")), 6).alias("log_p_z"), F.round(S.prob_from_log(F.col("log_p_z")), 9).alias("p_z"),
-        F.round(S.prob_from_log(F.col("log_p_z") / F.col("n")), 6).alias("geomean"), (F.col("log_p_z") >= math.log(spare) - 1e-9).cast("int").alias("extractable"),
+        F.round(S.prob_from_log(F.col("log_p_z") / F.col("n")) + 1e-9, 6).alias("geomean"), (F.col("log_p_z") >= math.log(spare) - 1e-9).cast("int").alias("extractable"),
     )
 
 
 @query("mdl4_win9_topk_target", f"""WITH {LM} SELECT doc_id AS key, count(rank) AS supported, CASE WHEN count(rank) = 10 THEN round(sum(lp), 6) END AS log_p_z, round(CASE WHEN count(rank) = 10 THEN exp(sum(lp)) ELSE 0 END, 9) AS p_z,
-round(CASE WHEN count(rank) = 10 THEN exp(sum(lp) / 10) ELSE 0 END, 6) AS geomean, CASE WHEN count(rank) = 10 AND sum(lp) >= ln(0.001) - 1e-9 THEN 1 ELSE 0 END AS extractable FROM x GROUP BY doc_id""")
+round(CASE WHEN count(rank) = 10 THEN exp(sum(lp) / 10) ELSE 0 END + 1e-9, 6) AS geomean, CASE WHEN count(rank) = 10 AND sum(lp) >= ln(0.001) - 1e-9 THEN 1 ELSE 0 END AS extractable FROM x GROUP BY doc_id""")
 def mdl4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(spark, sf_dir).filter(F.size("t") >= 60).select("doc_id", F.slice("t", 1, 60).alias("t"))
-    g = t.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(58)), lambda i: F.struct(F.get("t", i).alias("ctx"), F.get("t", i + 1).alias("token")))).alias("pos", "p")).select("doc_id", "pos", "p.ctx", "p.token")
-    logits = g.groupBy("ctx", "token").agg(F.log(F.count("*")).alias("logit"))
-    return topk_scores(g.filter("pos between 29 and 38").withColumnRenamed("doc_id", "key"), logits, 40, 0.001)
+    targets, logits = table_model(spark, sf_dir)
+    return topk_scores(targets.withColumnRenamed("doc_id", "key"), logits, 40, 0.001)
 
 
 ATT = """SELECT w, l, h, q, k, (k + 1 + h) / ((q + 1) * (q + 2) / 2 + h * (q + 1)) AS a FROM range(0, 12) x(w), range(0, 6) y(l), range(0, 2) z(h), range(4, 10) u(q), range(0, 10) v(k) WHERE k <= q"""

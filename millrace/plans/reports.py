@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..session import table
 from .corpus import WORDS, tokens
-from .measure import ARM, LM, facts, pooled
+from .measure import ARM, LM, facts, pooled, table_model
 from .registry import query
 
 RATE = "avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END)"
@@ -127,20 +127,12 @@ def mdl5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Teacher-forced cost of ten target words under the table model, over all its continuations."""
     g, logits = table_model(spark, sf_dir)
     z = logits.groupBy("ctx").agg(F.log(F.sum(F.exp("logit"))).alias("z"))
-    x = g.filter("pos between 29 and 38").join(logits, ["ctx", "token"]).join(z, "ctx")
+    x = g.join(logits, ["ctx", "token"]).join(z, "ctx")
     nll = F.avg(F.col("z") - F.col("logit"))
     return x.groupBy("doc_id").agg(F.round(F.sum(F.col("z") - F.col("logit")), 6).alias("nll_sum"), F.round(nll, 6).alias("nll"), F.round(S.safe_exp(nll), 6).alias("ppl"))
 
 
-def table_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Neighbouring words of each document's first sixty, and the logarithms of their counts."""
-    t = tokens(spark, sf_dir).filter(F.size("t") >= 60).select("doc_id", F.slice("t", 1, 60).alias("t"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(58)), lambda i: F.struct(F.get("t", i).alias("ctx"), F.get("t", i + 1).alias("token")))
-    g = t.select("doc_id", F.posexplode(pairs).alias("pos", "p")).select("doc_id", "pos", "p.ctx", "p.token")
-    return g, g.groupBy("ctx", "token").agg(F.log(F.count("*")).alias("logit"))
-
-
-@query("mdl6_greedy_decode", f"""WITH RECURSIVE {WORDS}, b AS (SELECT doc_id, t[1 : 60] AS t FROM w WHERE len(t) >= 60), g AS (SELECT doc_id, t, unnest(range(1, 60)) AS i FROM b), c AS (SELECT t[i] AS ctx, t[i + 1] AS token, count(*) AS n FROM g GROUP BY ALL),
+@query("mdl6_greedy_decode", f"""WITH RECURSIVE {WORDS}, b AS (SELECT doc_id, t FROM w WHERE len(t) >= 60), g AS (SELECT unnest(t[1 : len(t) - 1]) AS ctx, unnest(t[2 : len(t)]) AS token FROM w WHERE len(t) > 1), c AS (SELECT ctx, token, count(*) AS n FROM g GROUP BY ALL),
 r AS (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rank FROM c), best AS (SELECT ctx, token FROM r WHERE rank = 1),
 d AS (SELECT doc_id, 0 AS step, t[30] AS last, CAST([] AS VARCHAR[]) AS words FROM b UNION ALL SELECT doc_id, step + 1, token, list_append(words, token) FROM d JOIN best ON ctx = last WHERE step < 5),
 l AS (SELECT doc_id, words, row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) AS z FROM d) SELECT doc_id, array_to_string(words, ' ') AS decoded FROM l WHERE z = 1""")
@@ -154,23 +146,23 @@ def mdl6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join("words", " ").alias("decoded"))
 
 
-@query("mdl7_token_audit", f"""WITH {LM}, t AS (SELECT ctx, token AS top FROM k WHERE rank = 1), q AS (SELECT doc_id, i, t[i] AS ctx, t[i + 1] AS token FROM g WHERE i BETWEEN 30 AND 39)
-SELECT q.doc_id, CAST(i AS INTEGER) AS pos, q.token, CAST(k.rank AS INTEGER) AS rank, round(coalesce(exp(k.logit - z.z), 0), 6) AS p, t.top FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx) LEFT JOIN t USING (ctx)""")
+@query("mdl7_token_audit", f"""WITH {LM}, t AS (SELECT ctx, token AS top FROM k WHERE rank = 1)
+SELECT q.doc_id, CAST(i AS INTEGER) AS pos, q.token, CAST(k.rank AS INTEGER) AS rank, round(coalesce(exp(k.logit - z.z), 0) + 1e-9, 6) AS p, t.top FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx) LEFT JOIN t USING (ctx)""")
 def mdl7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank and renormalised probability of each target word among the forty best, and the best one."""
     g, logits = table_model(spark, sf_dir)
     top = logits.withColumn("rank", F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc(F.round("logit", 6)), "token"))).filter("rank <= 40")
     z = top.groupBy("ctx").agg(F.log(F.sum(F.exp("logit"))).alias("z"), F.max(F.when(F.col("rank") == 1, F.col("token"))).alias("top"))
-    q = g.filter("pos between 29 and 38").join(top, ["ctx", "token"], "left").join(z, "ctx", "left")
-    return q.select("doc_id", (F.col("pos") + 1).alias("pos"), "token", "rank", F.round(F.coalesce(F.exp(F.col("logit") - F.col("z")), F.lit(0.0)), 6).alias("p"), "top")
+    q = g.join(top, ["ctx", "token"], "left").join(z, "ctx", "left")
+    return q.select("doc_id", (F.col("pos") + 1).alias("pos"), "token", "rank", F.round(F.coalesce(F.exp(F.col("logit") - F.col("z")), F.lit(0.0)) + 1e-9, 6).alias("p"), "top")
 
 
-@query("str12_win10_word_groups", """WITH c AS (SELECT doc_id, unnest(string_split(substr(text, 1, 200), '')) AS ch, generate_subscripts(string_split(substr(text, 1, 200), ''), 1) AS i FROM documents),
+@query("str12_win10_word_groups", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
 g AS (SELECT *, sum(CASE WHEN i > 1 AND ch IN (' ', chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM c)
 SELECT doc_id, CAST(word AS BIGINT) AS word, trim(string_agg(ch, '' ORDER BY i), ' ' || chr(10)) AS text, CAST(min(i) - 1 AS INTEGER) AS begin_at, CAST(max(i) AS INTEGER) AS end_at FROM g GROUP BY doc_id, word""")
 def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces (here characters) that start with white space begin a word."""
-    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 200), "")).alias("i", "ch")).filter("ch <> ''")
+    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "ch")).filter("ch <> ''")
     new = F.sum(F.when((F.col("i") > 0) & F.col("ch").isin(" ", "\n"), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i"))
     g = c.withColumn("word", new).groupBy("doc_id", "word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "ch"))), lambda x: x["ch"]), "").alias("t"), F.min("i").alias("begin_at"), (F.max("i") + 1).alias("end_at"))
     return g.select("doc_id", "word", F.regexp_replace("t", "^[ \n]+|[ \n]+$", "").alias("text"), "begin_at", "end_at")

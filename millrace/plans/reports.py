@@ -75,6 +75,29 @@ def rpt10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter("arm <> 'NO'").join(base, "rep").select("arm", "rep", F.round(F.col("v") - F.col("v0"), 6).alias("delta"))
 
 
+def metric_value(metrics: Column, name: str) -> Column:
+    """A task's metric by its name or, where that has no value, by the name with its filter."""
+    return F.coalesce(F.try_element_at(metrics, F.lit(name)), F.try_element_at(metrics, F.lit(f"{name},none")))
+
+
+def spoke(value: Column, perplexity: Column, inverse: bool = True) -> Column:
+    """A task's length on a radar: perplexities turned so that more is better; an inverse of none above zero is null."""
+    turned = F.when(value > 0, 1.0 / value) if inverse else -value
+    return F.when(perplexity, turned).otherwise(value)
+
+
+@query("rpt22_radar", f"""WITH p AS (SELECT {ARM} AS task, l_linenumber % 2 AS side, avg(l_discount) AS acc, avg(l_quantity) AS ppl FROM lineitem GROUP BY ALL)
+SELECT task, side, round(CASE WHEN task = 'NO' THEN 1 / ppl ELSE acc END, 8) AS inverse, round(CASE WHEN task = 'NO' THEN -ppl ELSE acc END, 8) AS negative FROM p""")
+def rpt22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spokes of two runs' tasks, from maps that name a metric with its filter or without."""
+    g = facts(spark, sf_dir).groupBy(F.col("arm").alias("task"), (F.col("rep") % 2).alias("side")).agg(F.avg("l_discount").alias("acc"), F.avg("l_quantity").alias("ppl"))
+    tail = F.when(F.col("side") == 0, "").otherwise(",none")
+    g = g.withColumn("m", F.create_map(F.concat(F.lit("acc"), tail), "acc", F.concat(F.lit("word_perplexity"), tail), "ppl"))
+    ppl = F.col("task") == "NO"
+    value = F.when(ppl, metric_value(F.col("m"), "word_perplexity")).otherwise(metric_value(F.col("m"), "acc"))
+    return g.select("task", "side", F.round(spoke(value, ppl), 8).alias("inverse"), F.round(spoke(value, ppl, False), 8).alias("negative"))
+
+
 @query("jn10_pairs_by_repetition", """WITH p AS (SELECT l_linenumber AS rep, l_returnflag AS side, avg(l_tax) AS v FROM lineitem GROUP BY ALL)
 SELECT a.rep, round(a.v, 8) AS fim, round(b.v, 8) AS ltr, round(a.v - b.v, 8) AS delta FROM p a JOIN p b ON a.rep = b.rep AND a.side = 'A' AND b.side = 'R'""")
 def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:

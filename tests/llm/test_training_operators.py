@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from millrace.llm import ann, decontam, langid, licenses, packing, pii, pretokens, repeats, simhash, tokencount, tokenfile
+from millrace.llm import ann, common, decontam, langid, licenses, packing, pii, pretokens, repeats, simhash, tokencount, tokenfile
 
 random.seed(5)
 WORDS = [f"w{i}" for i in range(400)]
@@ -356,3 +356,20 @@ def test_cues_lose_no_notice():
         w = [x for x in licenses.words(rng.choice(licenses.TEMPLATES[name])) if rng.random() < 0.8] + rng.sample(vocabulary, 2)
         if s.cues.isdisjoint(w):
             assert s.match(w) is None
+
+
+@pytest.mark.parametrize("parts", [1, 256])
+def test_spread_join(spark, monkeypatch, parts):
+    monkeypatch.setattr(common, "SPREAD", parts)
+    many = spark.createDataFrame([(1, i) for i in range(600)] + [(2, 1), (2, 1), (None, 5), (3, 6)], "k int, at int")
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, name string")
+    for how in ("inner", "left"):
+        key = lambda r: str(tuple(r))
+        assert sorted(map(key, common.spread_join(many, one, ["k"], ["at"], how).collect())) == sorted(map(key, many.join(one, "k", how).collect()))
+
+
+def test_equal_contexts_are_dealt_once(spark):
+    rows = [(7, b"d%d" % (i % 3), b"x" * 300 if i % 3 else b"y%d" % i * 100, i, 0, 1) for i in (0, *[1, 2, 4, 5] * 300)]
+    found = spark.createDataFrame(rows, repeats.CONTEXT).repartition(4)
+    runs = {bytes(r.digest): [tuple(x) for x in r.runs] for r in repeats.expand(found.filter("digest <> x'6430'"), 200).collect()}
+    assert runs == {b"d1": [(0, 101)], b"d2": [(0, 101)]}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, packing, pii, simhash
+from millrace.llm import decontam, langid, nearcopies, packing, pii
 from millrace.llm.common import materialize, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,20 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: of smallest doc_id, and of rows that share it, one.
+    """One row of each group of near copies stays: of smallest doc_id (null last), and of rows that share it, one.
 
-    Near duplicates are texts whose fingerprints over shingles of three words differ in two bits or fewer,
-    as in op6_simhash.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what
+    such pairs link. A row's text alone decides its group, not its doc_id.
     """
     prepare(spark)
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # rows that repeat a kept doc_id: the one of smallest text hash stays; partial minima before the shuffle
-    rows = docs.select(*COLUMNS).withColumn("_at", F.struct(F.xxhash64("text"), F.xxhash64(*COLUMNS)))
-    first = rows.groupBy("doc_id").agg(F.min("_at").alias("_first")).withColumnRenamed("doc_id", "_id")
-    rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_first"))).select(*COLUMNS).dropDuplicates(["doc_id"])
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return nearcopies.one_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

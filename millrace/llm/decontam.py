@@ -3,9 +3,9 @@
 A mask such as 11011011 keeps some of the positions under it and ignores the others. The words that a mask
 keeps are hashed at every place of every test item and every document; equal hashes are hits, so that an
 overlap with a substituted word still hits wherever a mask ignores it. Each diagonal (document place minus
-item place) with a hit is then verified on the words themselves: the segment of greatest score, matches
-counting +1 and substitutions -4, must hold at least MATCHES equal words (or all of a shorter item), of
-which a share of 0.8 or more follows from a score of at least 0.
+item place) with a hit is then verified on the words themselves: any of its segments with at least MATCHES
+equal words (or all of a shorter item) and a share of them of SHARE or more will do. The one reported is
+that of greatest score, matches counting +1 and substitutions -4, if it is such, else the one of most equal words.
 
 Test hashes go to executors as a sorted array while they are few; beyond PASS_WORDS words of test items
 they are taken in groups of items, one pass over the documents each, so that memory stays bounded
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,18 @@ def best_segment(equal: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end
 
 
+def widest_segment(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """Begin and end of the segment of most equal words among those whose share is as asked; it begins and ends with one."""
+    asked = Fraction(share).limit_denominator(1000)
+    total = np.concatenate(([0], np.cumsum(np.where(equal, asked.denominator - asked.numerator, -asked.numerator))))
+    count = np.concatenate(([0], np.cumsum(equal)))
+    # to each end, the first begin whose sum is not above the end's
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int((count - count[begin]).argmax())
+    inside = np.flatnonzero(equal[begin[end] : end])
+    return (int(begin[end] + inside[0]), int(begin[end] + inside[-1]) + 1) if len(inside) else (0, 0)
+
+
 class Benchmark:
     """Seeds of a group of items, looked up by hash."""
 
@@ -120,9 +133,15 @@ class Benchmark:
             other = self.words[item]
             a, b = max(0, diagonal), min(len(words), diagonal + len(other))
             equal = words[a:b] == other[a - diagonal : b - diagonal]
+            least = min(matches, len(other))
+            if equal.sum() < least:
+                continue
             x, y = best_segment(equal)
             n = int(equal[x:y].sum())
-            if n >= min(matches, len(other)) and n >= share * (y - x) and (item not in best or (n, -a - x) > (best[item][2], -best[item][0])):
+            if n < least or n < share * (y - x):
+                x, y = widest_segment(equal, share)
+                n = int(equal[x:y].sum())
+            if n >= least and (item not in best or (n, -a - x) > (best[item][2], -best[item][0])):
                 best[item] = (a + x, y - x, n)
         return [(self.ids[i], *best[i]) for i in sorted(best)]
 

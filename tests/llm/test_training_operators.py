@@ -268,6 +268,41 @@ def test_overlaps_survive_substitutions(spark):
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == 7
 
 
+def plain_overlap(equal):
+    """Whether a segment has 10 equal words or more, and a share of 0.8 or more of them."""
+    return any(10 <= (n := sum(equal[i:j])) and 5 * n >= 4 * (j - i) for i in range(len(equal)) for j in range(i + 10, len(equal) + 1))
+
+
+def test_any_segment_of_a_hit_diagonal_counts(spark):
+    words = [f"q{i}" for i in range(40)]
+    pairs = [("zz" if i in (8, 9, 18, 19) else w) for i, w in enumerate(words[:28])]
+    fifth = [("zz" if i % 5 == 4 else w) for i, w in enumerate(words)]
+    rows = [(1, f"{text(20)} {' '.join(pairs)}"), (2, " ".join(fifth)), (3, " ".join(words[:9]) + " " + text(9))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(28, " ".join(words[:28])), (40, " ".join(words))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.place, r.length, r.matched) for r in decontam.overlaps(docs, bench.filter("item_id = 28")).collect()}
+    assert got[1, 28] == (20, 28, 24)
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench.filter("item_id = 40")).collect()} == {(1, 40), (2, 40)}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [3]
+
+
+def test_verified_diagonals_against_all_segments():
+    rng = random.Random(6)
+    seen = [0, 0]
+    for _ in range(600):
+        item = [f"q{i}" for i in range(rng.randint(15, 59))]
+        share = rng.choice([0.1, 0.15, 0.2, 0.3])
+        doc = [("zz" if rng.random() < share else w) for w in item]
+        known = decontam.Benchmark([(1, " ".join(item))])
+        found = known.overlaps(decontam.word_hashes(" ".join(doc)))
+        hit = (0, 0) in known.hits(decontam.word_hashes(" ".join(doc)))
+        equal = [x == y for x, y in zip(item, doc, strict=True)]
+        assert bool(found) == (hit and plain_overlap(equal))
+        for _, at, n, matched in found:
+            assert sum(equal[at : at + n]) == matched >= 10 and 5 * matched >= 4 * n
+        seen[bool(found)] += 1
+    assert min(seen) > 20
+
+
 def test_groups_of_items_give_the_same(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(BASE[i].split()[:25])) for i in range(30)], "item_id long, text string")
     whole = sorted(map(tuple, decontam.overlaps(docs, bench).collect()))

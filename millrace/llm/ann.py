@@ -7,8 +7,9 @@ vector. Pairs whose upper bound reaches the k-th largest lower bound survive and
 double precision from the original vectors, one addition after another, so that equal vectors tie
 exactly. Heaps merge survivors within a task, and again by query.
 
-Exact copies of a vector beyond the k + 1 smallest ids can't be among anyone's k nearest, as ties go to
-the smaller id; they are set aside before tiles are formed, so that a hot vector makes no hot block.
+Exact copies of a vector beyond the k + 1 smallest distinct ids can't be among anyone's k nearest, as ties go
+to the smaller id and k ids besides a query's own remain; nor can rows of one id and vector beyond k. They are
+set aside before tiles are formed, so that a hot vector makes no hot block.
 
 Defined results: vectors null, empty, zero or with null or non-finite components take no part, as query
 or candidate; nor do null ids, nor vectors of another length than the query's; a repeated vec_id is
@@ -42,9 +43,11 @@ def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def lean(df: DataFrame, k: int) -> DataFrame:
-    """Of exact copies, the k + 1 smallest ids: the rank is limited before the shuffle, too."""
-    w = Window.partitionBy("v").orderBy("vec_id")
-    return df.withColumn("copy", F.row_number().over(w)).filter(F.col("copy") <= k + 1).drop("copy")
+    """Of exact copies, the k + 1 smallest distinct ids, and k rows of each: ranks are limited before the shuffle, too."""
+    own = Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    df = df.withColumn("copy", F.row_number().over(own)).filter(F.col("copy") <= k).drop("copy")
+    ids = Window.partitionBy("v").orderBy("vec_id")
+    return df.withColumn("copy", F.dense_rank().over(ids)).filter(F.col("copy") <= k + 1).drop("copy")
 
 
 def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -143,6 +143,19 @@ def test_nearest(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("own", [2, 7])
+def test_a_repeated_query_id_leaves_its_copies_in(spark, own):
+    near, far = [1.0, 0.0], [0.9, 0.1]
+    rows = [(0, near)] * own + [(i, near) for i in range(1, 8)] + [(3, near)] * 2 + [(50, far)] * 9 + [(9, far)]
+    df = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in ann.nearest(df.filter("vec_id % 50 = 0"), df).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, v in ((0, near), (50, far)):
+        best = sorted((-float(ann.cosine(np.array([v]), np.array([x]))[0]), i) for i, x in rows if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
 # --- 4 ---
 
 

@@ -160,19 +160,22 @@ def candidates(sets: DataFrame, small: int, centres: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size = np.diff(np.append(first, len(token)))
             large, place = np.repeat(size > small, size), np.arange(len(token)) - np.repeat(first, size)
+            a, b = [sid[:0]], [sid[:0]]  # one batch a chunk: many small ones take much memory
             for lag in range(1, min(small, int(size.max()))):
                 at = np.flatnonzero((token[lag:] == token[:-lag]) & ~large[lag:] & fit(n[lag:], pos[lag:], n[:-lag], pos[:-lag]))
-                if len(at):
-                    yield out(None, sid[at], None, None, sid[at + lag])
-            for i in np.flatnonzero(size > small):
-                part = slice(first[i], first[i] + size[i])
-                yield out(token[part], sid[part], n[part], pos[part], None)
+                a.append(sid[at])
+                b.append(sid[at + lag])
+            if large.any():
+                yield out(token[large], sid[large], n[large], pos[large], None)
             for c in range(centres):
                 at = np.flatnonzero(large & (place > c))
                 centre = at - place[at] + c
                 keep = fit(n[at], pos[at], n[centre], pos[centre])
-                if keep.any():
-                    yield out(None, sid[centre[keep]], None, None, sid[at[keep]])
+                a.append(sid[centre[keep]])
+                b.append(sid[at[keep]])
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            if pairs.size:
+                yield out(None, pairs[0], None, None, pairs[1])
 
     # a row of the sets gives prefix rows; sid is in order within a bucket, so that buckets of a group agree on centres
     rows = sets.select("sid", "n", F.posexplode("prefix").alias("at", "token")).select("token", "sid", "n", "at")

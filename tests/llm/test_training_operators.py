@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -131,7 +132,7 @@ def test_nearest(spark):
     v = rng.normal(size=(700, 16)).astype(np.float32)
     v[100:400] = v[100]  # a hot vector
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (704, []), (750, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("none", "none")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     ok = ann.usable(df)
     assert ok.count() == 701
     got = [tuple(r) for r in ann.nearest(ok.filter("vec_id % 50 = 0"), ok, block=64, query_block=8).orderBy("query_id", "rank").collect()]
@@ -156,6 +157,22 @@ def test_a_repeated_query_id_leaves_its_copies_in(spark, own):
     assert got == want
 
 
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 3)) * 10.0 ** rng.choice([-300, -200, 0, 160, 300], 60)[:, None]
+    v[7] = [5e-324, 0.0, 0.0]
+    df = ann.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df.filter("vec_id in (0, 7, 50)"), df, block=16).collect()}
+    unit = [[float(x) / float(np.abs(row).max()) for x in row] for row in v]
+    for q in (0, 7, 50):
+        def cos(i, q=q):
+            return math.fsum(x * y for x, y in zip(unit[q], unit[i], strict=True)) / (math.hypot(*unit[q]) * math.hypot(*unit[i]))
+
+        best = sorted((i for i in range(60) if i != q), key=lambda i: -cos(i))[:5]
+        assert [got[q, k + 1][0] for k in range(5)] == best
+        assert all(abs(got[q, k + 1][1] - cos(i)) < 1e-12 for k, i in enumerate(best))
+
+
 # --- 4 ---
 
 

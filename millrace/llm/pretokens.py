@@ -21,6 +21,9 @@ NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\t-\r \xa0"
 #: A text with any other character, or with a special token's opening, is not cut here.
 OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-\u024f]|<\\|")
+#: Where texts are lower-cased first, nor is one with a letter whose lower case is outside the range.
+LEAVING = "".join(c for c in map(chr, range(0xA0, 0x250)) if OTHER.search(c.lower()))
+OTHER_LOWERED = re.compile(f"[^\t-\r\x20-\x7e\xa0-\u024f]|[{LEAVING}]|<\\|")
 #: The pre-token patterns of the two vocabulary files, with the classes above.
 BYTE_PATTERN = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -63,6 +66,7 @@ class PretokenEncoder:
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.words = name.startswith("word")
         self.find = (WORD_PATTERN if self.words else BYTE_PATTERN).findall
+        self.other = (OTHER_LOWERED if self.words else OTHER).search
         self.known = Known(self.library, cache)
 
     def whole(self, text: str) -> bytes:
@@ -70,7 +74,7 @@ class PretokenEncoder:
 
     def split(self, text: str) -> list[str] | None:
         """Pre-tokens, or None if the text must go through the library whole."""
-        if OTHER.search(text):
+        if self.other(text):
             return None
         return self.find(text.lower() if self.words else text)
 

@@ -36,6 +36,8 @@ MASKS = ("1110111", "11011011", "1101010011")
 MATCHES, SHARE = 10, 0.8
 #: Words of test items held in executors at once.
 PASS_WORDS = 2_000_000
+#: Pairs of a document's and the items' places that are held at once.
+PAIRS = 1 << 20
 #: Bits of the table that screens hashes before they are looked up.
 SCREEN = 22
 WORD = re.compile(r"[^\W_]+")
@@ -108,23 +110,28 @@ class Benchmark:
             screen[h >> np.uint64(64 - SCREEN)] = True
             self.tables.append((h[order], item[order], place[order], screen))
 
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item number, diagonal) of every hit."""
-        out = set()
+    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item number, diagonal) of every hit, each once.
+
+        Places of a repeated seed are multiplied out PAIRS at a time, and each lot becomes distinct diagonals, of
+        which an item has no more than the document has places.
+        """
+        codes = np.zeros(0, np.int64)
         for salt, (mask, (h, item, place, screen)) in enumerate(zip(self.masks, self.tables, strict=True)):
             own = seeds(words, mask, salt)
             at = np.flatnonzero(screen[own >> np.uint64(64 - SCREEN)])
             if not len(at):
                 continue
-            first, last = np.searchsorted(h, own[at], "left"), np.searchsorted(h, own[at], "right")
-            n = last - first
-            if not n.any():
-                continue
-            row = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(at, n)
-            pairs = np.unique(np.stack([item[row], where - place[row]]), axis=1)
-            out.update(zip(*pairs.tolist(), strict=True))
-        return out
+            first = np.searchsorted(h, own[at], "left")
+            n = np.searchsorted(h, own[at], "right") - first
+            at, first, n = at[n > 0], first[n > 0], n[n > 0]
+            lots = np.cumsum(n) // PAIRS
+            for lot in np.split(np.arange(len(n)), np.flatnonzero(np.diff(lots)) + 1) if len(n) else []:
+                m = n[lot]
+                row = np.repeat(first[lot], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                codes = np.union1d(codes, (item[row] << 40) + (np.repeat(at[lot], m) - place[row] + (1 << 39)))
+        for x in codes.tolist():
+            yield x >> 40, (x & ((1 << 40) - 1)) - (1 << 39)
 
     def overlaps(self, words: np.ndarray, matches: int = MATCHES, share: float = SHARE) -> list[tuple[int, int, int, int]]:
         """(item id, place in the document, length, equal words) of each item's best verified overlap."""
@@ -166,6 +173,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, matches: int = MATCHES, shar
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for group in _groups(benchmark):
+        if out is not None:  # one pass over the documents a group; what a pass found is written, and its items let go
+            out = materialize(out, "overlaps")
 
         def run(batches: Iterator[pa.RecordBatch], group: list = group) -> Iterator[pa.RecordBatch]:
             known = Benchmark(group)

@@ -324,7 +324,7 @@ def test_verified_diagonals_against_all_segments():
         doc = [("zz" if rng.random() < share else w) for w in item]
         known = decontam.Benchmark([(1, " ".join(item))])
         found = known.overlaps(decontam.word_hashes(" ".join(doc)))
-        hit = (0, 0) in known.hits(decontam.word_hashes(" ".join(doc)))
+        hit = (0, 0) in list(known.hits(decontam.word_hashes(" ".join(doc))))
         equal = [x == y for x, y in zip(item, doc, strict=True)]
         assert bool(found) == (hit and plain_overlap(equal))
         for _, at, n, matched in found:
@@ -333,6 +333,36 @@ def test_verified_diagonals_against_all_segments():
     assert min(seen) > 20
 
 
+def test_recall_over_all_diagonals():
+    """Texts with substituted words: what meets the rule on any diagonal, seeds or none, against what is found."""
+    rng = random.Random(12)
+    seen = {}
+    for _ in range(1500):
+        item = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(rng.randint(11, 60))]
+        share = rng.choice([0, 0.05, 0.1, 0.15, 0.2])
+        begin = rng.randrange(len(item) - 10)
+        part = item[begin : begin + rng.randint(11, 60)]
+        doc = [f"x{rng.randrange(99)}" for _ in range(rng.randint(0, 30))] + [f"y{rng.randrange(99)}" if rng.random() < share else w for w in part] + [f"x{rng.randrange(99)}" for _ in range(rng.randint(0, 30))]
+        known = decontam.Benchmark([(1, " ".join(item))])
+        found = bool(known.overlaps(decontam.word_hashes(" ".join(doc))))
+        at = [(d, [doc[i + d] == item[i] for i in range(max(0, -d), min(len(item), len(doc) - d))]) for d in range(-len(item) + 1, len(doc))]
+        wanted = any(plain_overlap(e) for _, e in at if sum(e) >= 10)
+        assert wanted or not found
+        if wanted:
+            seen.setdefault(share, []).append(found)
+    recall = {s: sum(x) / len(x) for s, x in sorted(seen.items())}
+    assert all(len(x) > 50 for x in seen.values()) and min(recall.values()) >= 0.95, recall
+
+
+def test_repeated_seeds_are_multiplied_out_in_lots(monkeypatch):
+    line = "one two three four five six seven eight nine ten eleven twelve "
+    known, words = decontam.Benchmark([(1, line * 30), (2, line + "end")]), decontam.word_hashes(line * 500)
+    whole = sorted(known.hits(words))
+    assert known.overlaps(words) == [(1, 0, 360, 360), (2, 0, 12, 12)]
+    monkeypatch.setattr(decontam, "PAIRS", 1000)
+    assert sorted(known.hits(words)) == whole and len(set(whole)) == len(whole)
+
+
 def test_groups_of_items_give_the_same(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(BASE[i].split()[:25])) for i in range(30)], "item_id long, text string")
     whole = sorted(map(tuple, decontam.overlaps(docs, bench).collect()))

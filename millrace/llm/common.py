@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; whole texts can be long, so it is below Spark's default.
@@ -83,25 +83,29 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str],
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(u, v) long -> (node, root): root is the smallest node reachable. Alternating large and small stars.
 
-    Each round only takes minima by node and joins them back, so no neighbour list is ever gathered;
-    rounds are written to the shared folder. Raises if it does not settle within limit rounds
-    (a round at least halves the depth, so that is far beyond any real graph).
+    Each round only takes minima by node and joins them back, so no neighbour list is ever gathered: a node's
+    edges are dealt to SPREAD parts, whose minima meet by node. Rounds are written to the shared folder, and
+    settle when the edges stay as they are, told by sums that no order of rows changes. Raises if that takes
+    more than limit rounds (a round at least halves the depth, so that is far beyond any real graph).
     """
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        joined = e.join(low, e.u == low.n)
+        e = e.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SPREAD)))
+        low = e.groupBy("u", "part").agg(F.min("v").alias("m"))
+        low = low.withColumn("m", F.least("u", F.min("m").over(Window.partitionBy("u"))))
+        joined = e.join(low, ["u", "part"])
         if large:
             return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        own = low.select(F.col("n").alias("u"), F.col("m").alias("v"))
+        own = low.select("u", F.col("m").alias("v"))
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).filter("u <> v").distinct()
 
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e, last = materialize(e, "edges"), None
+    h = F.xxhash64("u", "v")
     for _ in range(limit):
-        state = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u as double))")).first()
+        state = e.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
         if state == last or state[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = state

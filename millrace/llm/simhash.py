@@ -4,8 +4,8 @@ A vantage-point tree fitted on a bounded sample of distinct fingerprints deals a
 leaves. At a node with vantage v and radius r, x is at home inside if d(x, v) <= r, else outside; by
 the triangle bound a partner within t of an outer point lies further than r - t from v, so inner
 points beyond r - t also visit the outer side as guests. Every pair within t thus meets in a leaf. A
-leaf builds its own tree the same way down to small blocks, compared in full, and hands on a spanning
-star for each linked set, never all pairs. Stars join in connected components.
+leaf builds its own tree the same way down to small blocks, compared in full (a block that nothing divides, in
+strips), and hands on a spanning star for each linked set of a block, never all pairs. Stars join in connected components.
 
 Defined results: null and empty texts, and texts of white space only, have fingerprint zero and link
 like any other; repeated rows and ties share a fingerprint and hence a component; an empty table gives
@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, materialize, table
+from .common import chunks, connected_components, materialize, spread_join, table
 
 SEED = 42
 #: Distinct fingerprints that the driver's tree is fitted on, at most.
-SAMPLE = 8192
+SAMPLE = 65536
 #: Fingerprints at home in a leaf of the shared tree, about; and in a block that is compared in full.
 LEAF, BLOCK = 8192, 768
 
@@ -46,15 +46,14 @@ def shingle_hashes(text: str | None, words: int) -> list[bytes]:
     return list(map(partial(xxhash.xxh64_digest, seed=SEED), parts))
 
 
-def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
-    """uint64 fingerprint of each text: a bit is set if it is in over half the hashes."""
-    digests = [shingle_hashes(x, words) for x in texts]
-    out, sizes = np.zeros(len(texts), np.uint64), np.array([len(x) for x in digests], np.int64)
+def majority_bits(digests: list[list[bytes]]) -> np.ndarray:
+    """uint64 of each list of hashes: a bit is set if it is in over half of them."""
+    out, sizes = np.zeros(len(digests), np.uint64), np.array([len(x) for x in digests], np.int64)
     first = 0
-    while first < len(texts):
+    while first < len(digests):
         last = first + 1
         total = sizes[first]
-        while last < len(texts) and total + sizes[last] <= 200_000:
+        while last < len(digests) and total + sizes[last] <= 200_000:
             total += sizes[last]
             last += 1
         n = sizes[first:last]
@@ -71,6 +70,11 @@ def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
+    """uint64 fingerprint of each text."""
+    return majority_bits([shingle_hashes(x, words) for x in texts])
+
+
 def document_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
@@ -105,7 +109,7 @@ def split(sample: np.ndarray, seed: int) -> tuple[np.uint64, int] | None:
 
 def fit_tree(sample: np.ndarray, leaf: float, seed: int = 1) -> list | None:
     """Nested [vantage, radius, inner, outer]; None is a leaf."""
-    if len(sample) <= max(leaf, 2) or (at := split(sample, seed)) is None:
+    if len(sample) <= max(leaf, 8) or (at := split(sample, seed)) is None:
         return None
     d = distance(sample, at[0])
     return [int(at[0]), at[1], fit_tree(sample[d <= at[1]], leaf, 2 * seed % (1 << 40)), fit_tree(sample[d > at[1]], leaf, (2 * seed + 1) % (1 << 40))]
@@ -132,26 +136,19 @@ def local_links(fp: np.ndarray, reach: int, seed: int = 1) -> tuple[np.ndarray,
     found_a, found_b = [], []
 
     def block(at: np.ndarray) -> None:
-        x = fp[at]
-        if len(at) > 4 * BLOCK:  # nothing divides it: rows against all, a strip at a time
-            for i in range(0, len(at), 64):
-                near = np.bitwise_count(x[i : i + 64, None] ^ x[None, :]) <= reach
-                a, b = np.nonzero(near)
-                keep = a + i < b
-                found_a.append(at[a[keep] + i])
-                found_b.append(at[b[keep]])
-            return
-        near = np.bitwise_count(x[:, None] ^ x[None, :]) <= reach
-        if near.sum() == len(at):
-            return
-        label = np.arange(len(at))
+        x, n = fp[at], len(at)
+        step = max(64, 4 * BLOCK * BLOCK // n)  # where nothing divides many, a strip at a time
+        strips = [slice(i, i + step) for i in range(0, n, step)]
+        masks = [np.bitwise_count(x[strips[0], None] ^ x[None, :]) <= reach] if len(strips) == 1 else None
+        label = np.arange(n)
         while True:  # smallest label in reach, until it settles
-            new = np.where(near, label[None, :], len(at)).min(axis=1)
+            near = masks or (np.bitwise_count(x[s, None] ^ x[None, :]) <= reach for s in strips)
+            new = np.concatenate([np.where(m, label[None, :], n).min(axis=1) for m in near])
             new = new[new]
             if (new == label).all():
                 break
             label = new
-        moved = label != np.arange(len(at))
+        moved = label != np.arange(n)
         found_a.append(at[moved])
         found_b.append(at[label[moved]])
 
@@ -161,7 +158,7 @@ def local_links(fp: np.ndarray, reach: int, seed: int = 1) -> tuple[np.ndarray,
             return
         d = distance(fp[at], cut[0]).astype(np.int16)
         inner, outer = at[d <= cut[1]], at[d > cut[1] - reach]
-        if max(len(inner), len(outer)) > 0.95 * len(at):
+        if max(len(inner), len(outer)) > 0.95 * len(at) or len(inner) + len(outer) > 1.5 * len(at):
             block(at)
             return
         walk(inner, 2 * seed % (1 << 40))
@@ -218,7 +215,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 2) -> DataFram
     own = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     own = materialize(own, "classes")
     smallest = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(own.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # very many documents may share a fingerprint, and fingerprints a component
+    own = spread_join(own, smallest, ["root"], ["fp"]).select("fp", "component_id")
+    return spread_join(marked, own, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,24 @@ def test_vantage_point_trees_lose_no_pair(spark):
     assert all(top(want, int(x)) == top(got, int(x)) for x in fp)
 
 
+def test_blocks_that_nothing_divides_give_stars(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    fp = np.arange(2**9, dtype=np.uint64)  # each within reach of 45 others: pairs would be 11,520
+    a, b = simhash.local_links(fp, 2)
+    root = list(range(len(fp)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert (int(fp[x]) ^ int(fp[y])).bit_count() <= 9
+        p, q = top(x), top(y)
+        root[max(p, q)] = min(p, q)
+    assert {top(i) for i in range(len(fp))} == {0} and len(a) < 6000
+
+
 # --- 2 ---
 
 

@@ -44,6 +44,8 @@ SAMPLE, COMMON, KNOWN = 10_000, 4, 200_000
 SMALL, CENTRES = 64, 8
 #: Members of a large bucket that are held at once.
 HELD = 8192
+#: Bytes of text whose shingles are held at once.
+PIECE = 1 << 20
 #: Differing bits at which fingerprints link.
 REACH = 3
 #: Bits of a screen: 8 MB, whatever the rows.
@@ -134,7 +136,7 @@ def marks(docs: DataFrame, sample: int) -> DataFrame:
     common, rank = common_shingles(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", PIECE):
             digests = [shingle_hashes(x, WORDS) for x in b.column("text").to_pylist()]
             found, fp = [as_set(x) for x in digests], majority_bits(digests).view(np.int64)
             own = [pa.array([set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), lists([prefix(x, common, rank) for x in found]), pa.array([parities(x) for x in found], pa.binary()), pa.array(fp)]
@@ -269,7 +271,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = screen(sets.join(needed, "sid", "left_semi").select("h1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", PIECE):
             found = [shingle_set(x) for x in b.filter(pa.array(let_through(bits, b.column("h1")))).column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), lists(found)], ["sid", "s"])
 
@@ -307,16 +309,20 @@ def one_each(docs: DataFrame, small: int = SMALL, centres: int = CENTRES, sample
     kept = materialize(kept.select("root", "rows", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2")), "kept")
     several = screen(spread_join(rows, kept.filter("rows > 1").select("root"), ["root"], ["h1"]))
 
-    def through(bits: np.ndarray, let: bool):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(let_through(bits, b.column("h1")) == let))
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~let_through(several, b.column("h1"))))
+
+    def first_of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(let_through(several, b.column("h1")) & let_through(firsts, b.column("h1"))))
 
-        return run
+    def asked_about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(let_through(several, b.column("h1"))))
 
     # rows outside the first screen are alone in their groups; of those inside, kept ones are inside the second
-    firsts = screen(kept.select("h1").mapInArrow(through(several, True), "h1 long"))
-    alone = keyed.mapInArrow(through(several, False), keyed.schema)
-    asked = keyed.mapInArrow(through(several, True), keyed.schema).mapInArrow(through(firsts, True), keyed.schema)
+    firsts = screen(kept.select("h1").mapInArrow(asked_about, "h1 long"))
+    asked = keyed.mapInArrow(first_of_several, keyed.schema)
     asked = asked.dropDuplicates(["h1", "h2"]).join(kept.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    return alone.unionByName(asked).select(*columns)
+    return keyed.mapInArrow(alone, keyed.schema).unionByName(asked).select(*columns)

@@ -158,7 +158,7 @@ def local_links(fp: np.ndarray, reach: int, seed: int = 1) -> tuple[np.ndarray,
             return
         d = distance(fp[at], cut[0]).astype(np.int16)
         inner, outer = at[d <= cut[1]], at[d > cut[1] - reach]
-        if max(len(inner), len(outer)) > 0.95 * len(at) or len(inner) + len(outer) > 1.5 * len(at):
+        if max(len(inner), len(outer)) > 0.95 * len(at) or len(inner) + len(outer) > 1.35 * len(at):
             block(at)
             return
         walk(inner, 2 * seed % (1 << 40))

@@ -48,8 +48,8 @@ HELD = 8192
 PIECE = 1 << 20
 #: Differing bits at which fingerprints link.
 REACH = 3
-#: Bits of a screen: 8 MB, whatever the rows.
-SCREEN = 1 << 26
+#: Bits of a screen: 1 MB, whatever the rows.
+SCREEN = 1 << 23
 
 
 def as_set(digests: list[bytes]) -> np.ndarray:

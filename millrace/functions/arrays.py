@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: The special ids of the layouts.
 PRE, MID, SUF, BOS, EOS, PAD = 128002, 128003, 128005, 128000, 128001, 128011
@@ -89,6 +93,24 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.element_at(F.when(F.size(b) > 0, F.aggregate(a, zero, next_row)), -1), F.lit(0))
 
 
+@F.pandas_udf(IntegerType())
+def long_lcs_length(x: pd.Series, y: pd.Series) -> pd.Series:
+    """The same for arrays of any length: a bit for each place of the second, a few operations for each of the first."""
+
+    def of(a: Sequence, b: Sequence) -> int:
+        at: dict = {}
+        for i, w in enumerate(b):
+            at[w] = at.get(w, 0) | 1 << i
+        full = (1 << len(b)) - 1
+        open_ = full  # a bit is cleared where the length grows
+        for w in a:
+            hit = open_ & at.get(w, 0)
+            open_ = (open_ + hit | open_ - hit) & full
+        return len(b) - open_.bit_count()
+
+    return pd.Series([None if a is None or b is None else of(a, b) for a, b in zip(x, y, strict=True)], dtype="Int32")
+
+
 def rouge_l(reference: Column, predicted: Column, lcs: Column | None = None) -> Column:
     lcs = lcs_length(reference, predicted) if lcs is None else lcs
     p, r = lcs / F.greatest(F.size(predicted), F.lit(1)), lcs / F.greatest(F.size(reference), F.lit(1))

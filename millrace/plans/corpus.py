@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import windows as W
+from ..operators.joins import look_up
 from ..session import settle, table
 from .registry import query
 
@@ -31,12 +32,17 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_scores(tokens: DataFrame, length: int = 64, stride: int = 64) -> DataFrame:
     """doc_id, window_index, window_start, ppl under an add-one unigram model of the table itself."""
-    counts = tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    counts = settle(tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("c")))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    inside = W.sliding(tokens.filter(F.size("t") >= length), "t", length, stride).select("doc_id", "window_index", "window_start", F.explode("t").alias("word"))
+    # words go to their windows by place, so that no window copies the document's array
+    words = tokens.filter(F.size("t") >= length).select("doc_id", F.size("t").alias("n"), F.posexplode("t").alias("at", "word"))
+    first = F.greatest(F.ceil((F.col("at") - length + 1) / stride), F.lit(0)).cast("int")
+    last = F.least(F.floor(F.col("at") / stride), F.floor((F.col("n") - length) / stride)).cast("int")
+    inside = words.withColumns({"first": first, "last": last}).filter("first <= last").select("doc_id", "at", "word", F.explode(F.sequence("first", "last")).alias("window_index"))
     # a word's cost is worked out once, where it is counted
     cost = counts.crossJoin(F.broadcast(total)).select("word", (-F.log((F.col("c") + 1) / (F.col("n") + F.col("v")))).alias("cost"))
-    scored = inside.join(cost, "word").groupBy("doc_id", "window_index", "window_start").agg(F.avg("cost").alias("nll"))
+    scored = look_up(inside, cost, ["word"], ["doc_id", "at"]).groupBy("doc_id", "window_index").agg(F.avg("cost").alias("nll"))
+    scored = scored.withColumn("window_start", F.col("window_index") * stride)
     ppl = F.when(F.col("nll") < 50, F.exp(F.least("nll", F.lit(50.0)))).otherwise(float("inf"))
     return scored.select("doc_id", "window_index", "window_start", F.round(ppl, 6).alias("ppl"))
 
@@ -69,19 +75,34 @@ def threshold(scores: DataFrame, low: float | None, high: float | None, fraction
     return kept if fraction <= 0 else lowest_dropped(kept, "ppl", key, F.expr(f"int(n * {fraction})"))
 
 
-def global_rank(df: DataFrame, order: list, tie: str) -> DataFrame:
-    """row_number over a total order without one task for all rows: range partitions, their counts, ranks inside.
+def global_sums(df: DataFrame, order: list, **values) -> DataFrame:  # noqa: ANN003
+    """Adds, under each name, the sum of a column over all earlier rows of a total order, without one task for all:
+    range partitions, their sums, sums inside.
 
     Rows are settled before, as range partitioning reads them twice, and once partitioned: partitions' numbers
-    must mean the same to the counts and to the ranks.
+    must mean the same to the sums of partitions and to those inside.
     Callers keep df to the columns that they need.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = settle(settle(df).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return ranked.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    whole = parts.groupBy("_part").agg(*(F.sum(v).alias(f"_{k}") for k, v in values.items()))  # a row a partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("_part", *(F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in values))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = parts.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in values.items()})
+    return found.join(F.broadcast(whole), "_part").withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop("_part", *(f"_{k}" for k in values))
+
+
+def global_rank(df: DataFrame, order: list, tie: str) -> DataFrame:
+    """row_number over a total order without one task for all rows."""
+    return global_sums(df, order, rank=F.lit(1)).withColumn("rank", F.col("rank") + 1)
+
+
+def ranked_within(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds place, from 0, of each row among those of its key, in order; keys are few, rows of a key may be very many."""
+    ranked = settle(global_rank(df, [F.col(key).asc(), F.col(order).asc()], order))
+    heads = ranked.groupBy(key).agg(F.min("rank").alias("_head"))
+    return ranked.join(F.broadcast(heads), key).withColumn("place", F.col("rank") - F.col("_head")).drop("rank", "_head")
 
 
 def lowest_dropped(df: DataFrame, score: str, key: str, drop) -> DataFrame:  # noqa: ANN001
@@ -181,14 +202,14 @@ def arr1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes(spark, sf_dir).select("doc_id", begin.cast("long").alias("begin_at"), end.cast("long").alias("end_at"), F.size(kept).cast("long").alias("n"), total.alias("total"))
 
 
-LAYOUT = f"""WITH {CODES}, k AS (SELECT doc_id, t[1 : 300] AS t FROM c WHERE len(t) >= 50), p AS (SELECT doc_id, t, len(t) // 3 AS l, 2 * (len(t) // 3) AS m FROM k)"""
+LAYOUT = f"""WITH {CODES}, k AS (SELECT doc_id, t[1 : 16380] AS t FROM c WHERE len(t) >= 50), p AS (SELECT doc_id, t, len(t) // 3 AS l, 2 * (len(t) // 3) AS m FROM k)"""
 
 
 @query("arr3_arr4_arr5_layouts", LAYOUT + """ SELECT doc_id, list_concat(t, [128001]) AS ltr, list_concat([128002], t[1 : l], [128005], t[m + 1 : len(t)], [128003], t[l + 1 : m], [128001]) AS fim,
 list_concat([128002], t[1 : l], [128003], t[l + 1 : m], [128005], t[m + 1 : len(t)], [128001]) AS legacy FROM p""")
 def arr3(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    kept = codes(spark, sf_dir).filter(F.size("t") >= 50).withColumn("t", A.cap(t, 300))
+    kept = codes(spark, sf_dir).filter(F.size("t") >= 50).withColumn("t", A.cap(t, 16380))
     left, middle = A.even_cuts(t)
     return kept.select("doc_id", A.one_eos(A.clean_ltr(t)).alias("ltr"), A.one_eos(A.fim(t, left, middle)).alias("fim"), A.legacy_ltr(t, left, middle).alias("legacy"))
 
@@ -200,30 +221,33 @@ def arr9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).select("doc_id", F.size(A.shingles(t)).cast("long").alias("n_shingles"), F.round(A.type_token_ratio(t), 6).alias("ttr"))
 
 
-@query("arr10_arr14_neighbours", f"""WITH {WORDS}, p AS (SELECT a.doc_id, a.t[1 : 20] AS x, b.t[1 : 20] AS y FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.t) >= 20 AND len(b.t) >= 20)
-SELECT doc_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard, len(list_filter(range(1, 21), lambda i: x[i] = y[i])) AS matched, x = y AS exact FROM p""")
+@query("arr10_arr14_neighbours", f"""WITH {WORDS}, p AS (SELECT a.doc_id, a.t AS x, b.t AS y FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) END AS jaccard, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i])) AS matched, x = y AS exact FROM p""")
 def arr10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = tokens(spark, sf_dir).filter(F.size("t") >= 20).select("doc_id", F.slice("t", 1, 20).alias("x"))
+    """Whole texts of neighbouring documents: shared words, and words that stand at one place in both."""
+    a = tokens(spark, sf_dir).select("doc_id", F.col("t").alias("x"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
     x, y = F.col("x"), F.col("y")
-    return a.join(b, "doc_id").select("doc_id", F.round(A.jaccard(x, y), 6).alias("jaccard"), A.matches(x, y).cast("long").alias("matched"), (x == y).alias("exact"))
+    least = F.least(F.size(x), F.size(y))
+    matched = A.matches(F.slice(x, F.lit(1), least), F.slice(y, F.lit(1), least))
+    return a.join(b, "doc_id").select("doc_id", F.round(A.jaccard(x, y), 6).alias("jaccard"), matched.cast("long").alias("matched"), (x == y).alias("exact"))
 
 
 @query("arr11_arr12_rouge")
 def arr11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest common subsequence of neighbouring documents' first words; held against a plain version in tests."""
-    a = tokens(spark, sf_dir).filter(F.size("t") >= 16).select("doc_id", F.slice("t", 1, 16).alias("x"))
+    """Longest common subsequence of neighbouring documents' words; held against a plain version in tests."""
+    a = tokens(spark, sf_dir).select("doc_id", F.col("t").alias("x"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
-    scored = a.join(b, "doc_id").withColumn("lcs", A.lcs_length(F.col("x"), F.col("y")))
+    scored = a.join(b, "doc_id").withColumn("lcs", A.long_lcs_length("x", "y"))
     return scored.select("doc_id", F.col("lcs").cast("long").alias("lcs"), F.round(A.rouge_l(F.col("x"), F.col("y"), F.col("lcs")), 6).alias("rouge_l"))
 
 
-@query("arr15_packed_boundaries", f"""WITH {CODES}, k AS (SELECT doc_id, t[1 : 400] AS t FROM c), e AS (SELECT doc_id, len(t) AS n, list_concat([0], list_filter(range(1, len(t) + 1), lambda i: t[i] = 10)) AS b FROM k),
+@query("arr15_packed_boundaries", f"""WITH {CODES}, e AS (SELECT doc_id, len(t) AS n, list_concat([0], list_filter(range(1, len(t) + 1), lambda i: t[i] = 10)) AS b FROM c),
 f AS (SELECT doc_id, CASE WHEN b[len(b)] = n THEN b ELSE list_concat(b, [n]) END AS b FROM e)
 SELECT doc_id, list_transform(b, lambda x: CAST(x AS INTEGER)) AS bounds, list_max(list_transform(range(2, len(b) + 1), lambda i: b[i] - b[i - 1]))::INTEGER AS longest FROM f""")
 def arr15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line ends stand for ends of documents."""
-    found = codes(spark, sf_dir).select("doc_id", A.packed_boundaries(F.slice("t", 1, 400), 10).alias("bounds"))
+    found = codes(spark, sf_dir).select("doc_id", A.packed_boundaries(F.col("t"), 10).alias("bounds"))
     b = F.col("bounds")
     return found.select("doc_id", "bounds", F.array_max(F.transform(F.slice(b, 2, F.size(b)), lambda x, i: x - F.get(b, i))).alias("longest"))
 
@@ -251,7 +275,7 @@ def gen3(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, doc_id AS base_excerpt_id, n AS replica_count, unnest(range(0, n)) AS replica_index, bucket_base_index FROM b""")
 def gen6(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 3 + 1).alias("n"))
-    ranked = ranked.withColumn("bucket_base_index", (F.row_number().over(Window.partitionBy("n").orderBy("doc_id")) - 1).cast("long"))
+    ranked = ranked_within(ranked, "n", "doc_id").withColumnRenamed("place", "bucket_base_index")
     return W.replicate(ranked, F.col("n"), "doc_id", "doc_id").drop("n")
 
 

@@ -11,16 +11,17 @@ from ..functions import text as T
 from ..functions.rng import split_draws
 from ..operators import layout as L
 from ..operators import suite as U
-from ..session import table
+from ..operators import windows as W
+from ..session import shared_dir, table
 from .corpus import CODES, codes, docs
 from .registry import query
 
 
-@query("xf1_even_fim", f"""WITH {CODES}, k AS (SELECT doc_id, t[1 : 400] AS t FROM c WHERE len(t) >= 50), p AS (SELECT doc_id, t, len(t) // 3 AS l, 2 * (len(t) // 3) AS m FROM k)
+@query("xf1_even_fim", f"""WITH {CODES}, k AS (SELECT doc_id, t[1 : 16380] AS t FROM c WHERE len(t) >= 50), p AS (SELECT doc_id, t, len(t) // 3 AS l, 2 * (len(t) // 3) AS m FROM k)
 SELECT doc_id, list_concat([128002], t[1 : l], [128005], t[m + 1 : len(t)], [128003], t[l + 1 : m], [128001]) AS laid_out FROM p""")
 def xf1_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = codes(spark, sf_dir).withColumnRenamed("t", "tokens")
-    return L.lay_out(rows, F.col("doc_id").cast("string"), mode="fim", cap=400, even=True).select("doc_id", "laid_out")
+    return L.lay_out(rows, F.col("doc_id").cast("string"), mode="fim", cap=16380, even=True).select("doc_id", "laid_out")
 
 
 @query("xf1_hybrid")
@@ -51,23 +52,23 @@ def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("src16_ded1_replica_rows", """SELECT text, list_sort(list(doc_id))[1] AS first_id, count(*) AS n_replicas, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang = 'en' GROUP BY text""")
+@query("src16_ded1_replica_rows", """SELECT sha256(text) AS digest, list_sort(list(doc_id))[1] AS first_id, count(*) AS n_replicas, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY text""")
 def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).filter("lang = 'en'")
-    return d.groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_replicas"), F.sum("n_chars").alias("chars"))
+    """Rows of one text, told by its digest, so that texts are not shuffled."""
+    return docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_replicas"), F.sum("n_chars").alias("chars"))
 
 
 @query("gen8_tasks", """WITH s AS (SELECT unnest([0, 1, 5, 10, 20, 40, 60, 80, 100]) AS p), a AS (
-SELECT 'ltr_' || m AS arm_id, 'ltr' AS experiment, 100 AS prefix_length, 32 AS middle_length, 0 AS suffix_length FROM (SELECT unnest(['no_fim', 'fim_v2', 'fineweb_only']) AS m)
-UNION ALL SELECT 'rescue_' || i || '_' || p || '_' || (100 - p), 'prefix_rescue', p, 20, 100 - p FROM s, (SELECT unnest(['full', 'suffix_distractor', 'prefix_distractor', 'both_distractor']) AS i)
-UNION ALL SELECT 'attention_ltr_' || m, 'attention_ltr', 100, 20, 0 FROM (SELECT unnest(['no_fim', 'fim_v2']) AS m)
-UNION ALL SELECT 'attention_' || p || '_' || (100 - p), 'attention_native_geometry', p, 20, 100 - p FROM s WHERE p NOT IN (1, 5, 10))
+SELECT m || '_ltr_p100_m32' AS arm_id, 'ltr' AS experiment, 100 AS prefix_length, 32 AS middle_length, 0 AS suffix_length FROM (SELECT unnest(['no_fim', 'fim_v2', 'fineweb_only']) AS m)
+UNION ALL SELECT 'fim_v2_prefix_rescue_p' || p || '_s' || (100 - p) || '_' || i, 'prefix_rescue', p, 20, 100 - p FROM s, (SELECT unnest(['full', 'suffix_distractor', 'prefix_distractor', 'both_distractor']) AS i)
+UNION ALL SELECT 'attn_' || m || '_ltr_p100_m20', 'attention_ltr', 100, 20, 0 FROM (SELECT unnest(['no_fim', 'fim_v2']) AS m)
+UNION ALL SELECT 'attn_fim_v2_native_p' || p || '_s' || (100 - p), 'attention_native_geometry', p, 20, 100 - p FROM s WHERE p NOT IN (1, 5, 10))
 SELECT arm_id, experiment, prefix_length, middle_length, suffix_length, r AS repetition FROM a, (SELECT unnest([1, 2, 3, 4, 8, 16, 24, 32, 48, 64, 96, 128]) AS r)""")
 def gen8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.tasks(spark).select("arm_id", "experiment", "prefix_length", "middle_length", "suffix_length", "repetition")
 
 
-@query("flt8_report_arms", """SELECT 'rescue_full_' || p || '_' || (100 - p) AS arm_id, p AS prefix_length FROM (SELECT unnest([0, 1, 5, 10, 20, 40, 60, 80, 100]) AS p)""")
+@query("flt8_report_arms", """SELECT 'fim_v2_prefix_rescue_p' || p || '_s' || (100 - p) || '_full' AS arm_id, p AS prefix_length FROM (SELECT unnest([0, 1, 5, 10, 20, 40, 60, 80, 100]) AS p)""")
 def flt8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.report_arms(U.arm_table(spark), "native_geometry").select("arm_id", "prefix_length")
 
@@ -87,12 +88,13 @@ def str6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.primary_author(T.contributors(a)).alias("author"))
 
 
-@query("mth1_mth4_guards", """SELECT event_id, CASE WHEN value * 2 < 50 THEN round(exp(value * 2), 4) ELSE 'inf'::DOUBLE END AS ppl, round(CASE WHEN -value * 100 < -745 THEN 0 ELSE exp(-value * 100) END, 9) AS p,
-round(CASE WHEN value > 0 THEN log10(value) ELSE 'nan'::DOUBLE END, 6) AS l, round(log10(greatest(value, 1e-8)), 6) AS floored FROM events WHERE value < 4""")
+@query("mth1_mth4_guards", """SELECT event_id, CASE WHEN value * 2 < 50 THEN round(log10(exp(value * 2)), 9) ELSE 'inf'::DOUBLE END AS log10_ppl, round(CASE WHEN -value * 100 < -745 THEN 0 ELSE exp(-value * 100) END, 9) AS p,
+round(CASE WHEN value > 0 THEN log10(value) ELSE 'nan'::DOUBLE END, 6) AS l, round(log10(greatest(value, 1e-8)), 6) AS floored FROM events""")
 def mth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf_dir, "events").filter(v < 4).select(
-        "event_id", F.round(S.safe_exp(v * 2), 4).alias("ppl"), F.round(S.prob_from_log(-v * 100), 9).alias("p"), F.round(S.log10_or_nan(v), 6).alias("l"), F.round(S.log10_floored(v, 1e-8), 6).alias("floored")
+    ppl = S.safe_exp(v * 2)
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.when(ppl < S.INF, F.round(F.log10(ppl), 9)).otherwise(S.INF).alias("log10_ppl"), F.round(S.prob_from_log(-v * 100), 9).alias("p"), F.round(S.log10_or_nan(v), 6).alias("l"), F.round(S.log10_floored(v, 1e-8), 6).alias("floored")
     )
 
 
@@ -107,25 +109,25 @@ def mth10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(known.alias("known")).agg(F.count("*").alias("n"))
 
 
-@query("arr16_prompts", f"""WITH {CODES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN list_concat([128002], t[1 : 10], [128005], t[21 : 30], [128003]) ELSE t[1 : 10] END AS prompt FROM c WHERE len(t) >= 30""")
+@query("arr16_prompts", f"""WITH {CODES} , s AS (SELECT doc_id, t, unnest(range(10, len(t) - 20 + 1, 120)) AS a FROM c WHERE len(t) >= 30)
+SELECT doc_id, CAST(a AS INTEGER) AS target_start, CASE WHEN doc_id % 2 = 0 THEN list_concat([128002], t[a - 9 : a], [128005], t[a + 11 : a + 20], [128003]) ELSE t[a - 9 : a] END AS prompt FROM s""")
 def arr16(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    return codes(spark, sf_dir).filter(F.size("t") >= 30).select("doc_id", A.prompt(A.cut(t, 0, 10), A.cut(t, 20, 30), F.col("doc_id") % 2 == 0).alias("prompt"))
+    prompts = F.transform(W.starts(F.size(t), 20, 120, 10), lambda a: F.struct(a.alias("target_start"), A.prompt(A.cut(t, a - 10, a), A.cut(t, a + 10, a + 20), F.col("doc_id") % 2 == 0).alias("prompt")))
+    return codes(spark, sf_dir).filter(F.size("t") >= 30).select("doc_id", F.explode(prompts).alias("p")).select("doc_id", "p.target_start", "p.prompt")
 
 
 @query("snk3_src5_token_index", f"""WITH {CODES} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_id, len(t)::BIGINT AS n, list_sum(t)::BIGINT AS total FROM c""")
 def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a token index and read back. The index holds one file a run, so the path must be one that executors share."""
     import os
-    import tempfile
     import uuid
 
     from ..sources import tokenindex
     from .corpus import global_rank
 
     tokenindex.register(spark)
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    prefix = os.path.join(home.removeprefix("file://"), f"index-{uuid.uuid4().hex}", "docs")
+    prefix = os.path.join(shared_dir(spark).removeprefix("file://"), f"index-{uuid.uuid4().hex}", "docs")
     rows = global_rank(docs(spark, sf_dir).select("doc_id", "text"), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.transform(F.split("text", ""), lambda x: F.ascii(x)).alias("tokens"), F.lit(None).cast("byte").alias("mode"))
     rows.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(prefix)
     back = spark.read.format("tokenindex").load(prefix)

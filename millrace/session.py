@@ -29,17 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, a temporary one on a local master, an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df once to the folder of spark.checkpoint.dir, which executors share, and read it back.
 
-    Lineage is cut, lost executors cost no recomputation, and the rows keep their partitions' numbers. Where no
-    folder is set (tests), a temporary one is.
+    Lineage is cut, lost executors cost no recomputation, and the rows keep their partitions' numbers.
     """
     spark = df.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None)
-    if not home:
-        home = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", home)
-    path = f"{home.rstrip('/')}/settled/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -50,10 +50,15 @@ def test_lcs(spark, sf):
             row = new
         return row[-1]
 
-    docs = {r.doc_id: r.text.split()[:16] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    docs = {r.doc_id: r.text.split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    some = 0
     for r in QUERIES["arr11_arr12_rouge"](spark, sf).collect():
-        n = lcs(docs[r.doc_id], docs[r.doc_id + 1])
-        assert (r.lcs, r.rouge_l) == (n, round(2 * n / 32, 6))
+        a, b = docs[r.doc_id], docs[r.doc_id + 1]
+        if len(a) * len(b) > 200_000:
+            continue  # the plain version is slow
+        n, some = lcs(a, b), some + 1
+        assert (r.lcs, r.rouge_l) == (n, round(2 * n / (len(a) + len(b)), 6))
+    assert some > 100
 
 
 def test_representatives(spark):

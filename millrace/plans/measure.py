@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import buckets as B
 from ..operators import similarity as M
-from ..session import table
-from .corpus import WORDS, docs, global_rank, tokens
+from ..operators.joins import look_up
+from ..session import settle, table
+from .corpus import WORDS, docs, global_rank, global_sums, tokens
 from .registry import query
 
 ARM = "l_returnflag || l_linestatus"
+ARMS = tuple(a + b for a in "ANR" for b in "FO")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,36 +47,32 @@ p AS (SELECT doc_id, pos, n, (doc_id * 7919 + 13) % n AS start FROM s)
 SELECT p.doc_id, arg_min(q.doc_id, (q.pos - p.start + p.n) % p.n) AS distractor FROM p JOIN s q ON q.doc_id <> p.doc_id AND q.n_chars >= 400 GROUP BY p.doc_id"""
 
 
+#: Rows whose running counts one task makes.
+STRETCH = 1 << 20
+
+
 def distractors(samples: DataFrame, start: F.Column, need: int) -> DataFrame:
     """(id, size) in id order -> id, distractor: from place start on, around, the first other row of enough size.
 
     Rows of enough size are numbered; a start's number is the count of those before it, so that the choice is an
-    equal join on numbers, not a comparison of all pairs.
+    equal join on numbers, not a comparison of all pairs. Counts run within stretches of places, and over a row a
+    stretch.
     """
-    rows = global_rank(samples, [F.col("id").asc()], "id").withColumn("pos", F.col("rank") - 1)
-    n = rows.agg(F.count("*").alias("n"), F.sum(F.when(F.col("size") >= need, 1).otherwise(0)).alias("m"))
-    fit = global_rank(rows.filter(F.col("size") >= need).select("id", "pos"), [F.col("pos").asc()], "pos").select(F.col("id").alias("found"), F.col("pos").alias("fpos"), (F.col("rank") - 1).alias("number"))
-    # how many fitting rows stand before each place: the number of the first at or after it
-    placed = rows.select("id", "pos").crossJoin(F.broadcast(n)).withColumn("start", start)
-    marks = rows.join(fit, rows.pos == fit.fpos, "left").select(F.col("pos").alias("start"), F.col("number"))
-    filled = global_next(marks)
-    wanted = placed.join(filled, "start").withColumn("first", F.coalesce("number", F.lit(0)) % F.col("m"))
-    a = fit.select(F.col("number").alias("first"), F.col("found").alias("one"))
-    b = fit.select(F.col("number").alias("second"), F.col("found").alias("two"))
-    chosen = wanted.withColumn("second", (F.col("first") + 1) % F.col("m")).join(a, "first").join(b, "second")
+    rows = global_rank(samples, [F.col("id").asc()], "id").select("id", (F.col("rank") - 1).alias("pos"), (F.col("size") >= need).cast("long").alias("fits"))
+    rows = rows.withColumn("s", F.floor(F.col("pos") / STRETCH))
+    whole = rows.groupBy("s").agg(F.sum("fits").alias("w"))
+    whole = whole.select("s", F.coalesce(F.sum("w").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("w"))
+    inside = F.coalesce(F.sum("fits").over(Window.partitionBy("s").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = settle(rows.withColumn("number", inside).join(whole, "s").select("id", "pos", "fits", (F.col("number") + F.col("w")).alias("number")))
+    n = rows.agg(F.count("*").alias("n"), F.sum("fits").alias("m"))
+    placed = rows.select("id", "pos").crossJoin(F.broadcast(n)).filter("m > 0").select("id", "m", start.alias("start"))
+    wanted = placed.join(rows.select(F.col("pos").alias("start"), "number"), "start").select("id", (F.col("number") % F.col("m")).alias("first"), ((F.col("number") + 1) % F.col("m")).alias("second"))
+    fit = rows.filter("fits = 1")
+    chosen = wanted.join(fit.select(F.col("number").alias("first"), F.col("id").alias("one")), "first").join(fit.select(F.col("number").alias("second"), F.col("id").alias("two")), "second")
     return chosen.select("id", F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("two") != F.col("id"), F.col("two")).alias("distractor"))
 
 
-def global_next(marks: DataFrame, block: int = 4096) -> DataFrame:
-    """(start, number) -> number of the first non-null at or after each start, by blocks and then across their first ones."""
-    m = marks.withColumn("b", F.floor(F.col("start") / block))
-    inside = F.first("number", ignorenulls=True).over(Window.partitionBy("b").orderBy("start").rowsBetween(0, Window.unboundedFollowing))
-    heads = m.groupBy("b").agg(F.min("number").alias("h"))
-    later = heads.withColumn("next", F.first("h", ignorenulls=True).over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing))).select("b", "next")
-    return m.withColumn("n1", inside).join(F.broadcast(later), "b").select("start", F.coalesce("n1", "next").alias("number"))
-
-
-@query("jn6_jn7_distractors", JN6)
+@query("jn6_distractors", JN6)
 def jn6(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("size"))
     return distractors(samples, (F.col("id") * 7919 + 13) % F.col("n"), 400).withColumnRenamed("id", "doc_id")
@@ -119,12 +117,14 @@ def jn11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn14_task_metrics", f"""WITH m AS (SELECT {ARM} AS task, l_linenumber % 2 AS side, 'qty' AS metric, avg(l_quantity) AS v FROM lineitem GROUP BY ALL UNION ALL SELECT {ARM}, l_linenumber % 2, 'disc', avg(l_discount) FROM lineitem GROUP BY ALL)
 SELECT a.task, a.metric, round(a.v, 6) AS fim, round(b.v, 6) AS no_fim, round(a.v - b.v, 6) AS delta FROM m a JOIN m b ON a.task = b.task AND a.metric = b.metric AND a.side = 0 AND b.side = 1""")
 def jn14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results as maps task -> metric -> value on either side, taken apart and compared."""
-    g = facts(spark, sf_dir).groupBy((F.col("rep") % 2).alias("side"), "arm").agg(F.create_map(F.lit("qty"), F.avg("l_quantity"), F.lit("disc"), F.avg("l_discount")).alias("metrics"))
-    g = g.groupBy("side").agg(F.map_from_entries(F.collect_list(F.struct("arm", "metrics"))).alias("results"))
-    flat = g.select("side", F.explode("results").alias("task", "m")).select("side", "task", F.explode("m").alias("metric", "v"))
-    a = flat.filter("side = 0").select("task", "metric", F.col("v").alias("x"))
-    b = flat.filter("side = 1").select("task", "metric", F.col("v").alias("y"))
+    """Two runs' JSON documents, task -> metric -> value, read and compared metric by metric."""
+    from ..sources.files import task_metrics
+
+    g = facts(spark, sf_dir).groupBy((F.col("rep") % 2).alias("side"), "arm").agg(F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+    made = g.select("side", F.to_json(F.struct(F.create_map("arm", F.struct("qty", "disc")).alias("results"))).alias("document"))
+    flat = task_metrics(made, "document")
+    a = flat.filter("side = 0").select("task", "metric", F.col("value").alias("x"))
+    b = flat.filter("side = 1").select("task", "metric", F.col("value").alias("y"))
     return a.join(b, ["task", "metric"]).select("task", "metric", F.round("x", 6).alias("fim"), F.round("y", 6).alias("no_fim"), F.round(F.col("x") - F.col("y"), 6).alias("delta"))
 
 
@@ -141,10 +141,10 @@ SELECT shard, doc_id, n, coalesce(sum(n * 4) OVER (PARTITION BY shard ORDER BY d
 def set4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards in the order of their names (10 before 2), each sequence with its byte pointer in the shard."""
     s = docs(spark, sf_dir).select(F.concat(F.lit("shard_"), F.col("doc_id") % 12).alias("shard"), "doc_id", F.length("text").cast("long").alias("n"))
-    names = s.select("shard").distinct()
-    order = names.withColumn("source_ord", (F.row_number().over(Window.orderBy("shard")) - 1).cast("long"))  # a row a shard
-    before = F.sum(F.col("n") * 4).over(Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return s.withColumn("pointer", F.coalesce(before, F.lit(0))).join(F.broadcast(order), "shard")
+    summed = settle(global_sums(s, [F.col("shard").asc(), F.col("doc_id").asc()], pointer=F.col("n") * 4))
+    heads = summed.groupBy("shard").agg(F.min("pointer").alias("head"))  # a row a shard
+    heads = heads.withColumn("source_ord", (F.row_number().over(Window.orderBy("shard")) - 1).cast("long"))
+    return summed.join(F.broadcast(heads), "shard").select("shard", "doc_id", "n", (F.col("pointer") - F.col("head")).alias("pointer"), "source_ord")
 
 
 @query("ded1_exact_first", "SELECT min(doc_id) AS doc_id, count(*) AS copies, list_sort(list(doc_id))[1:5] AS preview FROM documents GROUP BY text")
@@ -163,24 +163,44 @@ def jn4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cosine_pairs(v, 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents clustered by cosine of word-count vectors (0.96) and shared shingles (0.20); longer ones are preferred.
+
+    The vectors stand for an encoder's: 64 sums of +1 and -1 over a text's words, by the words' hashes.
+    """
+    from ..functions.arrays import shingles
+
+    t = tokens(spark, sf_dir).filter(F.size("t") > 0)
+    sign = F.transform("t", lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(64)).cast("int").alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    cells = t.select(F.col("doc_id").alias("id"), F.explode(sign).alias("x")).groupBy("id", "x.i").agg(F.sum("x.s").alias("s"))
+    v = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("m"))
+    v = v.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    nodes = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"))
+    sets = t.select(F.col("doc_id").alias("id"), shingles(F.col("t")).alias("s"))
+    return M.semantic_clusters(nodes, v, sets, 0.96, 0.20)
+
+
 @query("ded3_representatives")
 def ded3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine first, then shingle overlap of what passed, then greedy representatives; longer texts are preferred."""
-    from ..functions.arrays import jaccard, shingles
+    return semantic(spark, sf_dir)
 
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    pairs = M.cosine_pairs(v, 0.35)
-    sets = tokens(spark, sf_dir).select(F.col("doc_id").alias("id"), shingles(F.col("t")).alias("s"))
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    edges = pairs.filter(jaccard(F.col("sa"), F.col("sb")) >= 0.0).select("a", "b", F.round("cosine", 6).alias("sim"))
-    nodes = v.select("id").join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score")), "id")
-    return M.representatives(nodes, edges)
+
+@query("ded3b_clusters")
+def ded3b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a cluster, numbered by its representative's place in the order of preference; members and removed by that order."""
+    return M.cluster_table(settle(semantic(spark, sf_dir)))
+
+
+@query("ded3c_jn5_manifests")
+def ded3c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fate: kept, removed (with what it is near to), or trimmed so that 12 divides what is kept."""
+    return M.manifest(settle(semantic(spark, sf_dir)), 12)
 
 
 @query("mdl3_principal_components")
 def mdl3(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return M.principal(v, 64)
+    return M.principal(v)
 
 
 # --- ranks and buckets ---
@@ -207,12 +227,12 @@ def top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("top8_bal2_snake", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
-p AS (SELECT doc_id, n, CASE WHEN r < ceil(n / 2) THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS place FROM r) SELECT doc_id, place, place // (n // 12) AS bucket FROM p""")
+p AS (SELECT doc_id, n, CASE WHEN r < ceil(n / 2) THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS place FROM r) SELECT doc_id, place, place // greatest(n // 12, 1) AS bucket FROM p""")
 def top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", F.length("text").alias("size"))
     r = global_rank(d, [F.col("size").asc(), F.col("doc_id").asc()], "doc_id").crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
     place = B.snake(F.col("rank"), F.col("n"))
-    return r.select("doc_id", place.cast("long").alias("place"), F.floor(place / F.floor(F.col("n") / 12)).alias("bucket"))
+    return r.select("doc_id", place.cast("long").alias("place"), F.floor(place / F.greatest(F.floor(F.col("n") / 12), F.lit(1))).alias("bucket"))
 
 
 @query("bal1_equal_means")
@@ -323,12 +343,12 @@ def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("arm", "i", F.coalesce(F.sum("k").over(below), F.lit(0)).alias("survivors"), "n")
 
 
-@query("agg15_agg16_pivot", f"""WITH p AS (SELECT l_linenumber AS rep, {ARM} AS arm, round(exp(avg(l_discount)), 6) AS v FROM lineitem WHERE l_returnflag <> 'X' GROUP BY ALL)
-SELECT rep, max(CASE WHEN arm = 'AF' THEN v END) AS af, max(CASE WHEN arm = 'NO' THEN v END) AS no_, max(CASE WHEN arm = 'RF' THEN v END) AS rf FROM p GROUP BY rep""")
+@query("agg15_agg16_pivot", f"""WITH p AS (SELECT l_linenumber AS rep, {ARM} AS arm, round(exp(avg(l_discount)), 6) AS v FROM lineitem GROUP BY ALL)
+SELECT rep, {", ".join(f"max(CASE WHEN arm = '{a}' THEN v END) AS arm_{a.lower()}" for a in ARMS)} FROM p GROUP BY rep""")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of the mean, not the mean of perplexities; a column an arm."""
-    p = facts(spark, sf_dir).groupBy("rep").pivot("arm", ["AF", "NO", "RF"]).agg(F.round(F.exp(F.avg("l_discount")), 6))
-    return p.select("rep", F.col("AF").alias("af"), F.col("NO").alias("no_"), F.col("RF").alias("rf"))
+    p = facts(spark, sf_dir).groupBy("rep").pivot("arm", list(ARMS)).agg(F.round(F.exp(F.avg("l_discount")), 6))
+    return p.select("rep", *(F.col(a).alias(f"arm_{a.lower()}") for a in ARMS))
 
 
 @query("agg17_closure", """WITH m AS (SELECT user_id, avg(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN event_type <> (SELECT min(event_type) FROM events) THEN 1.0 ELSE 0 END) AS b FROM events GROUP BY 1)
@@ -365,62 +385,102 @@ def mth8(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- table language model ---
 
 LM = f"""{WORDS}, g AS (SELECT doc_id, len(t) AS size, unnest(range(1, len(t))) AS i, unnest(t[1 : len(t) - 1]) AS ctx, unnest(t[2 : len(t)]) AS token FROM w WHERE len(t) > 1), c AS (SELECT ctx, token, ln(count(*)) AS logit FROM g GROUP BY ALL),
-q AS (SELECT doc_id, i, ctx, token FROM g WHERE size >= 60 AND i BETWEEN 30 AND 39),
+q AS (SELECT doc_id, (i - 30) // 50 * 50 + 30 AS target, i, ctx, token FROM g WHERE i >= 30 AND (i - 30) % 50 < 10 AND (i - 30) // 50 * 50 + 39 < size),
 r AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(logit, 6) DESC, token) AS rank FROM c), k AS (SELECT * FROM r WHERE rank <= 40), z AS (SELECT ctx, ln(sum(exp(logit))) AS z FROM k GROUP BY ctx),
-x AS (SELECT doc_id, i, rank, logit - z AS lp FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx))"""
+x AS (SELECT doc_id, target, i, rank, logit - z AS lp FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx))"""
 
 
 def table_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, pos, ctx, token), (ctx, token, logit): ten targets after thirty words of each text of sixty or more, and the logarithms of how often all texts' words follow each other."""
+    """(doc_id, target, pos, ctx, token), (ctx, token, logit): targets of ten words at every stride of fifty after the
+    first thirty, over whole texts; and the logarithms of how often all texts' words follow each other."""
     t = tokens(spark, sf_dir).select("doc_id", F.size("t").alias("size"), F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("ctx"), F.expr("slice(t, 2, size(t) - 1)").alias("token")).alias("p")).filter("size > 1")
     logits = t.select(F.explode("p").alias("p")).groupBy("p.ctx", "p.token").agg(F.log(F.count("*")).alias("logit"))
-    targets = t.filter("size >= 60").select("doc_id", F.posexplode(F.slice("p", 30, 10)).alias("at", "p")).select("doc_id", (F.col("at") + 29).alias("pos"), "p.ctx", "p.token")
-    return targets, logits
-
-
-def topk_scores(targets: DataFrame, logits: DataFrame, k: int, spare: float) -> DataFrame:
-    """targets (key, pos, ctx, token), logits (ctx, token, logit) -> each key's probability of its target, renormalised over the k best. (The geometric mean is rounded a billionth up, so that exact halves agree.)"""
-    w = Window.partitionBy("ctx").orderBy(F.desc(F.round("logit", 6)), "token")
-    top = logits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    high = top.groupBy("ctx").agg(F.max("logit").alias("high"))
-    z = top.join(high, "ctx").groupBy("ctx").agg((F.first("high") + F.log(F.sum(F.exp(F.col("logit") - F.col("high"))))).alias("z"))
-    got = targets.join(top, ["ctx", "token"], "left").join(z, "ctx", "left")
-    lp, supported = F.col("logit") - F.col("z"), F.col("rank").isNotNull()
-    g = got.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(supported, 1).otherwise(0)).alias("s"), F.sum(lp).alias("sum"))
-    log_p = F.when(F.col("s") == F.col("n"), F.col("sum")).otherwise(-S.INF)
-    g = g.withColumn("log_p_z", log_p)
+    pos = F.col("at") + 1
+    target = (F.floor((pos - 30) / 50) * 50 + 30).cast("int")
+    targets = t.filter("size >= 40").select("doc_id", "size", F.posexplode("p").alias("at", "p")).select("doc_id", "size", target.alias("target"), pos.alias("pos"), "p.ctx", "p.token")
+    return targets.filter("pos >= 30 and pos < target + 10 and target + 9 < size").drop("size"), logits
+
+
+def best_tokens(logits: DataFrame, k: int) -> DataFrame:
+    """(ctx, token, logit) -> the k best of each context: rank, lp (log-probability among them) and top (the best).
+    Ranks are limited before the shuffle, so no task gathers more than k of a context from each part."""
+    by = Window.partitionBy("ctx")
+    top = logits.withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.round("logit", 6)), "token"))).filter(F.col("rank") <= k)
+    top = top.withColumn("high", F.max("logit").over(by))
+    z = F.col("high") + F.log(F.sum(F.exp(F.col("logit") - F.col("high"))).over(by))
+    return top.select("ctx", "token", "rank", (F.col("logit") - z).alias("lp"), F.max(F.when(F.col("rank") == 1, F.col("token"))).over(by).alias("top"))
+
+
+def ranked_targets(targets: DataFrame, logits: DataFrame, k: int) -> DataFrame:
+    """targets with rank and lp of the target word, null where it is not among the k best."""
+    return look_up(targets, best_tokens(logits, k).drop("top"), ["ctx", "token"], ["doc_id", "pos"], "left")
+
+
+def topk_scores(ranked: DataFrame, keys: list[str], spare: float) -> DataFrame:
+    """(keys, rank, lp) a target word -> each key's probability, renormalised over the k best. (Rounded a little up, so that exact halves agree.)"""
     import math
 
+    supported = F.col("rank").isNotNull()
+    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(supported, 1).otherwise(0)).alias("s"), F.sum("lp").alias("sum"))
+    g = g.withColumn("log_p_z", F.when(F.col("s") == F.col("n"), F.col("sum")).otherwise(-S.INF))
     return g.select(
-        "key", F.col("s").alias("supported"), F.round(F.when(F.col("log_p_z") > -S.INF, F.col("log_p_z")), 6).alias("log_p_z"), F.round(S.prob_from_log(F.col("log_p_z")), 9).alias("p_z"),
+        *keys, F.col("s").alias("supported"), F.round(F.when(F.col("log_p_z") > -S.INF, F.col("log_p_z")), 6).alias("log_p_z"), F.round(S.prob_from_log(F.col("log_p_z")) + 1e-13, 9).alias("p_z"),
         F.round(S.prob_from_log(F.col("log_p_z") / F.col("n")) + 1e-9, 6).alias("geomean"), (F.col("log_p_z") >= math.log(spare) - 1e-9).cast("int").alias("extractable"),
     )
 
 
-@query("mdl4_win9_topk_target", f"""WITH {LM} SELECT doc_id AS key, count(rank) AS supported, CASE WHEN count(rank) = 10 THEN round(sum(lp), 6) END AS log_p_z, round(CASE WHEN count(rank) = 10 THEN exp(sum(lp)) ELSE 0 END, 9) AS p_z,
-round(CASE WHEN count(rank) = 10 THEN exp(sum(lp) / 10) ELSE 0 END + 1e-9, 6) AS geomean, CASE WHEN count(rank) = 10 AND sum(lp) >= ln(0.001) - 1e-9 THEN 1 ELSE 0 END AS extractable FROM x GROUP BY doc_id""")
+def spans(ranked: DataFrame, keys: list[str], lengths: tuple[int, ...], spare: float) -> DataFrame:
+    """topk_scores of the first words of each target, for every length that no target of the key is shorter than: adds span."""
+    sized = ranked.withColumn("words", F.count("*").over(Window.partitionBy(*keys)))
+    each = sized.withColumn("span", F.explode(F.array(*(F.lit(n) for n in lengths)))).filter("span <= words and pos - target < span")
+    return topk_scores(each, [*keys, "span"], spare)
+
+
+SCORE = """count(rank) AS supported, CASE WHEN count(rank) = count(*) THEN round(sum(lp), 6) END AS log_p_z, round(CASE WHEN count(rank) = count(*) THEN exp(sum(lp)) ELSE 0 END + 1e-13, 9) AS p_z,
+round(CASE WHEN count(rank) = count(*) THEN exp(sum(lp) / count(*)) ELSE 0 END + 1e-9, 6) AS geomean, CASE WHEN count(rank) = count(*) AND sum(lp) >= ln(0.001) - 1e-9 THEN 1 ELSE 0 END AS extractable"""
+
+
+@query("mdl4_win9_topk_target", f"WITH {LM} SELECT doc_id, CAST(target AS INTEGER) AS target, {SCORE} FROM x GROUP BY doc_id, target")
 def mdl4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets, logits = table_model(spark, sf_dir)
-    return topk_scores(targets.withColumnRenamed("doc_id", "key"), logits, 40, 0.001)
+    return topk_scores(ranked_targets(*table_model(spark, sf_dir), 40), ["doc_id", "target"], 0.001)
 
 
-ATT = """SELECT w, l, h, q, k, (k + 1 + h) / ((q + 1) * (q + 2) / 2 + h * (q + 1)) AS a FROM range(0, 12) x(w), range(0, 6) y(l), range(0, 2) z(h), range(4, 10) u(q), range(0, 10) v(k) WHERE k <= q"""
+@query("mdl4b_spans", f"WITH {LM}, s AS (SELECT unnest([3, 7, 20]) AS span), y AS (SELECT *, count(*) OVER (PARTITION BY doc_id, target) AS words FROM x) SELECT doc_id, CAST(target AS INTEGER) AS target, span, {SCORE} FROM y, s WHERE span <= words AND i - target < span GROUP BY ALL")
+def mdl4b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of each target alone; a length beyond the target's gives no row."""
+    return spans(ranked_targets(*table_model(spark, sf_dir), 40), ["doc_id", "target"], (3, 7, 20), 0.001)
 
 
-@query("mdl8_arr17_attention", f"""WITH a AS ({ATT}), m AS (SELECT w, l, h, q, sum(CASE WHEN k < 3 THEN a ELSE 0 END) AS p, sum(CASE WHEN k = 3 THEN a ELSE 0 END) AS m, sum(CASE WHEN k > 3 THEN a ELSE 0 END) AS t, -sum(a * ln(greatest(a, 1e-30))) / greatest(ln(q + 1), 1) AS e, sum(a * greatest(q - k, 0)) AS d FROM a GROUP BY w, l, h, q),
-y AS (SELECT w, l, avg(p) AS p, avg(m) AS m, avg(t) AS t, avg(e) AS e, avg(d) AS d, avg(CASE WHEN q = 4 THEN p END) AS fp, avg(CASE WHEN q > 4 THEN p END) AS lp FROM m GROUP BY w, l)
-SELECT w, round(avg(p), 6) AS prefix_mass, round(avg(m), 6) AS marker_mass, round(avg(t), 6) AS target_mass, round(avg(e), 6) AS entropy, round(avg(d), 6) AS distance, round(avg(fp), 6) AS first_prefix, round(avg(lp), 6) AS later_prefix, round(avg(CASE WHEN l < 2 THEN p END), 6) AS early_prefix FROM y GROUP BY w""")
-def mdl8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attention by segment of the key, means over heads and queries, then layers, from a table of weights (window, layer, head, query, key)."""
-    r = lambda a, b, n: spark.range(a, b).withColumnRenamed("id", n)
-    a = r(0, 12, "w").crossJoin(r(0, 6, "l")).crossJoin(r(0, 2, "h")).crossJoin(r(4, 10, "q")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("q")))).withColumn("a", F.expr("(k + 1 + h) / ((q + 1) * (q + 2) / 2 + h * (q + 1))"))
-    mass = lambda c: F.sum(F.when(c, F.col("a")).otherwise(0.0))
-    k, q, x = F.col("k"), F.col("q"), F.col("a")
-    m = a.groupBy("w", "l", "h", "q").agg(
-        mass(k < 3).alias("p"), mass(k == 3).alias("m"), mass(k > 3).alias("t"), (F.sum(-x * F.log(F.greatest(x, F.lit(1e-30)))) / F.greatest(F.log(q + 1), F.lit(1.0))).alias("e"), F.sum(x * F.greatest(q - k, F.lit(0))).alias("d")
-    )
-    y = m.groupBy("w", "l").agg(*(F.avg(c).alias(c) for c in "pmted"), F.avg(F.when(q == 4, F.col("p"))).alias("fp"), F.avg(F.when(q > 4, F.col("p"))).alias("lp"))
-    names = {"p": "prefix_mass", "m": "marker_mass", "t": "target_mass", "e": "entropy", "d": "distance", "fp": "first_prefix", "lp": "later_prefix"}
-    return y.groupBy("w").agg(*(F.round(F.avg(c), 6).alias(n) for c, n in names.items()), F.round(F.avg(F.when(F.col("l") < 2, F.col("p"))), 6).alias("early_prefix"))
+@query("mdl4c_all_positions", f"WITH {LM}, a AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, rank, logit - z AS lp FROM g LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx)) SELECT doc_id, count(*) AS n, count(rank) AS supported, round(sum(lp), 4) AS log_p, CAST(max(pos) FILTER (rank IS NULL) AS INTEGER) AS last_unsupported FROM a GROUP BY doc_id")
+def mdl4c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every text after its first, as a target of its own."""
+    t = tokens(spark, sf_dir).select("doc_id", "t").filter(F.size("t") > 1)
+    every = t.select("doc_id", F.posexplode(F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("ctx"), F.expr("slice(t, 2, size(t) - 1)").alias("token"))).alias("at", "p")).select("doc_id", (F.col("at") + 1).alias("pos"), "p.ctx", "p.token")
+    _, logits = table_model(spark, sf_dir)
+    got = ranked_targets(every, logits, 40)
+    return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("rank").alias("supported"), F.round(F.sum("lp"), 4).alias("log_p"), F.max(F.when(F.col("rank").isNull(), F.col("pos"))).alias("last_unsupported"))
 
 
+ATT = """SELECT c_custkey AS w, l, h, q, k, (k + 1 + h + c_nationkey % 3) / sum(k + 1 + h + c_nationkey % 3) OVER (PARTITION BY c_custkey, l, h, q) AS a
+FROM customer, range(0, 6) y(l), range(0, 2) z(h), range(4, 10) u(q), range(0, 10) v(k) WHERE k <= q"""
+
+
+@query("mdl8_arr17_attention", f"""WITH a AS ({ATT}), m AS (SELECT w, l, h, q, sum(CASE WHEN k < 3 THEN a ELSE 0 END) AS p, sum(CASE WHEN k = 3 THEN a ELSE 0 END) AS m, sum(CASE WHEN k > 3 THEN a ELSE 0 END) AS t, -sum(a * ln(greatest(a, 1e-30))) / greatest(ln(q + 1), 1) AS e, max(a) AS x, sum(a * greatest(q - k, 0)) AS d FROM a GROUP BY w, l, h, q),
+y AS (SELECT w, l, avg(p) AS p, avg(m) AS m, avg(t) AS t, avg(e) AS e, avg(x) AS x, avg(d) AS d, avg(d / (q + 1)) AS dn, avg(CASE WHEN q = 4 THEN p END) AS fp, avg(CASE WHEN q > 4 THEN p END) AS lp FROM m GROUP BY w, l)
+SELECT w, round(avg(p), 6) AS attn_prefix_mass, round(avg(m), 6) AS attn_fim_marker_mass, round(avg(t), 6) AS attn_target_prev_mass, round(avg(p + m), 6) AS attn_prompt_mass, round(avg(p) / greatest(avg(p), 1e-12), 6) AS attn_prefix_share_of_context, round(avg(e), 6) AS attn_entropy_norm,
+round(avg(x), 6) AS attn_max_weight, round(avg(d), 6) AS attn_backward_distance, round(avg(dn), 6) AS attn_backward_distance_norm, round(avg(fp), 6) AS attn_first_prefix_mass, round(avg(lp), 6) AS attn_later_prefix_mass,
+round(avg(CASE WHEN l < 2 THEN p END), 6) AS attn_early_prefix_mass, round(avg(CASE WHEN l >= 2 AND l < 4 THEN p END), 6) AS attn_mid_prefix_mass, round(avg(CASE WHEN l >= 4 THEN e END), 6) AS attn_late_entropy_norm FROM y GROUP BY w""")
+def mdl8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made table of weights, a row (window, layer, head, query, key); each window a prefix of three, a mark, and a target."""
+    from ..operators.attention import profile
+
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("w"), (F.col("c_nationkey") % 3).alias("c"))
+    for name, low, high in (("l", 0, 5), ("h", 0, 1), ("q", 4, 9)):
+        a = a.withColumn(name, F.explode(F.sequence(F.lit(low), F.lit(high))))
+    q = F.col("q")
+    weight = (F.col("k") + 1 + F.col("h") + F.col("c")) / ((q + 1) * (q + 2) / 2 + (F.col("h") + F.col("c")) * (q + 1))
+    a = a.withColumn("k", F.explode(F.sequence(F.lit(0), "q"))).withColumn("a", weight)
+    bounds = a.select("w").distinct().select("w", F.lit(0).alias("prefix_begin"), F.lit(3).alias("prefix_end"), F.lit(0).alias("suffix_begin"), F.lit(0).alias("suffix_end"), F.array(F.lit(3)).alias("marks"), F.lit(4).alias("target_begin"), F.lit(10).alias("target_end"), F.lit(4).alias("first_query"))
+    out = profile(a.drop("c"), bounds, 6)
+    names = "prefix_mass fim_marker_mass target_prev_mass prompt_mass prefix_share_of_context entropy_norm max_weight backward_distance backward_distance_norm first_prefix_mass later_prefix_mass early_prefix_mass mid_prefix_mass late_entropy_norm".split()
+    return out.select("w", *(F.round(f"attn_{n}", 6).alias(f"attn_{n}") for n in names))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..session import table
-from .corpus import WORDS, tokens
-from .measure import ARM, LM, facts, pooled, table_model
+from ..operators.joins import look_up
+from ..session import settle, table
+from .measure import ARM, LM, best_tokens, facts, pooled, table_model
 from .registry import query
 
+#: The t table in SQL, by a number of observations n above 1.
+T_OF_N = f"CASE WHEN n - 1 > 120 THEN 1.96 {' '.join(f'WHEN n - 1 >= {d} THEN {S.T95[d]}' for d in sorted(S.T95, reverse=True))} END"
 RATE = "avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END)"
 
 
@@ -27,10 +29,10 @@ def rpt1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).groupBy("arm", "rep").agg(F.round(F.exp(F.avg("l_tax")), 6).alias("ppl"))
 
 
-@query("rpt2_rpt19_metric_bands", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL HAVING count(*) > 121)
-SELECT arm, rep, n, round(m, 6) AS mean, round(greatest(m - 1.96 * s / sqrt(n), 0), 6) AS low, round(m + 1.96 * s / sqrt(n), 6) AS high FROM p""")
+@query("rpt2_rpt19_metric_bands", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL), t AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE {T_OF_N} * s / sqrt(n) END AS ci FROM p)
+SELECT arm, rep, n, round(m, 6) AS mean, round(greatest(m - ci, 0), 6) AS low, round(m + ci, 6) AS high FROM t""")
 def rpt2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = facts(spark, sf_dir).groupBy("arm", "rep").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s")).filter("n > 121")
+    p = facts(spark, sf_dir).groupBy("arm", "rep").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
     low, high = S.band(F.col("m"), S.ci95(F.col("s"), F.col("n")), 0.0, float("inf"))
     return p.select("arm", "rep", "n", F.round("m", 6).alias("mean"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
@@ -60,11 +62,11 @@ def rpt6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled(per, ["split"]).select("split", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@query("rpt7_rpt9_rpt17_matrix", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, round(avg(l_quantity), 6) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
-SELECT arm, max(CASE WHEN rep = 1 THEN v END) AS r1, max(CASE WHEN rep = 2 THEN v END) AS r2, max(CASE WHEN rep = 3 THEN v END) AS r3 FROM p GROUP BY arm""")
+@query("rpt7_rpt9_rpt17_matrix", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY ALL)
+SELECT arm, {", ".join(f"max(CASE WHEN rep = {r} THEN v END) AS r{r}" for r in range(1, 8))} FROM p GROUP BY arm""")
 def rpt7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = facts(spark, sf_dir).filter("rep <= 3").groupBy("arm").pivot("rep", [1, 2, 3]).agg(F.round(F.avg("l_quantity"), 6))
-    return p.select("arm", F.col("1").alias("r1"), F.col("2").alias("r2"), F.col("3").alias("r3"))
+    p = facts(spark, sf_dir).groupBy("arm").pivot("rep", list(range(1, 8))).agg(F.round(F.avg("l_quantity"), 6))
+    return p.select("arm", *(F.col(str(r)).alias(f"r{r}") for r in range(1, 8)))
 
 
 @query("rpt10_rpt15_deltas", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), b AS (SELECT rep, v AS v0 FROM p WHERE arm = 'NO')
@@ -117,8 +119,7 @@ def top11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg23_span_lengths", """SELECT list_sort(list_distinct(list(CAST(regexp_extract(k, 'first(\\d+)$', 1) AS INTEGER)))) AS spans FROM (SELECT 'p_z_first' || (20 + 10 * (event_id % 3)) AS k FROM events)""")
 def agg23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span lengths that the names of a summary's metrics tell."""
-    m = table(spark, sf_dir, "events").select(F.create_map(F.concat(F.lit("p_z_first"), 20 + 10 * (F.col("event_id") % 3)), F.lit(1.0)).alias("metrics"))
-    k = m.select(F.explode(F.map_keys("metrics")).alias("k")).filter(F.col("k").rlike(r"first\d+$"))
+    k = table(spark, sf_dir, "events").select(F.concat(F.lit("p_z_first"), 20 + 10 * (F.col("event_id") % 3)).alias("k")).distinct().filter(F.col("k").rlike(r"first\d+$"))
     return k.agg(F.sort_array(F.collect_set(F.regexp_extract("k", r"first(\d+)$", 1).cast("int"))).alias("spans"))
 
 
@@ -133,7 +134,7 @@ def flt3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mdl2_pooling", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, v, list_avg(v) AS a FROM e),
 n AS (SELECT vec_id, list_transform(v, lambda x: (x - a) / sqrt(list_avg(list_transform(v, lambda y: (y - a) * (y - a))) + 1e-5))[1 : 16] AS v FROM m)
-SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS v FROM n""")
+SELECT vec_id, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12), 6)) AS v FROM n""")
 def mdl2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After pooling: layer norm, then the first dimensions, then unit length."""
     d = F.size("v").cast("double")
@@ -141,51 +142,51 @@ def mdl2(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("a", total(F.col("v")) / d)
     e = e.withColumn("s", F.sqrt(total(F.transform("v", lambda y: (y - F.col("a")) * (y - F.col("a")))) / d + 1e-5))
     e = e.withColumn("v", F.slice(F.transform("v", lambda x: (x - F.col("a")) / F.col("s")), 1, 16)).withColumn("n", F.sqrt(total(F.transform("v", lambda y: y * y))))
-    return e.select("vec_id", F.transform("v", lambda x: F.round(x / F.col("n"), 6)).alias("v"))
+    return e.select("vec_id", F.transform("v", lambda x: F.round(x / F.greatest("n", F.lit(1e-12)), 6)).alias("v"))
 
 
 @query("mdl5_nll", f"""WITH {LM.replace("LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx)", "JOIN c USING (ctx, token) JOIN (SELECT ctx, ln(sum(exp(logit))) AS z FROM c GROUP BY ctx) USING (ctx)").replace("rank, logit - z", "logit - z")}
-SELECT doc_id, round(0.0 - sum(lp), 6) AS nll_sum, round(0.0 - avg(lp), 6) AS nll, round(exp(-avg(lp)), 6) AS ppl FROM x GROUP BY doc_id""")
+SELECT doc_id, CAST(target AS INTEGER) AS target, round(0.0 - sum(lp), 6) AS nll_sum, round(0.0 - avg(lp), 6) AS nll, round(exp(-avg(lp)), 6) AS ppl FROM x GROUP BY doc_id, target""")
 def mdl5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Teacher-forced cost of ten target words under the table model, over all its continuations."""
+    """Teacher-forced cost of each target under the table model, over all of a context's continuations."""
     g, logits = table_model(spark, sf_dir)
+    logits = settle(logits)
     z = logits.groupBy("ctx").agg(F.log(F.sum(F.exp("logit"))).alias("z"))
-    x = g.join(logits, ["ctx", "token"]).join(z, "ctx")
+    x = look_up(look_up(g, logits, ["ctx", "token"], ["doc_id", "pos"]), z, ["ctx"], ["doc_id", "pos"])
     nll = F.avg(F.col("z") - F.col("logit"))
-    return x.groupBy("doc_id").agg(F.round(F.sum(F.col("z") - F.col("logit")), 6).alias("nll_sum"), F.round(nll, 6).alias("nll"), F.round(S.safe_exp(nll), 6).alias("ppl"))
+    return x.groupBy("doc_id", "target").agg(F.round(F.sum(F.col("z") - F.col("logit")), 6).alias("nll_sum"), F.round(nll, 6).alias("nll"), F.round(S.safe_exp(nll), 6).alias("ppl"))
 
 
-@query("mdl6_greedy_decode", f"""WITH RECURSIVE {WORDS}, b AS (SELECT doc_id, t FROM w WHERE len(t) >= 60), g AS (SELECT unnest(t[1 : len(t) - 1]) AS ctx, unnest(t[2 : len(t)]) AS token FROM w WHERE len(t) > 1), c AS (SELECT ctx, token, count(*) AS n FROM g GROUP BY ALL),
-r AS (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY n DESC, token) AS rank FROM c), best AS (SELECT ctx, token FROM r WHERE rank = 1),
-d AS (SELECT doc_id, 0 AS step, t[30] AS last, CAST([] AS VARCHAR[]) AS words FROM b UNION ALL SELECT doc_id, step + 1, token, list_append(words, token) FROM d JOIN best ON ctx = last WHERE step < 5),
-l AS (SELECT doc_id, words, row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) AS z FROM d) SELECT doc_id, array_to_string(words, ' ') AS decoded FROM l WHERE z = 1""")
+@query("mdl6_greedy_decode", f"""WITH RECURSIVE {LM}, best AS (SELECT ctx, token FROM k WHERE rank = 1),
+d AS (SELECT doc_id, target, 0 AS step, ctx AS last, CAST([] AS VARCHAR[]) AS words FROM q WHERE i = target UNION ALL SELECT doc_id, target, step + 1, token, list_append(words, token) FROM d JOIN best ON ctx = last WHERE step < 5),
+l AS (SELECT doc_id, target, words, row_number() OVER (PARTITION BY doc_id, target ORDER BY step DESC) AS z FROM d) SELECT doc_id, CAST(target AS INTEGER) AS target, array_to_string(words, ' ') AS decoded FROM l WHERE z = 1""")
 def mdl6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five greedy steps from a context: each joins the best continuation of the last word (first in order wins ties)."""
+    """Five greedy steps from each target's context: each looks up the best continuation of the last word (first in order wins ties)."""
     g, logits = table_model(spark, sf_dir)
-    best = logits.groupBy("ctx").agg(F.min(F.struct((-F.round("logit", 9)).alias("s"), "token")).alias("b")).select(F.col("ctx").alias("last"), F.col("b.token").alias("next"))
-    d = g.filter("pos = 29").select("doc_id", F.col("ctx").alias("last"), F.array().cast("array<string>").alias("words"))
+    best = logits.groupBy("ctx").agg(F.min(F.struct((-F.round("logit", 6)).alias("s"), "token")).alias("b")).select(F.col("ctx").alias("last"), F.col("b.token").alias("next"))
+    best = settle(best)
+    d = g.filter("pos = target").select("doc_id", "target", F.col("ctx").alias("last"), F.array().cast("array<string>").alias("words"))
     for _ in range(5):
-        d = d.join(best, "last", "left").select("doc_id", F.col("next").alias("last"), F.when(F.col("next").isNull(), F.col("words")).otherwise(F.concat("words", F.array("next"))).alias("words"))
-    return d.select("doc_id", F.array_join("words", " ").alias("decoded"))
+        d = look_up(d, best, ["last"], ["doc_id", "target"], "left").select("doc_id", "target", F.col("next").alias("last"), F.when(F.col("next").isNull(), F.col("words")).otherwise(F.concat("words", F.array("next"))).alias("words"))
+    return d.select("doc_id", "target", F.array_join("words", " ").alias("decoded"))
 
 
 @query("mdl7_token_audit", f"""WITH {LM}, t AS (SELECT ctx, token AS top FROM k WHERE rank = 1)
-SELECT q.doc_id, CAST(i AS INTEGER) AS pos, q.token, CAST(k.rank AS INTEGER) AS rank, round(coalesce(exp(k.logit - z.z), 0) + 1e-9, 6) AS p, t.top FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx) LEFT JOIN t USING (ctx)""")
+SELECT q.doc_id, CAST(target AS INTEGER) AS target, CAST(i + 1 AS INTEGER) AS pos, q.token, CAST(k.rank AS INTEGER) AS rank, round(coalesce(exp(k.logit - z.z), 0) + 1e-9, 6) AS p, t.top FROM q LEFT JOIN k USING (ctx, token) LEFT JOIN z USING (ctx) LEFT JOIN t USING (ctx)""".replace("CAST(i + 1 AS INTEGER)", "CAST(i AS INTEGER) + 1"))
 def mdl7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank and renormalised probability of each target word among the forty best, and the best one."""
     g, logits = table_model(spark, sf_dir)
-    top = logits.withColumn("rank", F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc(F.round("logit", 6)), "token"))).filter("rank <= 40")
-    z = top.groupBy("ctx").agg(F.log(F.sum(F.exp("logit"))).alias("z"), F.max(F.when(F.col("rank") == 1, F.col("token"))).alias("top"))
-    q = g.join(top, ["ctx", "token"], "left").join(z, "ctx", "left")
-    return q.select("doc_id", (F.col("pos") + 1).alias("pos"), "token", "rank", F.round(F.coalesce(F.exp(F.col("logit") - F.col("z")), F.lit(0.0)) + 1e-9, 6).alias("p"), "top")
+    top = settle(best_tokens(logits, 40))
+    q = look_up(g, top.drop("top"), ["ctx", "token"], ["doc_id", "pos"], "left")
+    q = look_up(q, top.filter("rank = 1").select("ctx", "top"), ["ctx"], ["doc_id", "pos"], "left")
+    return q.select("doc_id", "target", (F.col("pos") + 1).alias("pos"), "token", "rank", F.round(F.coalesce(F.exp("lp"), F.lit(0.0)) + 1e-9, 6).alias("p"), "top")
 
 
 @query("str12_win10_word_groups", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
 g AS (SELECT *, sum(CASE WHEN i > 1 AND ch IN (' ', chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM c)
 SELECT doc_id, CAST(word AS BIGINT) AS word, trim(string_agg(ch, '' ORDER BY i), ' ' || chr(10)) AS text, CAST(min(i) - 1 AS INTEGER) AS begin_at, CAST(max(i) AS INTEGER) AS end_at FROM g GROUP BY doc_id, word""")
 def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces (here characters) that start with white space begin a word."""
-    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "ch")).filter("ch <> ''")
-    new = F.sum(F.when((F.col("i") > 0) & F.col("ch").isin(" ", "\n"), 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("i"))
-    g = c.withColumn("word", new).groupBy("doc_id", "word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "ch"))), lambda x: x["ch"]), "").alias("t"), F.min("i").alias("begin_at"), (F.max("i") + 1).alias("end_at"))
-    return g.select("doc_id", "word", F.regexp_replace("t", "^[ \n]+|[ \n]+$", "").alias("text"), "begin_at", "end_at")
+    """Pieces (here characters) that start with white space begin a word: cut at once, a row a word, places by running lengths."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(?:^.|[ \n])[^ \n]*"), F.lit(0))).alias("word", "t"))
+    end = F.sum(F.length("t")).over(Window.partitionBy("doc_id").orderBy("word")).cast("int")
+    return w.withColumn("end_at", end).select("doc_id", F.col("word").cast("long").alias("word"), F.regexp_replace("t", "^[ \n]+|[ \n]+$", "").alias("text"), (F.col("end_at") - F.length("t")).alias("begin_at"), "end_at")

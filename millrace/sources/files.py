@@ -54,6 +54,14 @@ def read_summaries(spark: SparkSession, paths: dict[tuple[str, int], str], schem
     return rows.withColumn("path", F.regexp_replace("_metadata.file_path", "^file:/*", "/")).join(F.broadcast(keys), "path").drop("path")
 
 
+def task_metrics(rows: DataFrame, document: str) -> DataFrame:
+    """Evaluation results as JSON, {"results": {task: {metric: value}}}, a row each: other columns, task, metric, value.
+    What is not a number is left out; a document that is no such JSON gives no rows."""
+    read = F.from_json(document, "results map<string, map<string, string>>")["results"]
+    flat = rows.withColumn("_r", read).drop(document).select("*", F.explode("_r").alias("task", "_m")).drop("_r")
+    return flat.select("*", F.explode("_m").alias("metric", "_v")).withColumn("value", F.col("_v").try_cast("double")).filter("value is not null").drop("_m", "_v")
+
+
 def write_status(path: str, status: dict) -> None:
     """A JSON file that readers see whole: written beside and renamed."""
     with open(f"{path}.tmp", "w", encoding="utf-8") as f:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAN, INF = float("nan"), float("inf")
@@ -75,6 +75,33 @@ def number(c: Column) -> Column:
     return F.when(finite(x), x)
 
 
-def log_grid(low: float, high: float, n: int) -> Column:
-    a, b = math.log10(low), math.log10(high)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pow(F.lit(10.0), F.lit(a) + i * ((b - a) / (n - 1))))
+def row_ci95(metric: str) -> Column:
+    """Of a rolled-up row: columns {metric}_std and num_windows."""
+    return ci95(F.col(f"{metric}_std"), F.col("num_windows"))
+
+
+def rate_ci95(metric: str) -> Column:
+    """In percent: by the deviation where it gives a width, else by {metric}_count."""
+    t = row_ci95(metric) * 100.0
+    return F.when(finite(t) & (t > 0), t).otherwise(binomial_ci95(F.col(f"{metric}_count"), F.col("num_windows")))
+
+
+def log_errors(value: Column, error: Column, floor: float = 1e-12) -> tuple[Column, Column]:
+    """Lengths below and above value on a logarithmic axis: the lower end stays at a twentieth of it, and at floor."""
+    fine = finite(value) & (value > 0) & finite(error)
+    low = F.greatest(value - error, value * 0.05, F.lit(floor))
+    return F.when(fine, value - low).otherwise(0.0), F.when(fine, F.greatest(value + error, low) - value).otherwise(0.0)
+
+
+def limits(rows: DataFrame, value: str, error: str, floor: float | None = None, pad: float = 0.12) -> DataFrame:
+    """low, high of an axis around finite values and their errors (which count if all are finite)."""
+    v, e = F.col(value), F.col(error)
+    some = rows.filter(finite(v))
+    whole = some.agg(F.min(v).alias("v0"), F.max(v).alias("v1"), F.min(v - e).alias("e0"), F.max(v + e).alias("e1"), F.bool_and(finite(e)).alias("known"))
+    lo, hi = F.when(F.col("known"), F.col("e0")).otherwise(F.col("v0")), F.when(F.col("known"), F.col("e1")).otherwise(F.col("v1"))
+    at_least = lambda c: c if floor is None else F.greatest(c, F.lit(floor))
+    whole = whole.filter("v0 is not null").select(at_least(lo).alias("lo"), hi.alias("hi"))
+    step = F.when(F.col("lo") == 0, 0.1).otherwise(F.abs("lo") * 0.1)
+    span = (F.col("hi") - F.col("lo")) * pad
+    flat = F.col("lo") == F.col("hi")
+    return whole.select(F.when(flat, F.col("lo") - step).otherwise(at_least(F.col("lo") - span)).alias("low"), F.when(flat, F.col("hi") + step).otherwise(F.col("hi") + span).alias("high"))

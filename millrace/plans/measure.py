@@ -471,7 +471,12 @@ SELECT w, round(avg(p), 6) AS attn_prefix_mass, round(avg(m), 6) AS attn_fim_mar
 round(avg(x), 6) AS attn_max_weight, round(avg(d), 6) AS attn_backward_distance, round(avg(dn), 6) AS attn_backward_distance_norm, round(avg(fp), 6) AS attn_first_prefix_mass, round(avg(lp), 6) AS attn_later_prefix_mass,
 round(avg(CASE WHEN l < 2 THEN p END), 6) AS attn_early_prefix_mass, round(avg(CASE WHEN l >= 2 AND l < 4 THEN p END), 6) AS attn_mid_prefix_mass, round(avg(CASE WHEN l >= 4 THEN e END), 6) AS attn_late_entropy_norm FROM y GROUP BY w""")
 def mdl8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made table of weights, a row (window, layer, head, query, key); each window a prefix of three, a mark, and a target."""
+    names = "prefix_mass fim_marker_mass target_prev_mass prompt_mass prefix_share_of_context entropy_norm max_weight backward_distance backward_distance_norm first_prefix_mass later_prefix_mass early_prefix_mass mid_prefix_mass late_entropy_norm".split()
+    return attention_profile(spark, sf_dir).select("w", *(F.round(f"attn_{n}", 6).alias(f"attn_{n}") for n in names))
+
+
+def attention_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a made table of weights, a row (window, layer, head, query, key); each window a prefix of three, a mark, and a target."""
     from ..operators.attention import profile
 
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("w"), (F.col("c_nationkey") % 3).alias("c"))
@@ -481,6 +486,4 @@ def mdl8(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = (F.col("k") + 1 + F.col("h") + F.col("c")) / ((q + 1) * (q + 2) / 2 + (F.col("h") + F.col("c")) * (q + 1))
     a = a.withColumn("k", F.explode(F.sequence(F.lit(0), "q"))).withColumn("a", weight)
     bounds = a.select("w").distinct().select("w", F.lit(0).alias("prefix_begin"), F.lit(3).alias("prefix_end"), F.lit(0).alias("suffix_begin"), F.lit(0).alias("suffix_end"), F.array(F.lit(3)).alias("marks"), F.lit(4).alias("target_begin"), F.lit(10).alias("target_end"), F.lit(4).alias("first_query"))
-    out = profile(a.drop("c"), bounds, 6)
-    names = "prefix_mass fim_marker_mass target_prev_mass prompt_mass prefix_share_of_context entropy_norm max_weight backward_distance backward_distance_norm first_prefix_mass later_prefix_mass early_prefix_mass mid_prefix_mass late_entropy_norm".split()
-    return out.select("w", *(F.round(f"attn_{n}", 6).alias(f"attn_{n}") for n in names))
+    return profile(a.drop("c"), bounds, 6)

@@ -272,3 +272,26 @@ def agg2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("shard").orderBy(F.desc("n"), "doc_id")
     return merged.withColumn("k", F.row_number().over(w)).filter("k <= 5").select("shard", "doc_id", "n")
+
+
+@query("set4_xf3_mixed_index", """SELECT row_number() OVER (ORDER BY doc_id % 4, doc_id) - 1 AS seq_id, length(text)::BIGINT AS n, list_sum(list_transform(string_split(text, ''), lambda x: unicode(x)))::BIGINT AS total FROM documents WHERE length(text) > 0""")
+def set4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four corpora as token indexes, copied to shards, put together, read back: one corpus behind the other."""
+    import uuid
+
+    from ..sources import mix, tokenindex
+    from .corpus import codes, global_rank
+
+    tokenindex.register(spark)
+    root = f"{shared_dir(spark).removeprefix('file://')}/mix-{uuid.uuid4().hex}"
+    where = mix.layout(root, "no_fim", {})
+    rows = codes(spark, sf_dir).filter(F.size("t") > 0).filter("t[0] <> 0 or size(t) > 1")
+    for k, prefix in enumerate([where["book"], *(where["web"].replace("*.bin", f"part_{i}") for i in range(3))]):
+        own = global_rank(rows.filter(F.col("doc_id") % 4 == k), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.col("t").alias("tokens"), F.lit(None).cast("byte").alias("mode"))
+        own.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(f"{prefix}_parts")
+        if tokenindex.shards(f"{prefix}_parts"):
+            tokenindex.merge(spark, [f"{prefix}_parts"], prefix)
+    if not mix.sources(where):
+        return spark.createDataFrame([], "seq_id long, n long, total long")
+    back = spark.read.format("tokenindex").load(mix.mix(spark, root, "no_fim", {}))
+    return back.select("seq_id", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -77,14 +77,59 @@ def test_token_index(spark, tmp_path):
     got = [(r.seq_id, r.doc_id, r.tokens) for r in spark.read.format("tokenindex").option("rows", "5").load(a).orderBy("seq_id").collect()]
     assert got == [(i, i // 2, [i] * (i % 4)) for i in range(23)]
     rows.limit(4).coalesce(1).write.format("tokenindex").mode("append").save(b)
-    tokenindex.concatenate([a, b], out)
-    assert tokenindex.statistics(out)["sequences"] == 27 and tokenindex.exists(out) and not tokenindex.exists(out + "x")
-    assert np.array_equal(tokenindex.read_index(out).documents, [*range(0, 23, 2), 23, 25, 27])
-    raw = bytearray(open(f"{a}.idx", "rb").read())
+    tokenindex.merge(spark, [a, b], out, rows=4)
+    assert tokenindex.statistics(out) == {"sequences": 27, "documents": 14, "tokens": sum(i % 4 for i in range(23)) + 6}
+    assert tokenindex.exists(out) and not tokenindex.exists(out + "x") and tokenindex.exists(a)
+    index = tokenindex.Index(out)
+    assert index.documents(0, index.ends).tolist() == [*range(0, 23, 2), 23, 25, 27]
+    back = [(r.seq_id, r.doc_id, r.tokens) for r in spark.read.format("tokenindex").option("rows", "5").load(out).orderBy("seq_id").collect()]
+    assert back == got + [(23 + i, 12 + i // 2, [i] * (i % 4)) for i in range(4)]
+    one = tokenindex.Tokens(out)
+    assert one.get(7).tolist() == [7] * 3 and one.get(7, 1, 1).tolist() == [7] and one.get(-1).tolist() == [3] * 3 and one.get(3, 3).tolist() == []
+    assert [x.tolist() for x in one.slice(5, 8)] == [[5], [6] * 2, [7] * 3]
+    with pytest.raises(IndexError):
+        one.get(27)
+    raw = bytearray(open(f"{out}.idx", "rb").read())
     raw[0] = 0
-    open(f"{a}.idx", "wb").write(raw)
+    open(f"{out}.idx", "wb").write(raw)
     with pytest.raises(ValueError):
-        tokenindex.read_index(a)
+        tokenindex.Index(out)
+
+
+def test_modes_and_narrow_ids(spark, tmp_path):
+    a, b, out = (str(tmp_path / x) for x in "abc")
+    for prefix, n in ((a, 3), (b, 2)):
+        np.arange(n * 2, dtype="<u2").tofile(f"{prefix}.bin")
+        tokenindex.write_index(prefix, tokenindex.best_code(100), np.full(n, 2), np.array([0, n]), np.full(n, n))
+    tokenindex.merge(spark, [b, a], out, rows=2)
+    rows = [(r.doc_id, r.tokens, r.mode) for r in spark.read.format("tokenindex").load(out).orderBy("seq_id").collect()] if tokenindex.register(spark) is None else []
+    assert rows == [(0, [0, 1], 2), (0, [2, 3], 2), (1, [0, 1], 3), (1, [2, 3], 3), (1, [4, 5], 3)]
+    np.zeros(1, "<i4").tofile(f"{a}.bin")
+    tokenindex.write_index(a, 4, np.array([1]), np.array([0, 1]))
+    with pytest.raises(ValueError):
+        tokenindex.merge(spark, [a, b], out)
+
+
+def test_mix(spark, tmp_path):
+    from millrace.sources import mix
+
+    root = str(tmp_path)
+    where = mix.layout(root, "other", {})
+    assert where == mix.layout(root, "no_fim", {}) and mix.layout(root, "FIM_v2", {"MIX_OUTPUT_PREFIX": "x"})["out"] == "x"
+    with pytest.raises(RuntimeError):
+        mix.merge_shards(spark, where)
+    for k, prefix in enumerate([where["book"], *(where["web"].replace("*.bin", f"w{i}") for i in range(11))]):
+        (tmp_path / prefix).parent.mkdir(parents=True, exist_ok=True)
+        np.array([k, k], "<i4").tofile(f"{prefix}.bin")
+        tokenindex.write_index(prefix, 4, np.array([2]), np.array([0, 1]))
+    (tmp_path / where["web"].replace("*.bin", "lonely.bin")).write_bytes(b"")
+    assert mix.sources(where)[0] == where["book"] and len(mix.sources(where)) == 12
+    out = mix.mix(spark, root, "no_fim", {})
+    tokenindex.register(spark)
+    order = sorted(range(12), key=lambda i: f"shard_{i}")
+    named = [where["book"], *sorted(where["web"].replace("*.bin", f"w{i}") for i in range(11))]
+    first = [int(np.fromfile(f"{named[i]}.bin", "<i4")[0]) for i in order]
+    assert [r.tokens[0] for r in spark.read.format("tokenindex").load(out).orderBy("seq_id").collect()] == first
 
 
 def test_files(spark, tmp_path):

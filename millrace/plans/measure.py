@@ -393,7 +393,7 @@ x AS (SELECT doc_id, target, i, rank, logit - z AS lp FROM q LEFT JOIN k USING (
 def table_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, target, pos, ctx, token), (ctx, token, logit): targets of ten words at every stride of fifty after the
     first thirty, over whole texts; and the logarithms of how often all texts' words follow each other."""
-    t = tokens(spark, sf_dir).select("doc_id", F.size("t").alias("size"), F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("ctx"), F.expr("slice(t, 2, size(t) - 1)").alias("token")).alias("p")).filter("size > 1")
+    t = tokens(spark, sf_dir).select("doc_id", F.size("t").alias("size"), F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("ctx"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("token")).alias("p")).filter("size > 1")
     logits = t.select(F.explode("p").alias("p")).groupBy("p.ctx", "p.token").agg(F.log(F.count("*")).alias("logit"))
     pos = F.col("at") + 1
     target = (F.floor((pos - 30) / 50) * 50 + 30).cast("int")
@@ -455,7 +455,7 @@ def mdl4b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mdl4c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every text after its first, as a target of its own."""
     t = tokens(spark, sf_dir).select("doc_id", "t").filter(F.size("t") > 1)
-    every = t.select("doc_id", F.posexplode(F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("ctx"), F.expr("slice(t, 2, size(t) - 1)").alias("token"))).alias("at", "p")).select("doc_id", (F.col("at") + 1).alias("pos"), "p.ctx", "p.token")
+    every = t.select("doc_id", F.posexplode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("ctx"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("token"))).alias("at", "p")).select("doc_id", (F.col("at") + 1).alias("pos"), "p.ctx", "p.token")
     _, logits = table_model(spark, sf_dir)
     got = ranked_targets(every, logits, 40)
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("rank").alias("supported"), F.round(F.sum("lp"), 4).alias("log_p"), F.max(F.when(F.col("rank").isNull(), F.col("pos"))).alias("last_unsupported"))

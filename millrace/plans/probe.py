@@ -107,7 +107,7 @@ def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.scans import read_shards_of, write_shards_of
 
     rows = topk_scores(ranked_targets(*table_model(spark, sf_dir), 40), ["doc_id", "target"], 0.001)
-    path = write_shards_of(rows.withColumn("shard", P.in_shard(F.col("doc_id") * 100_003 + F.col("target"), 4)), "shard", f"{shared_dir(spark)}/shards")
+    path = write_shards_of(rows.withColumn("shard", P.in_shard(F.col("doc_id") * 100_003 + F.col("target"), 4)), "shard", 4, f"{shared_dir(spark)}/shards")
     back = read_shards_of(spark, path, "shard", 4, "doc_id long, target int, geomean double, extractable int")
     document = P.summary_document(P.summary(back, ["geomean"], ["extractable"]), merged_from_shards=4)
     got = lambda p, kind: F.get_json_object("document", p).cast(kind)
@@ -259,7 +259,7 @@ def tok1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.tokenizers import BYTES, decode, encode
 
     rows = docs(spark, sf_dir).select("doc_id", F.concat(encode(BYTES)("text"), F.array(F.lit(BYTES.end))).alias("ids"))
-    rows = rows.withColumn("text", decode(BYTES)(F.expr("slice(ids, 1, size(ids) - 1)")))
+    rows = rows.withColumn("text", decode(BYTES)(F.expr("slice(ids, 1, greatest(size(ids) - 1, 0))")))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
@@ -288,9 +288,9 @@ def set4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = codes(spark, sf_dir).filter(F.size("t") > 0).filter("t[0] <> 0 or size(t) > 1")
     for k, prefix in enumerate([where["book"], *(where["web"].replace("*.bin", f"part_{i}") for i in range(3))]):
         own = global_rank(rows.filter(F.col("doc_id") % 4 == k), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.col("t").alias("tokens"), F.lit(None).cast("byte").alias("mode"))
-        own.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(f"{prefix}_parts")
-        if tokenindex.shards(f"{prefix}_parts"):
-            tokenindex.merge(spark, [f"{prefix}_parts"], prefix)
+        own.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(f"{root}/parts/{k}")
+        if tokenindex.shards(f"{root}/parts/{k}"):
+            tokenindex.merge(spark, [f"{root}/parts/{k}"], prefix)
     if not mix.sources(where):
         return spark.createDataFrame([], "seq_id long, n long, total long")
     back = spark.read.format("tokenindex").load(mix.mix(spark, root, "no_fim", {}))

@@ -128,7 +128,7 @@ def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokenindex.register(spark)
     prefix = os.path.join(shared_dir(spark).removeprefix("file://"), f"index-{uuid.uuid4().hex}", "docs")
-    rows = global_rank(docs(spark, sf_dir).select("doc_id", "text"), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.transform(F.split("text", ""), lambda x: F.ascii(x)).alias("tokens"), F.lit(None).cast("byte").alias("mode"))
+    rows = global_rank(docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.transform(F.split("text", ""), lambda x: F.ascii(x)).alias("tokens"), F.lit(None).cast("byte").alias("mode"))
     rows.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(prefix)
     back = spark.read.format("tokenindex").load(prefix)
     return back.select("seq_id", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -130,10 +130,13 @@ def write_vectors(rows: DataFrame, path: str) -> None:
     rows.select("excerpt_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
 
 
-def write_shards_of(rows: DataFrame, shard: str, folder: str) -> str:
-    """JSON lines, a folder a shard; the path, which no earlier run has."""
-    path = f"{folder}/{uuid.uuid4().hex}"
-    rows.repartition(shard).write.partitionBy(shard).json(path)
+def write_shards_of(rows: DataFrame, shard: str, shards: int, folder: str) -> str:
+    """JSON lines, a folder a shard (0 to shards - 1, empty where it has no rows); the path, which no earlier run has."""
+    spark, path = rows.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    rows.filter(F.col(shard).isNotNull()).repartition(shard).write.partitionBy(shard).json(path)
+    for k in range(shards):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard}={k}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     return path
 
 

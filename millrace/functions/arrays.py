@@ -122,9 +122,9 @@ def type_token_ratio(a: Column) -> Column:
 
 
 def matches(a: Column, b: Column) -> Column:
-    """Positions at which two arrays of one length agree."""
+    """Positions at which two arrays of one length agree; null if either is."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), same).otherwise(F.raise_error(F.lit("arrays differ in length")).cast("int"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.size(a) == F.size(b), same).otherwise(F.raise_error(F.lit("arrays differ in length")).cast("int"))
 
 
 def packed_boundaries(a: Column, eod: int) -> Column:

@@ -35,12 +35,15 @@ def random_split(n: int, rng: random.Random) -> tuple[int, int]:
 
 @F.pandas_udf(StructType().add("coin", DoubleType()).add("left_end", IntegerType()).add("middle_end", IntegerType()))
 def split_draws(seed: pd.Series, key: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """The coin, then the cuts, of each key: the order in which they are drawn is part of the result."""
+    """The coin, then the cuts, of each key: the order in which they are drawn is part of the result. Nulls draw nothing."""
     rows = []
     for s, k, size in zip(seed, key, n, strict=True):
+        if k is None or pd.isna(size):
+            rows.append((None, None, None))
+            continue
         rng = keyed(int(s), k)
         rows.append((rng.random(), *random_split(int(size), rng)))
-    return pd.DataFrame(rows, columns=["coin", "left_end", "middle_end"])
+    return pd.DataFrame(rows, columns=["coin", "left_end", "middle_end"]).astype({"left_end": "Int32", "middle_end": "Int32"})
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

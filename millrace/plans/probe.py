@@ -69,8 +69,10 @@ def mdl11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each target: top-k scores, reference cost, greedy words (none if they end early) and how they agree.
     Held against a plain version in tests."""
     g, logits = table_model(spark, sf_dir)
-    g, logits = settle(g), settle(logits)
     keys = ["doc_id", "target"]
+    # of rows that share an id and a place the least pair of words counts
+    g = settle(g.groupBy(*keys, "pos").agg(F.min(F.struct("ctx", "token")).alias("p")).select(*keys, "pos", "p.ctx", "p.token"))
+    logits = settle(logits)
     scores = topk_scores(ranked_targets(g, logits, 40), keys, 0.001)
     z = logits.groupBy("ctx").agg(F.log(F.sum(F.exp("logit"))).alias("z"))
     nll = look_up(look_up(g, logits, ["ctx", "token"], ["doc_id", "pos"]), z, ["ctx"], ["doc_id", "pos"]).groupBy(*keys).agg(F.avg(F.col("z") - F.col("logit")).alias("Ref_NLL"))

@@ -15,9 +15,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or no letters) go; lang becomes the language found.
+    """Texts without a language (null, empty, or no letters) go; lang becomes the language found.
 
-    Languages are learned from the labelled rows outside the held-out fold, as in op4_langid.
+    Languages are learned from the labelled rows outside the held-out fold, as in op4_langid; without any, all
+    texts go. Null ids, nulls in other columns, repeated rows and ties stay as they are; other columns go.
     """
     prepare(spark)
     learned = langid.prototypes(langid.fold(docs).filter("not held_out"))
@@ -29,26 +30,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies stays: of smallest doc_id (null last), and of rows that share it, one.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what
-    such pairs link. A row's text alone decides its group, not its doc_id.
+    such pairs link: SimHash fingerprints link the closest, a prefix filter finds the rest. A row's text alone
+    decides its group, not its doc_id; null and empty texts are one group.
     """
     prepare(spark)
     return nearcopies.one_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go, whatever their ids; null and empty texts hold none and stay.
+
+    An empty benchmark, and items too short to be told from chance, send nothing away.
+    """
     prepare(spark)
     return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts gives way to its kind; n_chars follows."""
+    """Personal data in texts gives way to its kind; n_chars follows (null text stays null, with null n_chars). No row goes."""
     prepare(spark)
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of at most 4096 tokens."""
+    """The pieces of the documents and their places in sequences of at most 4096 tokens.
+
+    A null or empty text is a piece of its end id alone; repeated rows and ids are packed each on their own.
+    """
     prepare(spark)
     return packing.packed(docs)
 
@@ -61,7 +69,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: No stage but the filters' shells can be told in SQL; tests/llm holds the stages against brute force.
+#: No stage but the filters' shells can be told in SQL; tests/llm/test_stages.py holds each against a plain version.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Rows handed to Python at once; whole texts can be long, so it is below Spark's default.
 BATCH_ROWS = 1000
 #: Bytes of text that one step of a Python function holds in working arrays.
@@ -32,14 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        # a context-wide folder set earlier counts too
+    """The folder that driver and executors share: spark.checkpoint.dir, or one set for the context; else (tests, on a
+    local master) a temporary one, on a cluster an error."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if jdir.isDefined():
+            spark.conf.set("spark.checkpoint.dir", jdir.get())
+    return session.shared_dir(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ pattern: secret (keys and passwords behind a cue) and number (numbers that name
 identity or account numbers in groups). It is trained, by gradients of its exact likelihood, on the small
 labelled table below, and decoded by Viterbi in numpy batches. Its spans never touch a base span.
 
-Only stretches of words with a digit, "@" or a quoted run are decoded: after training, the score of the
+Only stretches of words with a digit or "@" are decoded, so the field tags no other word: after training, the score of the
 outside label on any other word, in any context, is checked to exceed every other label's by more than
 all transitions can make up, so Viterbi over the whole text would label such words outside, too, and the
 stretches between them are independent. If the check fails, all words are decoded.

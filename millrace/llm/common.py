@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +22,12 @@ CHUNK_BYTES = 4 << 20
 SPREAD = 256
 
 
+# glibc raises the size from which it maps an array of its own, and gives it back when freed, to 32 MB as it goes; held at
+# 1 MB, a worker that is used again and again doesn't keep the working arrays of its largest chunks
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
+
 def prepare(spark: SparkSession) -> None:
     """Lower Spark's default Arrow batch to BATCH_ROWS; a value that the user chose stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -69,7 +69,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def cells(keys: np.ndarray) -> np.ndarray:
     """Trigram vectors, one a row, as float32."""
-    if len(_cells) > 40_000:
+    if len(_cells) > 16_000:
         _cells.clear()
     for k in keys.tolist():
         if k not in _cells:

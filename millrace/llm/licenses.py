@@ -1,9 +1,10 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance along directories.
 
-Every text is cut into units: sentences, lines and paragraphs, and the whole text of a licence file. A
+Every text is cut into units: sentences, lines, paragraphs, the comment it begins with, and the whole text of a licence file. A
 unit's vector holds tf * idf of its words; idf = ln((1 + N) / (1 + df)) + 1 counts documents over the whole
 table for the words of the templates, and any other word weighs as much as their mean. A unit whose cosine
-to a template reaches THRESHOLD is a notice; a file's own licence is its best notice.
+to a template reaches THRESHOLD is a notice (one that names a licence by its SPDX identifier must hold all of
+it, or another's line would do); a file's own licence is its best notice.
 
 Only units that hold a cue are compared: for each template, the cues are its heaviest words up to the
 point where a unit without any of them can't reach the threshold any more, so none is lost.
@@ -32,53 +33,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, spread_join, table
+from .license_texts import NOTICES, TEXTS
 
 THRESHOLD = 0.7
 WORD = re.compile(r"[a-z0-9]+")
+#: Lines of comment, and empty ones, that a file begins with.
+HEADER = re.compile(r"(?:[ \t]*(?:#|//|/?\*|;|%|--)[^\n]*(?:\n|\Z)|[ \t]*\n)+")
 LICENSE_NAME = re.compile(r"(^|/)(un)?(licen[cs]e|copying|notice|copyright)([.-][^/]*)?$", re.I)
 
-#: Wording of public licence notices, by SPDX identifier.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": (
-        "This work is licensed under the GNU Affero General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "ISC": (
-        "Released under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": (
-        "Released under the MIT License.",
-        "SPDX-License-Identifier: MIT",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-}
+#: What marks the line that names a licence by its identifier; such a line must hold every word of its template.
+SPDX = "SPDX-License-Identifier:"
+
+
+def _templates() -> dict[str, tuple[str, ...]]:
+    """Of each licence: its notices, its whole text, the first paragraph if no other licence begins so, and the line that names it."""
+    first = {name: text.partition("\n\n")[0] for name, text in TEXTS.items()}
+    out = {}
+    for name in sorted(NOTICES.keys() | TEXTS.keys()):
+        own = [t[name] for t in (TEXTS, first) if name in t and list(t.values()).count(t[name]) == 1]
+        out[name] = tuple(dict.fromkeys([*NOTICES.get(name, ()), *own, f"{SPDX} {name}"]))
+    return out
+
+
+TEMPLATES = _templates()
 
 
 def words(text: str) -> list[str]:
@@ -96,12 +73,16 @@ class Scanner:
         self.threshold = threshold
         self.idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in sorted(vocabulary(templates))}
         self.other = sum(self.idf.values()) / len(self.idf)
-        self.vectors, self.cues = [], set()
+        self.names, self.needs, self.cues = [], [], set()
+        self.postings: dict[str, list[tuple[int, float]]] = {}
         for name in sorted(templates):
             for t in templates[name]:
                 v = {w: n * self.idf[w] for w, n in Counter(words(t)).items()}
                 norm = math.sqrt(sum(x * x for x in v.values()))
-                self.vectors.append((name, v, norm))
+                for w, x in v.items():
+                    self.postings.setdefault(w, []).append((len(self.names), x / norm))
+                self.names.append(name)
+                self.needs.append(frozenset(v) if t.startswith(SPDX) else frozenset())
                 left = norm * norm
                 for w in sorted(v, key=lambda w: (-v[w], w)):
                     if left < (threshold * norm) ** 2:
@@ -116,14 +97,20 @@ class Scanner:
         idf, other = self.idf, self.other
         v = {w: n * idf.get(w, other) for w, n in count.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
+        dot = [0.0] * len(self.names)
+        for w, x in v.items():
+            for i, y in self.postings.get(w, ()):
+                dot[i] += x * y
         best = None
-        for name, t, size in self.vectors:
-            cos = round(sum(x * v[w] for w, x in t.items() if w in v) / (norm * size), 9)
-            if cos >= self.threshold and (best is None or cos > best[0]):
-                best = (cos, name)
+        for i, x in enumerate(dot):
+            cos = round(x / norm, 9) if norm else 0.0
+            if cos >= self.threshold and (best is None or cos > best[0]) and self.needs[i] <= v.keys():
+                best = (cos, self.names[i])
         return best
 
     def units(self, text: str) -> Iterator[str]:
+        if header := HEADER.match(text):
+            yield header[0]
         for block in re.split(r"\n[\s#/*;%-]*\n", text):
             lines = block.split("\n")
             if len(lines) > 1:

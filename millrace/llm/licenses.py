@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, and inheritance along directories.
 
 Every text is cut into units: sentences, lines, paragraphs, the comment it begins with, and the whole text of a licence file. A
-unit's vector holds tf * idf of its words; idf = ln((1 + N) / (1 + df)) + 1 counts documents over the whole
+unit's vector holds (1 + ln tf) * idf of its words; idf = ln((1 + N) / (1 + df)) + 1 counts documents over the whole
 table for the words of the templates, and any other word weighs as much as their mean. A unit whose cosine
 to a template reaches THRESHOLD is a notice (one that names a licence by its SPDX identifier must hold all of
 it, or another's line would do); a file's own licence is its best notice.
@@ -77,7 +77,7 @@ class Scanner:
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for name in sorted(templates):
             for t in templates[name]:
-                v = {w: n * self.idf[w] for w, n in Counter(words(t)).items()}
+                v = {w: (1 + math.log(n)) * self.idf[w] for w, n in Counter(words(t)).items()}
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 for w, x in v.items():
                     self.postings.setdefault(w, []).append((len(self.names), x / norm))
@@ -95,7 +95,7 @@ class Scanner:
         """(cosine, licence) of a unit's words, if it is a notice."""
         count = Counter(found)
         idf, other = self.idf, self.other
-        v = {w: n * idf.get(w, other) for w, n in count.items()}
+        v = {w: (1 + math.log(n)) * idf.get(w, other) for w, n in count.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         dot = [0.0] * len(self.names)
         for w, x in v.items():

@@ -17,6 +17,7 @@ def odd(spark, tmp_path_factory):
     rows = [(1, None, "en", "a"), (2, "", None, None), (3, long, "en", "a"), (3, long, "en", "a"), (4, long, "de", "b"), (None, "no id here", "en", None), (5, "...", "", "c"), (6, "short words", "en", "a"), (-7, "ein Satz mit Wörtern und Zahlen 12", "de", "a"), (6, "short words", "en", "a")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as long) as n_chars", *CLASH).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(0, [1.0, 0.0], 1), (50, [1.0, 0.0], 2), (50, [1.0, 0.0], 2), (None, [1.0, 1.0], 3), (2, None, 3)], "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as v", "2 as block").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, None, 1), (3, 1, 0), (None, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int").selectExpr("*", "'x' as part", "1 as A").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "short words"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
@@ -24,7 +25,7 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         spark.read.parquet(f"{odd}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     return folder
 
@@ -63,11 +64,12 @@ def test_stages_return_the_columns(spark, sf):
         n = docs.count()
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_sql(spark, sf, name):
-    con = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+# the SQL of op2_ann asks once a row, the operator once an id: they differ where an id is repeated
+@pytest.mark.parametrize(("name", "tables"), [(x, t) for x in sorted(ORACLES) for t in ("sf", "odd") if (x, t) != ("op2_ann", "odd")])
+def test_sql(spark, request, name, tables):
+    sf, con = request.getfixturevalue(tables), duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet{'/*.parquet' * (tables == 'odd')}'")
     want = con.sql(ORACLES[name])
     columns = sorted(want.columns)
     rows = [tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()]

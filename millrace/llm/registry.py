@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, interactions, langid, licenses, packing, pii, repeats, simhash, tokencount, tokenfile
+from . import ann, codes, decontam, interactions, langid, licenses, packing, pii, repeats, simhash, tokencount, tokenfile
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_tokencount": tokencount.op10_tokencount,
     "op11_interactions": interactions.op11_interactions,
+    "op12_codes": codes.op12_codes,
 }
 
 #: Operators that SQL can express; the others are held against brute force in tests/llm.
-ORACLES = {"op2_ann": ann.OP2_SQL, "op11_interactions": interactions.OP11_SQL}
+ORACLES = {"op2_ann": ann.OP2_SQL, "op11_interactions": interactions.OP11_SQL, "op12_codes": codes.OP12_SQL}

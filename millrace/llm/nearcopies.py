@@ -56,8 +56,8 @@ def as_set(digests: list[bytes]) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)).view(np.int64)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return as_set(shingle_hashes(text, WORDS))
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    return as_set(shingle_hashes(text, words))
 
 
 def set_id(found: np.ndarray) -> int:
@@ -65,9 +65,9 @@ def set_id(found: np.ndarray) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def parities(found: np.ndarray) -> bytes:
-    """A bit for each shingle or more (a power of two, 64 at least): the parity of the shingles at it."""
-    size = 1 << max(6, (len(found) - 1).bit_length())
+def parities(found: np.ndarray, times: int = 1) -> bytes:
+    """A bit for each shingle or more (a power of two, 64 at least, and so many times that): the parity of the shingles at it."""
+    size = times << max(6, (len(found) - 1).bit_length())
     return np.packbits(np.bincount(found & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -84,15 +84,15 @@ def apart(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the total order: enough of them to meet any set of similarity 0.8."""
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int = 80) -> np.ndarray:
+    """The first shingles in the total order: enough of them to meet any set of that similarity."""
     n = len(found)
     if not n:
         return found
     at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
     known = common[at] == found if len(common) else np.zeros(n, bool)
     ordered = np.concatenate([found[~known], found[known][np.argsort(rank[at[known]])]])
-    return ordered[: n - (4 * n + 4) // 5 + 1]
+    return ordered[: n - (percent * n + 99) // 100 + 1]
 
 
 def lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -100,12 +100,12 @@ def lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
 
 
-def common_shingles(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, sample: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many rows of a sample have, in order of value; and their ranks, the rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
-            found = np.concatenate([shingle_set(x) for x in b.column("text").to_pylist()])
+            found = np.concatenate([shingle_set(x, words) for x in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(found)], ["shingle"])
 
     share = 2**20 * sample // max(docs.count(), 1)

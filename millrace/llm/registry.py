@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, codes, decontam, interactions, langid, licenses, packing, pii, repeats, simhash, tokencount, tokenfile
+from . import ann, codes, decontam, interactions, jaccard, langid, licenses, packing, pii, repeats, simhash, tokencount, tokenfile
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_tokencount": tokencount.op10_tokencount,
     "op11_interactions": interactions.op11_interactions,
     "op12_codes": codes.op12_codes,
+    "op13_jaccard": jaccard.op13_jaccard,
 }
 
 #: Operators that SQL can express; the others are held against brute force in tests/llm.

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from millrace.llm.registry import ORACLES, QUERIES
 
-PER_DOCUMENT = ["op1_licenses", "op3_repeats", "op4_langid", "op5_tokenfile", "op6_simhash", "op8_pii", "op10_tokencount"]
+PER_DOCUMENT = ["op1_licenses", "op3_repeats", "op4_langid", "op5_tokenfile", "op6_simhash", "op8_pii", "op10_tokencount", "op13_jaccard"]
 CLASH = [f"cast({i} as int) as {c}" for i, c in enumerate(["component_id", "fp", "key", "cid", "weight", "sha", "block", "path", "file_id", "length", "held_out", "root", "node", "u", "v", "dir", "name", "start"])]
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, connected_components, materialize, spread_join, table
-from .nearcopies import HELD, PIECE, SAMPLE, across, apart, common_shingles, let_through, lists, parities, prefix, screen, set_id, shingle_set
+from .nearcopies import HELD, PIECE, SAMPLE, across, among, apart, common_shingles, let_through, lists, parities, prefix, screen, set_id, shingle_set
 
 WORDS, PERCENT = 4, 85
 #: The join's distance, and the greatest distance of a text at home with a pivot.
@@ -55,7 +55,8 @@ def marks(docs: DataFrame, sample: int) -> DataFrame:
         for b in chunks(batches, "text", PIECE):
             found = [shingle_set(x, WORDS) for x in b.column("text").to_pylist()]
             first = [prefix(x, common, rank, PERCENT) for x in found]
-            known = [int(np.isin(x, common).sum()) for x in first]
+            # common ones come last
+            known = [max(0, len(p) - int((~among(x, common)[1]).sum())) for x, p in zip(found, first, strict=True)]
             own = [pa.array([set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), lists(first), pa.array(known, pa.int32()), pa.array([parities(x, 4) for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "h1")), *own], ["doc_id", "h1", "sid", "n", "prefix", "common", "bits"])
 
@@ -233,3 +234,23 @@ def join(docs: DataFrame, sample: int = SAMPLE, **how: int) -> DataFrame:
 
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '     abcdefghijklmnopqrstuvwxyz'), ' '), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2], ' ', w[i + 3])))) END AS s FROM d
+), k AS MATERIALIZED (
+  SELECT md5(array_to_string(s, chr(1))) AS sid, any_value(s) AS s, min(doc_id) AS first, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY 1
+), t AS MATERIALIZED (SELECT sid, n, hash(x) AS x FROM (SELECT sid, n, unnest(s) AS x FROM k)), 
+p AS MATERIALIZED (
+  SELECT a.sid AS u, b.sid AS v FROM t a JOIN t b ON a.x = b.x AND a.sid < b.sid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.sid, b.sid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS MATERIALIZED (SELECT u, v FROM p UNION ALL SELECT v, u FROM p), r AS (
+  SELECT sid AS u, sid AS v FROM k UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u
+), c AS (SELECT r.u AS sid, min(k.first) AS component_id FROM r JOIN k ON r.v = k.sid GROUP BY r.u)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id
+FROM s LEFT JOIN c ON c.sid = md5(array_to_string(s.s, chr(1)))
+"""

@@ -84,13 +84,18 @@ def apart(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
+def among(found: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each shingle would stand among the common ones, which are in order, and whether it is one."""
+    at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
+    return at, common[at] == found if len(common) else np.zeros(len(found), bool)
+
+
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int = 80) -> np.ndarray:
     """The first shingles in the total order: enough of them to meet any set of that similarity."""
     n = len(found)
     if not n:
         return found
-    at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
-    known = common[at] == found if len(common) else np.zeros(n, bool)
+    at, known = among(found, common)
     ordered = np.concatenate([found[~known], found[known][np.argsort(rank[at[known]])]])
     return ordered[: n - (percent * n + 99) // 100 + 1]
 

@@ -21,4 +21,4 @@ QUERIES = {
 }
 
 #: Operators that SQL can express; the others are held against brute force in tests/llm.
-ORACLES = {"op2_ann": ann.OP2_SQL, "op11_interactions": interactions.OP11_SQL, "op12_codes": codes.OP12_SQL}
+ORACLES = {"op2_ann": ann.OP2_SQL, "op11_interactions": interactions.OP11_SQL, "op12_codes": codes.OP12_SQL, "op13_jaccard": jaccard.OP13_SQL}

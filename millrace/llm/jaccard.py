@@ -5,19 +5,20 @@ apart. The first regions are therefore the texts that share a shingle: sets of s
 the first n - ceil(0.85 n) + 1 of each, in an order of shingles that has those known to be common last (a sample
 tells which, and the cost only). Shingles with the same texts make one region.
 
-A round takes pivots in each region and measures its texts against them. Texts within the join's distance of a pivot
-are linked. Then each text is at home in the cell of its nearest pivot, or, if none is within CORE, in the region's
-far cell; and by the triangle inequality it must also visit
+In a round each large region takes pivots and measures its texts against them. Texts within the join's distance of a
+pivot are linked. Then each text is at home in the cell of its nearest pivot, or, if none is within CORE, in the
+region's far cell; and by the triangle inequality it must also visit
 - the cell of each pivot not further than its nearest one by more than twice the join's distance, nor further than
   CORE by more than that distance, and
 - the far cell, if its nearest pivot is not nearer than CORE by more than that distance.
 Any two texts within the join's distance are then both in the cell that either is at home in. Pivots have met all
 texts of their region and leave. Cells are the next round's regions, save those without a text at home and those whose
-texts the links so far have all made one component, which is how large groups of copies end. A cell of few texts compares them all;
-what is large after the last round meets in blocks of bounded size (those of its main component not with each other).
+texts the links so far have all made one component, which is how large groups of copies end. Regions of few texts wait
+for the end, when those of different components are compared; what is large after the last round meets in blocks of
+bounded size (those of its main component not with each other).
 
-A distance is bounded from below by the sets' parities first; pairs that may be near are measured on the full sets.
-Full sets are written once, for texts of the first regions. Links join in connected components.
+A distance is bounded from below by the sets' sizes and parities; pairs that may be near are measured on the full sets,
+which are read again from the texts of such pairs alone. Links join in connected components.
 
 Defined results: null and empty texts and texts of white space have no shingles and link with nothing, not even each
 other (component_id is their own doc_id); texts with equal sets are linked; a null doc_id is no candidate for the
@@ -40,27 +41,42 @@ from .nearcopies import HELD, PIECE, SAMPLE, across, among, apart, common_shingl
 
 WORDS, PERCENT = 4, 85
 #: The join's distance, and the greatest distance of a text at home with a pivot.
-NEAR, CORE = 1 - PERCENT / 100, 0.35
-#: Pivots of a large region (small ones have one), texts of a small region, and rounds.
+NEAR, CORE = 1 - PERCENT / 100, 0.20
+#: Pivots of a large region, texts of a small one, and rounds.
 PIVOTS, LEAF, ROUNDS = 4, 16, 3
+#: Sets that a task remembers, so as to tell the prefix of copies once.
+SEEN = 100_000
 #: Beyond the rounding of distances.
 EPS = 1e-9
 
 
 def marks(docs: DataFrame, sample: int) -> DataFrame:
-    """doc_id, h1, rid, sid (the set's hash), n (its size), prefix, common (how many of the prefix, at its end, are known to be common), bits."""
+    """doc_id, h1, rid, sid (the set's hash), n (its size); and of a set's first row in a task prefix, common (how many of
+    the prefix, at its end, are known to be common) and bits (its parities)."""
     common, rank = common_shingles(docs, sample, WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in chunks(batches, "text", PIECE):
-            found = [shingle_set(x, WORDS) for x in b.column("text").to_pylist()]
-            first = [prefix(x, common, rank, PERCENT) for x in found]
-            # common ones come last
-            known = [max(0, len(p) - int((~among(x, common)[1]).sum())) for x, p in zip(found, first, strict=True)]
-            own = [pa.array([set_id(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), lists(first), pa.array(known, pa.int32()), pa.array([parities(x, 4) for x in found], pa.binary())]
+            out: list[list] = [[], [], [], [], []]
+            for text in b.column("text").to_pylist():
+                found = shingle_set(text, WORDS)
+                sid = set_id(found)
+                if sid in seen:
+                    row = (sid, len(found), found[:0], 0, None)
+                else:
+                    first = prefix(found, common, rank, PERCENT)
+                    # common ones come last
+                    row = (sid, len(found), first, max(0, len(first) - int((~among(found, common)[1]).sum())), parities(found))
+                    seen.add(sid)
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            if len(seen) > SEEN:
+                seen.clear()
+            own = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), lists(out[2]), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "h1")), *own], ["doc_id", "h1", "sid", "n", "prefix", "common", "bits"])
 
-    rows = docs.select("doc_id", "h1", "text").mapInArrow(run, "doc_id long, h1 long, sid long, n long, prefix array<long>, common int, bits binary")
+    rows = docs.select("doc_id", "h1", "text").mapInArrow(run, "doc_id long, h1 long, sid long, n int, prefix array<long>, common int, bits binary")
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "marks")
 
 
@@ -70,83 +86,100 @@ def mixed(sid: np.ndarray, by: int) -> np.ndarray:
 
 
 def shared_rare(rows: DataFrame) -> DataFrame:
-    """(token, sid) -> the rows of tokens that several sets have; and a row a token, sid null, with their number and two digests of them."""
-    kinds = "token long, sid long, m long, x long, y long"
+    """(token, sid, n) -> the rows of tokens that several sets have, each once; and a row a token, sid null, with the
+    number m of its sets and two digests of them."""
+    kinds = "token long, sid long, n int, m long, x long, y long"
 
-    def out(token: np.ndarray, sid: np.ndarray | None, told: list[np.ndarray] | None) -> pa.RecordBatch:
-        columns = [token, *([None] if sid is None else [sid]), *(told or [None] * 3)]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(token), pa.int64()) if c is None else pa.array(c.view(np.int64)) for c in columns], ["token", "sid", "m", "x", "y"])
+    def out(token: np.ndarray, sid: np.ndarray | None = None, n: np.ndarray | None = None, told: list[np.ndarray] | None = None) -> pa.RecordBatch:
+        columns = [token, sid, n, *(told or [None] * 3)]
+        types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(token), t) if c is None else pa.array(np.asarray(c).view(np.int64) if t == pa.int64() else c, t) for c, t in zip(columns, types, strict=True)], ["token", "sid", "n", "m", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the token that goes on: itself, its first set, and what was told so far
-        token, first, told = None, 0, (0, np.uint64(0), np.uint64(0))
+        # of the token that goes on: itself, its first and its last set, and what was told so far
+        token, first, last, told = None, None, None, (0, np.uint64(0), np.uint64(0))
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens, sids = (c.to_numpy() for c in b.columns)
+            tokens, sids, sizes = (c.to_numpy() for c in b.columns)
+            new = np.concatenate(([token is None or tokens[0] != token or sids[0] != last], (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])))
+            tokens, sids, sizes = tokens[new], sids[new], sizes[new]
+            if not len(tokens):
+                continue
             start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
             m = np.diff(np.append(start, len(tokens)))
             x, y = np.bitwise_xor.reduceat(mixed(sids, 0x9E3779B97F4A7C15), start), np.add.reduceat(mixed(sids, 0xD6E8FEB86659FD93), start)
             own = m.copy()
-            if token == tokens[0]:
+            if token is not None and token == tokens[0]:
                 if told[0] == 1:
-                    yield out(np.array([token]), np.array([first]), None)
+                    yield out(np.array([token]), *first)
                 m[0], x[0], y[0] = m[0] + told[0], x[0] ^ told[1], y[0] + told[2]
             elif told[0] > 1:
-                yield out(np.array([token]), None, [np.array([told[0]]), np.array([told[1]]), np.array([told[2]])])
+                yield out(np.array([token]), told=[np.array([t]) for t in told])
             several = np.repeat(m > 1, own)
-            yield out(tokens[several], sids[several], None)
+            yield out(tokens[several], sids[several], sizes[several])
             done = np.flatnonzero(m[:-1] > 1)
-            yield out(tokens[start[done]], None, [m[done], x[done], y[done]])
-            token, first, told = tokens[-1], sids[-1], (m[-1], x[-1], y[-1])
+            yield out(tokens[start[done]], told=[m[done], x[done], y[done]])
+            token, first, last, told = tokens[-1], (sids[-1:].copy(), sizes[-1:].copy()), sids[-1], (m[-1], x[-1], y[-1])
         if told[0] > 1:
-            yield out(np.array([token]), None, [np.array([told[0]]), np.array([told[1]]), np.array([told[2]])])
+            yield out(np.array([token]), told=[np.array([t]) for t in told])
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, kinds)
+    return rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, kinds)
 
 
-def first_regions(sets: DataFrame) -> DataFrame:
-    """(region, sid): the sets that share a shingle of their prefixes; regions of the same sets are one."""
-    rows = sets.select("sid", F.posexplode("prefix").alias("at", "token"), (F.size("prefix") - F.col("common")).alias("rare"))
-    found = materialize(shared_rare(rows.filter("at < rare").select("token", "sid")), "shared")
+def first_regions(marked: DataFrame) -> DataFrame:
+    """(region, sid, n): the sets that share a shingle of their prefixes; regions of the same sets are one."""
+    rows = marked.select("sid", "n", F.posexplode("prefix").alias("at", "token"), (F.size("prefix") - F.col("common")).alias("rare"))
+    found = materialize(shared_rare(rows.filter("at < rare").select("token", "sid", "n")), "shared")
     # shingles known to be common may be very many sets': they are counted by partial sums, and not brought together
-    common = rows.filter("at >= rare").select("token", "sid")
+    common = rows.filter("at >= rare").select("token", "sid", "n").distinct()
     counted = common.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"))
     told = found.filter("sid is null").select("token", "m", "x", "y").union(counted.filter("m > 1"))
     chosen = told.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
-    members = found.filter("sid is not null").select("token", "sid").union(common)
-    return materialize(spread_join(members, chosen, ["token"], ["sid"]).select(F.col("token").alias("region"), "sid"), "regions")
+    members = found.filter("sid is not null").select("token", "sid", "n").union(common)
+    return spread_join(members, chosen, ["token"], ["sid"]).select(F.col("token").alias("region"), "sid", "n")
 
 
-def full_sets(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(sid, s) of all sets that are in a region; other texts are left out by a screen of bounded size, then by the join."""
-    needed = members.select("sid").distinct()
-    bits = screen(sets.join(needed, "sid", "left_semi").select("h1"))
+class Sets:
+    """Sizes and parities of all sets, and the full sets of those that were asked for so far."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", PIECE):
-            found = [shingle_set(x, WORDS) for x in b.filter(pa.array(let_through(bits, b.column("h1")))).column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), lists(found)], ["sid", "s"])
+    def __init__(self, docs: DataFrame, profiles: DataFrame) -> None:
+        self.docs, self.profiles, self.full = docs, profiles, None
+
+    def get(self, needed: DataFrame) -> DataFrame:
+        """(sid, s), for sids that are needed at least: texts of others are left out by a screen of bounded size, then by a join."""
+        if self.full is not None:
+            needed = needed.join(self.full.select("sid"), "sid", "left_anti")
+        needed = materialize(needed, "needed")
+        bits = screen(self.profiles.join(needed, "sid", "left_semi").select("h1"))
 
-    once = docs.select("h1", "text").mapInArrow(run, "sid long, s array<long>").dropDuplicates(["sid"])
-    return materialize(once.join(needed, "sid", "left_semi"), "full-sets")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in chunks(batches, "text", PIECE):
+                found = [shingle_set(x, WORDS) for x in b.filter(pa.array(let_through(bits, b.column("h1")))).column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in found], pa.int64()), lists(found)], ["sid", "s"])
 
+        once = self.docs.select("h1", "text").mapInArrow(run, "sid long, s array<long>").join(needed, "sid", "left_semi")
+        new = materialize(once.dropDuplicates(["sid"]), "full-sets")
+        self.full = new if self.full is None else self.full.union(new)
+        return self.full
 
-def measured(pairs: DataFrame, sets: DataFrame, full: DataFrame, reach: float) -> DataFrame:
+
+def measured(pairs: DataFrame, sets: Sets, reach: float) -> DataFrame:
     """Distinct pairs (a, b) -> a, b, d, linked, of those whose distance is within reach."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y, n, m = (b.column(c).to_pylist() for c in ("x", "y", "n", "m"))
             gaps = np.array([max(apart(*z[:2]), abs(z[2] - z[3])) for z in zip(x, y, n, m, strict=True)], np.float64)
-            both = b.column("n").to_numpy() + b.column("m").to_numpy()
+            both = b.column("n").to_numpy().astype(np.float64) + b.column("m").to_numpy()
             yield b.select(["a", "b"]).filter(pa.array(2 * gaps <= (reach + EPS) * (both + gaps), pa.bool_()))
 
     # a set may be a pivot of very many
-    pairs = materialize(pairs, "pairs")
-    sized = spread_join(pairs, sets.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x")), ["a"], ["b"])
-    sized = spread_join(sized, sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), ["b"], ["a"])
+    pairs, profile = materialize(pairs, "pairs"), sets.profiles
+    sized = spread_join(pairs, profile.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x")), ["a"], ["b"])
+    sized = spread_join(sized, profile.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), ["b"], ["a"])
     near = materialize(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long"), "pairs")
+    full = sets.get(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct())
     both = spread_join(near, full.select(F.col("sid").alias("a"), F.col("s").alias("sa")), ["a"], ["b"])
     both = spread_join(both, full.select(F.col("sid").alias("b"), F.col("s").alias("sb")), ["b"], ["a"])
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -159,58 +192,68 @@ def pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def against_pivots(members: DataFrame, pivots: int, leaf: int) -> DataFrame:
-    """(region, sid, m) -> region, sid, pivot, slot: each set of a region with each pivot of it."""
+def against_pivots(members: DataFrame, pivots: int) -> DataFrame:
+    """(region, sid, n) -> region, sid, n, pivot, slot: each set of a region with each pivot of it."""
     w = Window.partitionBy("region").orderBy(F.xxhash64("sid"), "sid")  # one order for all regions, so they take the same
     first = members.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= pivots)
-    first = first.filter((F.col("m") > leaf) | (F.col("slot") == 1))
-    few = first.groupBy("region").agg(F.collect_list(F.struct("slot", "sid")).alias("few"))
-    rows = spread_join(members.select("region", "sid"), few, ["region"], ["sid"])
-    rows = rows.filter(~F.exists("few", lambda x: x["sid"] == F.col("sid")) | (F.size("few") > 1))
-    return materialize(rows.select("region", "sid", F.explode("few").alias("p")).select("region", "sid", F.col("p.sid").alias("pivot"), "p.slot"), "against-pivots")
+    few = first.groupBy("region").agg(F.collect_list(F.struct("slot", "sid")).alias("few"))  # a few by the filter
+    rows = spread_join(members.select("region", "sid", "n"), few, ["region"], ["sid"])
+    return materialize(rows.select("region", "sid", "n", F.explode("few").alias("p")).select("region", "sid", "n", F.col("p.sid").alias("pivot"), "p.slot"), "against-pivots")
 
 
 def cells(met: DataFrame, found: DataFrame) -> DataFrame:
-    """(region, sid, home): the cells that each set is in, but for pivots."""
+    """(region, sid, n, home): the cells that each set is in, but for pivots."""
     own = Window.partitionBy("region", "sid")  # a row a pivot
     rows = met.select("*", *pair("sid", "pivot")).join(found.select("a", "b", "d"), ["a", "b"], "left").fillna(1.0, ["d"])
     rows = rows.withColumns({"near": F.min("d").over(own), "is_pivot": F.max((F.col("sid") == F.col("pivot")).cast("int")).over(own)}).filter("is_pivot = 0")
     rows = rows.withColumn("nearest", F.min_by("slot", F.struct("d", "slot")).over(own))
     visits = F.col("d") <= F.least(F.col("near") + 2 * NEAR, F.lit(CORE + NEAR)) + EPS
-    inner = rows.filter(visits).select(F.xxhash64("region", "slot").alias("region"), "sid", ((F.col("slot") == F.col("nearest")) & (F.col("near") <= CORE)).alias("home"))
+    inner = rows.filter(visits).select(F.xxhash64("region", "slot").alias("region"), "sid", "n", ((F.col("slot") == F.col("nearest")) & (F.col("near") <= CORE)).alias("home"))
     far = rows.filter((F.col("slot") == F.col("nearest")) & (F.col("near") > CORE - NEAR - EPS))
-    return inner.union(far.select(F.xxhash64("region", F.lit(0)).alias("region"), "sid", (F.col("near") > CORE).alias("home")))
+    return inner.union(far.select(F.xxhash64("region", F.lit(0)).alias("region"), "sid", "n", (F.col("near") > CORE).alias("home")))
 
 
 def open_regions(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(region, sid, home) -> region, sid, root, m, of regions with several components and a set at home."""
-    members = members.withColumn("root", F.col("sid")) if roots is None else members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    """(region, sid, n, home) -> region, sid, n, root, m, of regions with several components and a set at home."""
+    members = members.withColumn("root", F.col("sid")) if roots is None else rooted(members, roots)
     told = members.groupBy("region").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("home").alias("some"))
     told = told.filter("lo < hi and some").select("region", "m")
-    return materialize(spread_join(members.select("region", "sid", "root"), told, ["region"], ["sid"]), "open-regions")
+    return materialize(spread_join(members.select("region", "sid", "n", "root"), told, ["region"], ["sid"]), "open-regions")
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
 
+def within(members: DataFrame) -> DataFrame:
+    """(region, sid, n, root) of small regions -> (a, b): their pairs of different components whose sizes fit."""
+    other = members.select("region", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    n, m = F.col("n").cast("long"), F.col("n2").cast("long")
+    both = members.join(other, "region").filter((F.col("sid") < F.col("sid2")) & (F.col("root") != F.col("root2")) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)))
+    return both.select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
 
-def links(sets: DataFrame, members: DataFrame, full: DataFrame, pivots: int = PIVOTS, leaf: int = LEAF, rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
+
+def links(sets: Sets, members: DataFrame, pivots: int = PIVOTS, leaf: int = LEAF, rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
     """(node, root) of the components of all pairs within the join's distance."""
-    pairs, edges, roots = [], [], None
+    few, pairs, edges, roots = [], [], [], None
     members = open_regions(members.withColumn("home", F.lit(True)), None)
-    for _ in range(rounds):
-        met = against_pivots(members, pivots, leaf)
-        found = measured(met.filter("sid <> pivot").select(*pair("sid", "pivot")).distinct(), sets, full, CORE + NEAR)
-        edges.append(found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        roots = connected_components(reduce(DataFrame.union, edges))
-        members = open_regions(cells(met, found), roots)
-        few = members.filter(F.col("m") <= leaf)
-        other = few.select("region", F.col("sid").alias("sid2"), F.col("root").alias("root2"))
-        pairs.append(few.join(other, "region").filter("sid < sid2 and root <> root2").select(F.col("sid").alias("a"), F.col("sid2").alias("b")))
+    for left in range(rounds, -1, -1):
+        few.append(members.filter(F.col("m") <= leaf).drop("root"))
         members = members.filter(F.col("m") > leaf)
         if members.isEmpty():
             break
-    else:
-        n = sets.select("sid", "n")
-        rest = members.join(n, "sid").select(F.col("region").alias("token"), "sid", "n", F.lit(0).alias("at"), "root")
-        pairs.append(across(materialize(rest, "members"), held).select(*pair("a", "b")))
-    last = measured(reduce(DataFrame.union, pairs).distinct(), sets, full, NEAR)
+        if not left:
+            rest = members.select(F.col("region").alias("token"), "sid", "n", F.lit(0).alias("at"), "root")
+            pairs.append(across(materialize(rest, "members"), held).select(*pair("a", "b")))
+            break
+        met = against_pivots(members, pivots)
+        found = measured(met.filter("sid <> pivot").select(*pair("sid", "pivot")).distinct(), sets, CORE + NEAR)
+        edges.append(found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        roots = connected_components(reduce(DataFrame.union, edges))
+        members = open_regions(cells(met, found), roots)
+    small = reduce(DataFrame.union, few)
+    pairs.append(within(small.withColumn("root", F.col("sid")) if roots is None else rooted(small, roots)))
+    last = measured(reduce(DataFrame.union, pairs).distinct(), sets, NEAR)
     edges.append(last.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
     return connected_components(reduce(DataFrame.union, edges))
 
@@ -220,16 +263,17 @@ def join(docs: DataFrame, sample: int = SAMPLE, **how: int) -> DataFrame:
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     marked = marks(docs, sample)
-    sets = marked.filter("n > 0").groupBy("sid").agg(*(F.first(x).alias(x) for x in ("n", "prefix", "common", "bits")), F.min("h1").alias("h1"), F.min("doc_id").alias("first"))
-    sets = materialize(sets, "sets")
-    members = first_regions(sets)
-    roots = links(sets, members, full_sets(docs, sets, members), **how)
-    rooted = sets.select("sid", "first").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = materialize(spread_join(rooted, least, ["root"], ["sid"]).select("sid", "component_id"), "components")
-    rows = spread_join(marked.filter("n > 0").select("doc_id", "n", "sid", "rid"), found, ["sid"], ["rid"])
-    alone = marked.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    some = marked.filter("n > 0")
+    profiles = some.groupBy("sid").agg(F.max("n").alias("n"), F.first("bits", True).alias("bits"), F.min("h1").alias("h1"), F.min("doc_id").alias("first"))
+    profiles = materialize(profiles, "profiles")
+    roots = links(Sets(docs, profiles), first_regions(some), **how)
+    found = materialize(rooted(profiles.select("sid", "first"), roots), "rooted")
+    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = materialize(spread_join(found, least, ["root"], ["sid"]).select("sid", "component_id"), "components")
+    rows = spread_join(some.select("doc_id", "n", "sid", "rid"), found, ["sid"], ["rid"])
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = marked.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.union(alone)
 
 
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,12 +79,13 @@ def test_components_are_those_of_all_pairs(spark, pivots, leaf, rounds, held, sa
 def test_shared_rows_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        rows = [(t, rng.randrange(1 << 40)) for t in range(40) for _ in range(rng.choice([1, 1, 2, 3, 7]))] + [(99, 5), (99, 6), (98, 5), (98, 6)]
-        got = jaccard.shared_rare(spark.createDataFrame(rows, "token long, sid long")).collect()
+        rows = [(t, rng.randrange(1 << 40), t % 7) for t in range(40) for _ in range(rng.choice([1, 1, 2, 3, 7]))] + [(99, 5, 1), (99, 6, 1), (98, 5, 1), (98, 6, 1)]
+        again = [*rows, *(r for r in rows for _ in range(rng.choice([0, 0, 5])))]  # copies that several tasks told
+        got = jaccard.shared_rare(spark.createDataFrame(again, "token long, sid long, n int")).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sizes = {t: sum(x == t for x, _ in rows) for t, _ in rows}
-    assert sorted((r.token, r.sid) for r in got if r.sid is not None) == sorted(x for x in rows if sizes[x[0]] > 1)
+    sizes = {t: sum(x == t for x, _, _ in rows) for t, _, _ in rows}
+    assert sorted((r.token, r.sid, r.n) for r in got if r.sid is not None) == sorted(x for x in rows if sizes[x[0]] > 1)
     told = {r.token: (r.m, r.x, r.y) for r in got if r.sid is None}
     assert {t: x[0] for t, x in told.items()} == {t: n for t, n in sizes.items() if n > 1}
     assert told[98] == told[99] and len(set(told.values())) == len(told) - 1

@@ -73,4 +73,4 @@ def test_sql(spark, request, name, tables):
     want = con.sql(ORACLES[name])
     columns = sorted(want.columns)
     rows = [tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()]
-    assert sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, sf).collect()) == sorted(rows)
+    assert sorted((tuple(r[c] for c in columns) for r in QUERIES[name](spark, sf).collect()), key=str) == sorted(rows, key=str)

@@ -5,8 +5,8 @@ A CUBE over the flags and part sums these. In its grouping sets with part, the r
 false counts what survives that subset of filters. A step of an order joins two such subsets: the one before it and
 the one with its filter added; all other figures are differences of survivors.
 
-Identical texts are told by SHA-256: only digests are shuffled, never texts. A digest that very many rows share is
-spread over parts, and its smallest id is found by partial minima.
+Identical texts are told by SHA-256: only digests are shuffled, never texts. Rows of a digest that very many share are
+summed by kind and id before they meet.
 
 Defined results: null text counts as empty; null and empty lang are one part; rows with a null doc_id are identical
 to no smaller id, nor make others so, and have no labels; rows that share doc_id and text are not duplicates of each
@@ -35,8 +35,8 @@ def text_failures(text: Column) -> dict[str, Column]:
     return {"A": n < 200, "B": 100 * distinct < 50 * n, "C": 100 * capitals > 3 * F.length(text), "D": text.rlike("[#$%&*|]")}
 
 
-def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row a document: part, A to E, good, toxic."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row a document: doc_id, part, sha (its text's digest), A to D, good, toxic."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     rows = rows.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("sha"), *(x.alias(k) for k, x in text_failures(F.col("text")).items()))
@@ -44,17 +44,28 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     one = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(c)
     known = labels.select(F.col("doc_id").cast("long"), "quality", "toxic").filter("doc_id is not null")
     known = known.groupBy("doc_id").agg(one("quality"), one("toxic"))
-    rows = spread_join(rows, known, ["doc_id"], ["rid"], "left")
-    rows = materialize(rows.fillna(False, ["quality", "toxic"]), "flags")
-    firsts = rows.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    rows = spread_join(rows, firsts, ["sha"], ["rid"])
-    return rows.select("part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"), F.col("quality").alias("good"), "toxic")
+    return spread_join(rows, known, ["doc_id"], ["rid"], "left").fillna(False, ["quality", "toxic"]).withColumnRenamed("quality", "good").drop("rid")
+
+
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """labelled() -> part, A to E, good, toxic, n: how many documents are of each kind.
+
+    Rows of one text are summed by kind before they meet, so that a text has a row a part and label, whatever its copies.
+    """
+    keys = ["sha", "part", *"ABCD", "good", "toxic"]
+    by_id = rows.groupBy(*keys, "doc_id").agg(F.count("*").alias("times"))
+    found = by_id.groupBy(*keys).agg(F.sum("times").alias("n"), F.min("doc_id").alias("least"), F.min_by("times", "doc_id").alias("times"), F.sum(F.when(F.col("doc_id").isNull(), F.col("times")).otherwise(0)).alias("none"))
+    first = F.min("least").over(Window.partitionBy("sha"))
+    found = found.withColumn("own", F.coalesce(F.when(F.col("least") == first, F.col("times")), F.lit(0)) + F.col("none"))
+    split = F.array(F.struct(F.lit(False).alias("E"), F.col("own").alias("n")), F.struct(F.lit(True).alias("E"), (F.col("n") - F.col("own")).alias("n")))
+    found = found.select(*keys[1:], F.explode(split).alias("x")).select(*keys[1:], "x.*").filter("n > 0")
+    return found.groupBy("part", *FILTERS, "good", "toxic").agg(F.sum("n").alias("n"))
 
 
 def survivors(rows: DataFrame) -> DataFrame:
     """part, failed subset (a bit for each filter, A lowest) -> docs, good, toxic that pass all its filters; every subset."""
-    kinds = rows.groupBy("part", *FILTERS).agg(F.count("*").alias("docs"), F.count_if("good").alias("good"), F.count_if("toxic").alias("toxic"))
-    kinds = materialize(kinds, "kinds")
+    when = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).alias(c)
+    kinds = materialize(kinds_of(rows).groupBy("part", *FILTERS).agg(F.sum("n").alias("docs"), when("good"), when("toxic")), "kinds")
     cube = kinds.cube("part", *FILTERS).agg(*(F.sum(x).alias(x) for x in ("docs", "good", "toxic")), *(F.grouping(x).alias(f"no_{x}") for x in ("part", *FILTERS)))
     passed = F.lit(True)
     for x in FILTERS:
@@ -79,7 +90,7 @@ def steps(spark: SparkSession) -> DataFrame:
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, filter_order, step -> kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    left = survivors(flagged(docs, labels))
+    left = survivors(labelled(docs, labels))
     at = lambda name, subset: left.select("part", F.col("subset").alias(subset), *(F.col(x).alias(f"{x}_{name}") for x in ("docs", "good", "toxic")))
     one = F.broadcast(steps(docs.sparkSession))  # 600 rows, whatever the input
     found = at("before", "before").join(one, "before").join(at("after", "after"), ["part", "after"])

@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, connected_components, materialize, spread_join, table
+from .common import chunks, connected_components, materialize, salted_join, spread_join, table
 from .nearcopies import HELD, PIECE, SAMPLE, across, among, apart, common_shingles, let_through, lists, parities, prefix, screen, set_id, shingle_set
 
 WORDS, PERCENT = 4, 85
 #: The join's distance, and the greatest distance of a text at home with a pivot.
 NEAR, CORE = 1 - PERCENT / 100, 0.20
 #: Pivots of a large region, texts of a small one, and rounds.
-PIVOTS, LEAF, ROUNDS = 4, 16, 3
+PIVOTS, LEAF, ROUNDS = 4, 32, 2
 #: Sets that a task remembers, so as to tell the prefix of copies once.
 SEEN = 100_000
 #: Beyond the rounding of distances.
@@ -176,12 +176,12 @@ def measured(pairs: DataFrame, sets: Sets, reach: float) -> DataFrame:
 
     # a set may be a pivot of very many
     pairs, profile = materialize(pairs, "pairs"), sets.profiles
-    sized = spread_join(pairs, profile.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x")), ["a"], ["b"])
-    sized = spread_join(sized, profile.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), ["b"], ["a"])
+    sized = salted_join(pairs, profile.select("sid", "n", F.col("bits").alias("x")), {"a": "sid"}, "b")
+    sized = salted_join(materialize(sized, "sized"), profile.select("sid", F.col("n").alias("m"), F.col("bits").alias("y")), {"b": "sid"}, "a")
     near = materialize(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long"), "pairs")
     full = sets.get(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct())
-    both = spread_join(near, full.select(F.col("sid").alias("a"), F.col("s").alias("sa")), ["a"], ["b"])
-    both = spread_join(both, full.select(F.col("sid").alias("b"), F.col("s").alias("sb")), ["b"], ["a"])
+    both = salted_join(near, full.select("sid", F.col("s").alias("sa")), {"a": "sid"}, "b")
+    both = salted_join(both, full.select("sid", F.col("s").alias("sb")), {"b": "sid"}, "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u"))
     found = found.select("a", "b", (1 - F.col("i") / F.col("u")).alias("d"), (100 * F.col("i") >= PERCENT * F.col("u")).alias("linked"))
@@ -210,12 +210,12 @@ def cells(met: DataFrame, found: DataFrame) -> DataFrame:
     visits = F.col("d") <= F.least(F.col("near") + 2 * NEAR, F.lit(CORE + NEAR)) + EPS
     inner = rows.filter(visits).select(F.xxhash64("region", "slot").alias("region"), "sid", "n", ((F.col("slot") == F.col("nearest")) & (F.col("near") <= CORE)).alias("home"))
     far = rows.filter((F.col("slot") == F.col("nearest")) & (F.col("near") > CORE - NEAR - EPS))
-    return inner.union(far.select(F.xxhash64("region", F.lit(0)).alias("region"), "sid", "n", (F.col("near") > CORE).alias("home")))
+    return materialize(inner.union(far.select(F.xxhash64("region", F.lit(0)).alias("region"), "sid", "n", (F.col("near") > CORE).alias("home"))), "cells")
 
 
 def open_regions(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(region, sid, n, home) -> region, sid, n, root, m, of regions with several components and a set at home."""
-    members = members.withColumn("root", F.col("sid")) if roots is None else rooted(members, roots)
+    members = members.withColumn("root", F.col("sid")) if roots is None else materialize(rooted(members, roots), "rooted")
     told = members.groupBy("region").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("home").alias("some"))
     told = told.filter("lo < hi and some").select("region", "m")
     return materialize(spread_join(members.select("region", "sid", "n", "root"), told, ["region"], ["sid"]), "open-regions")
@@ -236,7 +236,7 @@ def within(members: DataFrame) -> DataFrame:
 def links(sets: Sets, members: DataFrame, pivots: int = PIVOTS, leaf: int = LEAF, rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
     """(node, root) of the components of all pairs within the join's distance."""
     few, pairs, edges, roots = [], [], [], None
-    members = open_regions(members.withColumn("home", F.lit(True)), None)
+    members = open_regions(materialize(members.withColumn("home", F.lit(True)), "regions"), None)
     for left in range(rounds, -1, -1):
         few.append(members.filter(F.col("m") <= leaf).drop("root"))
         members = members.filter(F.col("m") > leaf)

@@ -166,14 +166,73 @@ ISBN 978-3-16-148410-0 is a book
 see https://example.com/a1b2/3 for this
 x = 42 and y = 17 in the code
 serial "A1B2" and "C3" of the set
+the password is {s hunter2} for now
+my password was {s Summer2019!} until may
+password is {s "q7Zt-91mB"} on it
+the token is {s 9f8e7d6c5b4a39281706f5e4d3c2b1a0} today
+the secret was {s k3yB0ard99} then
+passcode reads {s 83kd02mz} here
+her ssn was {n 219-09-9991} in
+SSN is {n 078-05-1129} on
+his passport was {n 533380007} and
+the passport is {n K09301255} of
+iban is {n NL91ABNA0417164300} for
+account number was {n 4417-1234-5678-9} here
+the password is 8 letters long
+the password was 12 days old
+the token is 3 words and
+the key is 256 bits in
+the secret is 40 years old
+the password is reset every 90 days
+license GPL-3.0-or-later of the
+License: Apache-2.0 and MIT
+license BSD-3-Clause or LGPL-2.1-only here
+licence CC-BY-4.0 for the
+license MIT-0 and CC0-1.0 apply
+license 2.0 of the
+account 2023 results were good
+account 2019 and 2020 of the
+tax 2021 return of the
+tax 1998 law and
+tax year 2020 and 2022 in
+security 2024 report of
+security 3.1 update for
+passport 2015 edition in
+license 1999 holder of
+license expired in 2018 and
+account 7 of 12 in
+tax of 15% and 7.5% on
+account of 1848 and the
+user 3f2504e0-4f89-11d3-9a0c-0305e82c3301 logged in
+uuid: 550e8400-e29b-41d4-a716-446655440000 of the row
+request 6ba7b810-9dad-11d1-80b4-00c04fd430c8 failed
+the id 123e4567-e89b-12d3-a456-426614174000 is
+f47ac10b-58cc-4372-a567-0e02b2c3d479 was deleted
+api_key = {s 8c1d3e5f-2b4a-4c6d-9e8f-0a1b2c3d4e5f} in
+token: {s f81d4fae-7dec-11d0-a765-00a0c91e6bf6} sent
+to IBAN {n DE89 3704 0044 0532 0130 01} by friday
+the IBAN {n AT61 1904 3002 3457 3201} of
+iban {n BE68 5390 0754 7034} and
+IBAN is {n CH93 0076 2011 6238 5295 7} for
+iban: {n DE12 5001 0517 0648 4898 90} due
+the key 42 on the map
+key 305 opens the room
+the key 117-20-4410 fits the box
+key 12b of the hotel
+release v2.10.3-rc1 and build 20240117 of
+python-3.12.4 and node-20.11 are
+covid-19 and f-16 in
 the key to this is that the account is in the secret of a password
 a token of the number for the passport and the iban
 """
 
-CUE = {"token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "passphrase", "bearer", "auth"}
+CUE = {"passcode", "token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "passphrase", "bearer", "auth"}
 NAMED = {"ssn", "iban", "passport", "account", "security", "tax", "taxpayer", "license", "licence"}
 #: What other numbers belong to.
 THING = {"phone", "tel", "fax", "order", "invoice", "ticket", "part", "model", "serial", "item", "case", "isbn"}
+#: Between a cue or a name and its value; and those that tell it.
+SKIPPED = {"no", "number", "is", "nr", "id", "was", "reads"}
+TELLS = {"is", "was", "reads"}
 #: Cues that, with a sign, may give a word without a digit.
 OPEN = {"secret", "password", "passwd", "pwd", "passphrase", "token", "apikey"}
 #: How keys of public services begin.
@@ -189,6 +248,7 @@ _SIGN = re.compile(r"[:=][\"'`:=]*\Z")
 _HINTS = ("secret", "passw", "pwd", "passphrase", "token", "apikey")
 #: A cue, a sign and a value in one word.
 _ASSIGNED = re.compile(r"\S*?(?:token|key|key_id|secret|password|passwd|pwd|passphrase|ssn|iban)[\"'`]?[:=]+(?=[^\s:=])", re.I)
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _STRIP = "\"'`#$%&*!?.,;:()[]{}<>|"
 
 
@@ -203,7 +263,13 @@ def shape(word: str) -> tuple[str, ...]:
     kind = "number" if not letters else "mixed" if digits else "letters"
     size = "1-4" if len(core) < 5 else "5-8" if len(core) < 9 else "9-15" if len(core) < 16 else "16-"
     out = ["busy", f"{kind} {size}"]
-    if "-" in core[1:-1]:
+    if re.fullmatch(r"(?:1[89]|20)\d\d", core):
+        out.append("year")
+    elif _UUID.fullmatch(core):
+        out.append("uuid")
+    elif kind == "mixed" and re.search(r"(?:\A|-)[A-Za-z]{2,}-|-[A-Za-z]{4,}(?:-|\Z)", core):
+        out.append("worded")  # a name with a version in it
+    elif "-" in core[1:-1]:
         out.append("grouped 3-2-4" if re.fullmatch(r"\d{3}-\d{2}-\d{4}", core) else "grouped")
     out += ["dotted"] * ("." in core) + ["at"] * ("@" in core) + ["plus"] * (core[:1] == "+") + ["assign"] * ("=" in core[:-1])
     if kind == "mixed" and len(core) >= 16:
@@ -229,8 +295,8 @@ def last_part(core: str) -> str:
 
 
 def context(words: list[str], i: int) -> tuple[str, ...]:
-    """The nearest cue among the two words before, over sign words; whether a sign follows a cue."""
-    sign, direct = False, True
+    """The nearest cue among the three words before, over sign words and those that tell; whether a sign follows a cue."""
+    sign, direct, told = False, True, False
     for back in (1, 2, 3):
         if i < back:
             return ("before none",)
@@ -238,14 +304,15 @@ def context(words: list[str], i: int) -> tuple[str, ...]:
         core = word.strip(_STRIP + "=").lower()
         if last_part(core) in CUE:
             end = _OPEN_END.search(word) if direct and last_part(core) in OPEN else None
-            return ("before assign",) if end and (end[1] or sign) else ("before cue",)
+            return ("before assign",) if end and (end[1] or sign) else ("before told",) if told else ("before cue",)
         direct = sign = direct and _SIGN.match(word) is not None
         if core in NAMED:
             return ("before named",)
         if core in THING:
             return ("before thing",)
-        if core and core not in {"no", "number", "is", "nr", "id"}:
+        if core and core not in SKIPPED:
             return ("before other",)
+        told |= core in TELLS
     return ("before other",)
 
 
@@ -279,7 +346,7 @@ class Field:
             lost = (entry[:, label, None] + self.move[label] - entry[:, :1] - self.move[:1]).max()
             lost = max(lost, (entry[:, label] - entry[:, 0]).max(), 0.0)
             for word in ("cue", "named", "word"):
-                for before in ("none", "cue", "named", "thing", "other"):
+                for before in ("none", "cue", "told", "named", "thing", "other"):
                     s = self.score(("plain", word), (f"before {before}",))
                     if s[0] - s[label] <= lost:
                         return False

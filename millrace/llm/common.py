@@ -88,18 +88,20 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str],
     return many.join(places.join(one, keys), [*keys, "_part"], how).drop("_part")
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: dict[str, str], by: str, hot: int = 1000) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: dict[str, str], by: str, hot: int = 1000, known: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Join small rows of many to at most one large row a key: keys has many's column and one's.
 
-    A key with more than hot rows of many is spread over SPREAD parts by the column by, and its large row goes to each;
-    the large row of any other key is sent once. Null keys meet nothing. many is read twice.
+    A key with more than hot rows of many (or one that known, of one column, lists) is spread over SPREAD parts by the
+    column by, and its row of one goes to each; the row of any other key is sent once. Null keys meet nothing. Without
+    known, many is read twice.
     """
-    (left, right), = keys.items()
-    counted = many.groupBy(left).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(F.col(left).alias("_hot"))
+    ((left, right),) = keys.items()
+    counted = many.groupBy(left).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(F.col(left).alias("_hot")) if known is None else known.toDF("_hot")
     many = many.join(counted, F.col(left) == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SPREAD))).otherwise(0)).drop("_hot")
     parts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     one = one.join(counted, F.col(right) == F.col("_hot"), "left").withColumn("_part", F.explode(parts)).drop("_hot").withColumnRenamed(right, "_key")
-    return many.join(one, (F.col(left) == F.col("_key")) & (many["_part"] == one["_part"])).drop("_part", "_key")
+    one = one.withColumnRenamed("_part", "_of")
+    return many.join(one, (F.col(left) == F.col("_key")) & (F.col("_part") == F.col("_of")), how).drop("_part", "_of", "_key")
 
 
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, spread_join, table
+from .common import chunks, materialize, salted_join, spread_join, table
 
 LENGTH = 200
 #: Lengths of the k-grams that anchors are taken from; later ones for hot anchors.
@@ -301,8 +301,10 @@ def repeated_runs(candidates: DataFrame, length: int = LENGTH) -> DataFrame:
         if level + 1 < len(grams):
             hot = materialize(hot_keys(found), "hot")
             if hot.first() is not None:
-                later = cut_contexts(found.join(hot, "key", "left_semi"), length, grams[level + 1])
-                found = found.join(hot, "key", "left_anti")
+                # every row of these keys is one of very many: they are spread by where they stand
+                of = found.withColumn("at", F.xxhash64("cid", "start"))
+                later = cut_contexts(salted_join(of, hot, {"key": "key"}, "at", known=hot, how="left_semi").drop("at"), length, grams[level + 1])
+                found = salted_join(of, hot, {"key": "key"}, "at", known=hot, how="left_anti").drop("at")
         runs = expand(found, length)
         own = spread_join(found.select("key", "digest", "cid", "start"), runs, ["key", "digest"], ["cid", "start"])
         own = own.select("cid", "start", F.explode("runs").alias("r"))
@@ -311,8 +313,10 @@ def repeated_runs(candidates: DataFrame, length: int = LENGTH) -> DataFrame:
         if later is None:
             break
         later = materialize(later, "contexts")
-        again = later.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1").select("key")
-        found = materialize(later.join(again, "key", "left_semi"), "contexts")
+        again = materialize(later.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1"), "again")
+        later = later.withColumn("at", F.xxhash64("cid", "start"))
+        found = salted_join(later, again.select("key"), {"key": "key"}, "at", known=again.filter(F.col("n") > HOT).select("key"), how="left_semi")
+        found = materialize(found.drop("at"), "contexts")
     return out
 
 
@@ -343,8 +347,9 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = marked.groupBy("sha").agg(F.first("keys").alias("keys"), F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"), F.min("doc_id").alias("doc_id"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     each = classes.select("cid", "weight", F.explode("keys").alias("key"))
-    again = each.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1").select("key")
-    wanted = each.join(again, "key").groupBy("cid").agg(F.collect_set("key").alias("keys"))
+    again = materialize(each.groupBy("key").agg(F.sum("weight").alias("n")).filter("n > 1"), "again")
+    wanted = salted_join(each, again.select("key"), {"key": "key"}, "cid", known=again.filter(F.col("n") > HOT).select("key"), how="left_semi")
+    wanted = wanted.groupBy("cid").agg(F.collect_set("key").alias("keys"))
     wanted = classes.select("cid", "weight", F.col("sha").alias("class_sha"), F.col("doc_id").alias("class_doc")).join(wanted, "cid")
     candidates = long.join(wanted, (F.col("sha") == F.col("class_sha")) & F.col("doc_id").eqNullSafe(F.col("class_doc")))
     candidates = materialize(candidates.select("cid", "weight", "sha", "text", "keys"), "candidates")

@@ -5,7 +5,9 @@ apart. The first regions are therefore the texts that share a shingle: sets of s
 the first n - ceil(0.85 n) + 1 of each, in an order of shingles that has those known to be common last (a sample
 tells which, and the cost only). Shingles with the same texts make one region.
 
-In a round each large region takes pivots and measures its texts against them. Texts within the join's distance of a
+Before regions are formed, the least shingles of each text elect pivots: of the texts with one of them the first. What
+is within the join's distance of its pivots is linked at once, and shingles all of whose texts are linked make no
+region, so that groups of copies cost what their texts do. In a round each large region takes pivots and measures its texts against them. Texts within the join's distance of a
 pivot are linked. Then each text is at home in the cell of its nearest pivot, or, if none is within CORE, in the
 region's far cell; and by the triangle inequality it must also visit
 - the cell of each pivot not further than its nearest one by more than twice the join's distance, nor further than
@@ -13,12 +15,12 @@ region's far cell; and by the triangle inequality it must also visit
 - the far cell, if its nearest pivot is not nearer than CORE by more than that distance.
 Any two texts within the join's distance are then both in the cell that either is at home in. Pivots have met all
 texts of their region and leave. Cells are the next round's regions, save those without a text at home and those whose
-texts the links so far have all made one component, which is how large groups of copies end. Regions of few texts wait
-for the end, when those of different components are compared; what is large after the last round meets in blocks of
-bounded size (those of its main component not with each other).
+texts the links so far have all made one component. Regions of few texts, and what is large after the last round, are
+solved in blocks of bounded size, where texts of different components meet (those of a region's main component not with
+each other).
 
-A distance is bounded from below by the sets' sizes and parities; pairs that may be near are measured on the full sets,
-which are read again from the texts of such pairs alone. Links join in connected components.
+A distance is bounded from below by the sets' sizes and parities; within blocks only pairs that the bound leaves are
+told. They are measured on the full sets, which are read again from the texts of such pairs alone. Links join in connected components.
 
 Defined results: null and empty texts and texts of white space have no shingles and link with nothing, not even each
 other (component_id is their own doc_id); texts with equal sets are linked; a null doc_id is no candidate for the
@@ -37,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, connected_components, materialize, salted_join, spread_join, table
-from .nearcopies import HELD, PIECE, SAMPLE, across, among, apart, common_shingles, let_through, lists, parities, prefix, screen, set_id, shingle_set
+from .nearcopies import HELD, PIECE, SAMPLE, among, apart, common_shingles, let_through, lists, parities, prefix, screen, set_id, shingle_set
 
 WORDS, PERCENT = 4, 85
 #: The join's distance, and the greatest distance of a text at home with a pivot.
 NEAR, CORE = 1 - PERCENT / 100, 0.20
-#: Pivots of a large region, texts of a small one, and rounds.
-PIVOTS, LEAF, ROUNDS = 4, 32, 2
+#: Least shingles that elect a text's first pivots; pivots of a large region, texts of a small one, and rounds.
+LEAST, PIVOTS, LEAF, ROUNDS = 3, 4, 256, 2
+#: Numbers of 64 bits that are compared at once in a block.
+AT_ONCE = 1 << 20
 #: Sets that a task remembers, so as to tell the prefix of copies once.
 SEEN = 100_000
 #: Beyond the rounding of distances.
@@ -80,64 +84,53 @@ def marks(docs: DataFrame, sample: int) -> DataFrame:
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "marks")
 
 
-def mixed(sid: np.ndarray, by: int) -> np.ndarray:
-    x = sid.view(np.uint64) * np.uint64(by)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def shared_rare(rows: DataFrame) -> DataFrame:
-    """(token, sid, n) -> the rows of tokens that several sets have, each once; and a row a token, sid null, with the
-    number m of its sets and two digests of them."""
-    kinds = "token long, sid long, n int, m long, x long, y long"
-
-    def out(token: np.ndarray, sid: np.ndarray | None = None, n: np.ndarray | None = None, told: list[np.ndarray] | None = None) -> pa.RecordBatch:
-        columns = [token, sid, n, *(told or [None] * 3)]
-        types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(token), t) if c is None else pa.array(np.asarray(c).view(np.int64) if t == pa.int64() else c, t) for c, t in zip(columns, types, strict=True)], ["token", "sid", "n", "m", "x", "y"])
+    """(token, sid, n) -> those of tokens that several sets have, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the token that goes on: itself, its first and its last set, and what was told so far
-        token, first, last, told = None, None, None, (0, np.uint64(0), np.uint64(0))
+        token, first, several = None, None, False  # the token that goes on, its only row so far, and whether it has more
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens, sids, sizes = (c.to_numpy() for c in b.columns)
-            new = np.concatenate(([token is None or tokens[0] != token or sids[0] != last], (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])))
-            tokens, sids, sizes = tokens[new], sids[new], sizes[new]
-            if not len(tokens):
+            t, sid = b.column("token").to_numpy(), b.column("sid").to_numpy()
+            new = np.concatenate(([token is None or t[0] != token or sid[0] != last], (t[1:] != t[:-1]) | (sid[1:] != sid[:-1])))
+            b = b.filter(pa.array(new))
+            if not b.num_rows:
                 continue
-            start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            m = np.diff(np.append(start, len(tokens)))
-            x, y = np.bitwise_xor.reduceat(mixed(sids, 0x9E3779B97F4A7C15), start), np.add.reduceat(mixed(sids, 0xD6E8FEB86659FD93), start)
-            own = m.copy()
-            if token is not None and token == tokens[0]:
-                if told[0] == 1:
-                    yield out(np.array([token]), *first)
-                m[0], x[0], y[0] = m[0] + told[0], x[0] ^ told[1], y[0] + told[2]
-            elif told[0] > 1:
-                yield out(np.array([token]), told=[np.array([t]) for t in told])
-            several = np.repeat(m > 1, own)
-            yield out(tokens[several], sids[several], sizes[several])
-            done = np.flatnonzero(m[:-1] > 1)
-            yield out(tokens[start[done]], told=[m[done], x[done], y[done]])
-            token, first, last, told = tokens[-1], (sids[-1:].copy(), sizes[-1:].copy()), sids[-1], (m[-1], x[-1], y[-1])
-        if told[0] > 1:
-            yield out(np.array([token]), told=[np.array([t]) for t in told])
-
-    return rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, kinds)
-
-
-def first_regions(marked: DataFrame) -> DataFrame:
-    """(region, sid, n): the sets that share a shingle of their prefixes; regions of the same sets are one."""
+            t, last = t[new], sid[-1]
+            start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            many = np.diff(np.append(start, len(t))) > 1
+            if t[0] == token:
+                if not several:
+                    yield first
+                many[0] = True
+            yield b.filter(pa.array(np.repeat(many, np.diff(np.append(start, len(t))))))
+            token, several, first = t[-1], bool(many[-1]), b.slice(b.num_rows - 1)
+
+    return rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "token long, sid long, n int")
+
+
+def shared_tokens(marked: DataFrame) -> DataFrame:
+    """(token, sid, n) of shingles in prefixes that several sets have."""
     rows = marked.select("sid", "n", F.posexplode("prefix").alias("at", "token"), (F.size("prefix") - F.col("common")).alias("rare"))
-    found = materialize(shared_rare(rows.filter("at < rare").select("token", "sid", "n")), "shared")
-    # shingles known to be common may be very many sets': they are counted by partial sums, and not brought together
+    # shingles known to be common may be very many sets', and are not brought together
     common = rows.filter("at >= rare").select("token", "sid", "n").distinct()
-    counted = common.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"))
-    told = found.filter("sid is null").select("token", "m", "x", "y").union(counted.filter("m > 1"))
-    chosen = told.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
-    members = found.filter("sid is not null").select("token", "sid", "n").union(common)
-    return spread_join(members, chosen, ["token"], ["sid"]).select(F.col("token").alias("region"), "sid", "n")
+    return materialize(shared_rare(rows.filter("at < rare").select("token", "sid", "n")).unionByName(common), "shared")
+
+
+def first_regions(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(region, sid, n): the sets of a shared shingle, of different components; regions of the same sets are one."""
+    shared = materialize(rooted(shared, roots), "shared")
+    told = shared.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    chosen = told.filter("lo < hi").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
+    return spread_join(shared.select("token", "sid", "n"), chosen, ["token"], ["sid"]).select(F.col("token").alias("region"), "sid", "n")
+
+
+def elected(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set and the first set of those that have one of its least shingles."""
+    rows = marked.select("sid", F.explode(F.slice("prefix", 1, LEAST)).alias("token"))
+    first = rows.groupBy("token").agg(F.min_by("sid", F.struct(F.xxhash64("sid"), "sid")).alias("pivot"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token", "pivot")
+    return spread_join(rows, first, ["token"], ["sid"]).filter("sid <> pivot").select(*pair("sid", "pivot")).distinct()
 
 
 class Sets:
@@ -178,7 +171,12 @@ def measured(pairs: DataFrame, sets: Sets, reach: float) -> DataFrame:
     pairs, profile = materialize(pairs, "pairs"), sets.profiles
     sized = salted_join(pairs, profile.select("sid", "n", F.col("bits").alias("x")), {"a": "sid"}, "b")
     sized = salted_join(materialize(sized, "sized"), profile.select("sid", F.col("n").alias("m"), F.col("bits").alias("y")), {"b": "sid"}, "a")
-    near = materialize(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long"), "pairs")
+    return exact(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(bound, "a long, b long"), sets, reach)
+
+
+def exact(near: DataFrame, sets: Sets, reach: float) -> DataFrame:
+    """As measured(), on the full sets at once."""
+    near = materialize(near, "pairs")
     full = sets.get(near.select(F.col("a").alias("sid")).union(near.select("b")).distinct())
     both = salted_join(near, full.select("sid", F.col("s").alias("sa")), {"a": "sid"}, "b")
     both = salted_join(both, full.select("sid", F.col("s").alias("sb")), {"b": "sid"}, "a")
@@ -225,37 +223,118 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
-def within(members: DataFrame) -> DataFrame:
-    """(region, sid, n, root) of small regions -> (a, b): their pairs of different components whose sizes fit."""
-    other = members.select("region", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    n, m = F.col("n").cast("long"), F.col("n2").cast("long")
-    both = members.join(other, "region").filter((F.col("sid") < F.col("sid2")) & (F.col("root") != F.col("root2")) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)))
-    return both.select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
+def bits_of(rows: list[bytes], words: int) -> np.ndarray:
+    """Parities as rows of 64-bit numbers, folded to so many."""
+    out = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+    while out.shape[1] > words:
+        out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+    return out
+
 
+def near_pairs(left: tuple, right: tuple, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sid, n, root, bits) twice -> pairs of different roots whose sizes and parities leave them within reach.
 
-def links(sets: Sets, members: DataFrame, pivots: int = PIVOTS, leaf: int = LEAF, rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
+    Parities are as long as the next power of two of a set's size, so sizes that fit are in the same or the next class.
+    """
+    found = [[np.zeros(0, np.int64)] * 2]
+    classes = [{} for _ in range(2)]
+    for of, (_, _, _, bits) in zip(classes, (left, right), strict=True):
+        for i, x in enumerate(bits):
+            of.setdefault(len(x) // 8, []).append(i)
+    for c, at in classes[0].items():
+        for d in (c // 2, c, 2 * c):
+            if d not in classes[1]:
+                continue
+            other, words = np.array(classes[1][d]), min(c, d)
+            y, m, roots = bits_of([right[3][i] for i in other], words), right[1][other], right[2][other]
+            step = max(1, AT_ONCE // (len(other) * words))
+            for k in range(0, len(at), step):
+                own = np.array(at[k : k + step])
+                x = bits_of([left[3][i] for i in own], words)
+                n = left[1][own]
+                apart_ = np.zeros((len(own), len(other)), np.int64)
+                for w in range(words):
+                    apart_ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+                gap = np.maximum(apart_, np.abs(n[:, None] - m[None, :]))
+                fits = (2 * gap <= (reach + EPS) * (n[:, None] + m[None, :] + gap)) & (left[2][own][:, None] != roots[None, :])
+                i, j = np.nonzero(fits)
+                found.append([left[0][own[i]], right[0][other[j]]])
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def solved(members: DataFrame, sets: Sets, held: int) -> DataFrame:
+    """(region, sid, n, root) -> pairs (a, b) of different roots that the bound leaves within the join's distance.
+
+    A region's main root is one of its sets'. Sets of other roots (the rest) meet all. Both are cut into blocks of about
+    held sets, so that no task holds a region; a region whose rest is small costs its own size.
+    """
+    told = members.groupBy("region").agg(F.count("*").alias("m"), F.min("root").alias("main"), F.max("root").alias("hi")).filter("main < hi").drop("hi")
+    members = spread_join(members, told, ["region"], ["sid"])
+    members = members.join(sets.profiles.select("sid", "bits"), "sid")
+    members = materialize(members, "members")
+    rest = members.filter("root <> main")
+    some = rest.groupBy("region").agg(F.count("*").alias("r"))
+    blocks = [(F.floor((F.col(x) - 1) / held) + 1).cast("long") for x in ("m", "r")]
+    own = [F.pmod(F.xxhash64("sid"), x) for x in blocks]
+    every = [F.explode(F.sequence(F.lit(0).cast("long"), x - 1)) for x in blocks]
+    columns = ["region", "i", "j", "side", "sid", "n", "root", "bits"]
+    left = spread_join(rest, some, ["region"], ["sid"]).withColumn("j", own[1]).withColumn("i", every[0]).withColumn("side", F.lit(0)).select(columns)
+    right = spread_join(members, some, ["region"], ["sid"]).withColumn("i", own[0]).withColumn("j", every[1]).withColumn("side", F.lit(1)).select(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1]:
+                both = []
+                for parts in sides:
+                    t = pa.Table.from_batches(parts)
+                    both.append((t.column("sid").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("root").to_numpy(), t.column("bits").to_pylist()))
+                a, b = near_pairs(*both, NEAR)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in ("region", "i", "j")])
+            side = b.column("side").to_numpy()
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if key != (now := tuple(keys[:, lo].tolist())):
+                    yield from done()
+                    key, sides = now, ([], [])
+                sides[side[lo]].append(b.slice(lo, hi - lo))
+        yield from done()
+
+    found = left.union(right).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "side").mapInArrow(run, "a long, b long")
+    return found.distinct()
+
+
+def links(sets: Sets, marked: DataFrame, pivots: int = PIVOTS, leaf: int = LEAF, rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
     """(node, root) of the components of all pairs within the join's distance."""
-    few, pairs, edges, roots = [], [], [], None
-    members = open_regions(materialize(members.withColumn("home", F.lit(True)), "regions"), None)
+    edges, few = [], []
+
+    def linked(found: DataFrame) -> DataFrame:
+        edges.append(found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return connected_components(reduce(DataFrame.union, edges))
+
+    roots = linked(measured(elected(marked), sets, NEAR))
+    members = first_regions(shared_tokens(marked), roots)
+    members = open_regions(materialize(members.withColumn("home", F.lit(True)), "regions"), roots)
     for left in range(rounds, -1, -1):
-        few.append(members.filter(F.col("m") <= leaf).drop("root"))
+        small = members.filter(F.col("m") <= leaf) if left else members
+        few.append(small.drop("root", "m"))
         members = members.filter(F.col("m") > leaf)
-        if members.isEmpty():
-            break
-        if not left:
-            rest = members.select(F.col("region").alias("token"), "sid", "n", F.lit(0).alias("at"), "root")
-            pairs.append(across(materialize(rest, "members"), held).select(*pair("a", "b")))
+        if not left or members.isEmpty():
             break
         met = against_pivots(members, pivots)
         found = measured(met.filter("sid <> pivot").select(*pair("sid", "pivot")).distinct(), sets, CORE + NEAR)
-        edges.append(found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        roots = connected_components(reduce(DataFrame.union, edges))
+        roots = linked(found)
         members = open_regions(cells(met, found), roots)
-    small = reduce(DataFrame.union, few)
-    pairs.append(within(small.withColumn("root", F.col("sid")) if roots is None else rooted(small, roots)))
-    last = measured(reduce(DataFrame.union, pairs).distinct(), sets, NEAR)
-    edges.append(last.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return connected_components(reduce(DataFrame.union, edges))
+    rest = materialize(rooted(reduce(DataFrame.union, few), roots), "members")
+    return linked(exact(solved(rest, sets, held), sets, NEAR))
 
 
 def join(docs: DataFrame, sample: int = SAMPLE, **how: int) -> DataFrame:
@@ -266,7 +345,7 @@ def join(docs: DataFrame, sample: int = SAMPLE, **how: int) -> DataFrame:
     some = marked.filter("n > 0")
     profiles = some.groupBy("sid").agg(F.max("n").alias("n"), F.first("bits", True).alias("bits"), F.min("h1").alias("h1"), F.min("doc_id").alias("first"))
     profiles = materialize(profiles, "profiles")
-    roots = links(Sets(docs, profiles), first_regions(some), **how)
+    roots = links(Sets(docs, profiles), some, **how)
     found = materialize(rooted(profiles.select("sid", "first"), roots), "rooted")
     least = found.groupBy("root").agg(F.min("first").alias("component_id"))
     found = materialize(spread_join(found, least, ["root"], ["sid"]).select("sid", "component_id"), "components")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hadoop
+from .lines import last_of_key, placed
+
 CATALOG = "`Text#` string, Type string, Issued string, Title string, Language string, Authors string, Subjects string, LoCC string, Bookshelves string"
 
 
@@ -37,21 +38,24 @@ def write_csv(parts: list[DataFrame], path: str) -> None:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Gzip CSV with a header: values trimmed, empty ones null, rows without a key dropped, the last of a key kept."""
-    rows = spark.read.schema(CATALOG).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    rows = rows.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns)).filter("`Text#` is not null").withColumn("_at", F.monotonically_increasing_id())
-    last = Window.partitionBy("Text#").orderBy(F.desc("_at"))
-    return rows.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_at", "_r")
+    """Gzip CSV with a header: values trimmed, empty ones null, rows without a key dropped, the last of a key kept, in
+    the order of file names and lines."""
+    rows = placed(spark.read.schema(CATALOG).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path))
+    rows = rows.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns if c != "_at"), "_at").filter("`Text#` is not null")
+    return last_of_key(rows.withColumnRenamed("Text#", "_id"), ["_id"]).withColumnRenamed("_id", "Text#")
 
 
 def read_summaries(spark: SparkSession, paths: dict[tuple[str, int], str], schema: str, allow_missing: bool = False) -> DataFrame:
     """One JSON document an (arm, repetition); every missing path is named in the error."""
-    missing = sorted(p for p in paths.values() if not os.path.exists(p))
+    missing = sorted(p for p in paths.values() if not hadoop.exists(spark, p))
     if missing and not allow_missing:
         raise FileNotFoundError("missing summaries: " + ", ".join(missing))
-    keys = spark.createDataFrame([(os.path.abspath(p), a, r) for (a, r), p in paths.items() if p not in missing], "path string, arm string, repetition int")
+    there = [(hadoop.qualified(spark, p), a, r) for (a, r), p in paths.items() if p not in missing]
+    keys = spark.createDataFrame(there, "path string, arm string, repetition int")
+    if not there:
+        return spark.createDataFrame([], schema).crossJoin(keys.drop("path"))
     rows = spark.read.schema(schema).option("multiLine", "true").json([p for p in paths.values() if p not in missing])
-    return rows.withColumn("path", F.regexp_replace("_metadata.file_path", "^file:/*", "/")).join(F.broadcast(keys), "path").drop("path")
+    return rows.withColumn("path", hadoop.file_name()).join(F.broadcast(keys), "path").drop("path")
 
 
 def task_metrics(rows: DataFrame, document: str) -> DataFrame:
@@ -62,13 +66,6 @@ def task_metrics(rows: DataFrame, document: str) -> DataFrame:
     return flat.select("*", F.explode("_m").alias("metric", "_v")).withColumn("value", F.col("_v").try_cast("double")).filter("value is not null").drop("_m", "_v")
 
 
-def write_status(path: str, status: dict) -> None:
-    """A JSON file that readers see whole: written beside and renamed."""
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(status, f, ensure_ascii=False, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
-
-
 def parse_env(text: str, known: dict[str, str] | None = None) -> dict[str, str]:
     """NAME=value lines; ${NAME} and ${NAME:-default} are filled in."""
     out = dict(known or {})

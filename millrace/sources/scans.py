@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import first_of_key, last_of_key, placed
+
 
 def _paths(spark: SparkSession, pattern: str) -> list[str]:
     """What a glob meets, in any file system that Spark knows, in the order of names."""
@@ -16,16 +18,11 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(x.getPath().toString() for x in found) if found is not None else []
 
 
-def last_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row of each key, in the order of the files' lines."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("_at"))
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_at", "_r")
-
-
 def window_rows(spark: SparkSession, path: str, keys: dict[str, str], metrics: list[str]) -> DataFrame:
-    """Windows' JSON lines: the keys (name -> type) and metrics asked for alone are parsed; of a repeated key the last counts."""
+    """Windows' JSON lines: the keys (name -> type) and metrics asked for alone are parsed; of a repeated key the last
+    counts, in the order of file names and lines."""
     schema = ", ".join([*(f"`{k}` {t}" for k, t in keys.items()), *(f"`{m}` double" for m in metrics)])
-    return last_of_key(spark.read.schema(schema).json(path), list(keys))
+    return last_of_key(placed(spark.read.schema(schema).json(path)), list(keys))
 
 
 def ltr_rows(rows: DataFrame) -> DataFrame:
@@ -65,12 +62,12 @@ def bucket_members(spark: SparkSession, path: str, repetition: int) -> DataFrame
     """base_excerpt_id, repetition_bucket, replica_count, bucket_base_index: the first row of each base among replicas of
     index 0 (or none); an error, when read, if there are none. Only these fields are parsed."""
     schema = "excerpt_id string, base_excerpt_id string, repetition_bucket int, replica_count int, bucket_base_index int, replica_index int"
-    rows = spark.read.schema(schema).json(path).filter("replica_index is null or replica_index = 0").withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumn("base_excerpt_id", F.coalesce("base_excerpt_id", "excerpt_id"))
-    first = rows.groupBy("base_excerpt_id").agg(F.min(F.struct("_at", "repetition_bucket", "replica_count", "bucket_base_index")).alias("f"))
+    rows = placed(spark.read.schema(schema).json(path)).filter("replica_index is null or replica_index = 0")
+    rows = rows.select(F.coalesce("base_excerpt_id", "excerpt_id").alias("base_excerpt_id"), "repetition_bucket", "replica_count", "bucket_base_index", "_at")
+    first = first_of_key(rows, ["base_excerpt_id"])
     if first.isEmpty():
         raise RuntimeError(f"no assignments in {path}")
-    return first.select("base_excerpt_id", *(F.coalesce(f"f.{c}", F.lit(repetition)).alias(c) for c in ("repetition_bucket", "replica_count")), "f.bucket_base_index")
+    return first.select("base_excerpt_id", *(F.coalesce(c, F.lit(repetition)).alias(c) for c in ("repetition_bucket", "replica_count")), "bucket_base_index")
 
 
 def newest_snapshot(spark: SparkSession, folder: str, fallback: Callable[[], DataFrame] | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def strip_bounds(a: Column, bos: int = BOS, eos: int = EOS) -> tuple[Column, Col
     # the passes over the array are taken only where an end needs them
     begin = F.when(F.get(a, F.lit(0)) != bos, 0).otherwise(F.coalesce(F.array_min(F.transform(a, lambda x, i: F.when(x != bos, i))), F.size(a)))
     end = F.when(F.get(a, F.size(a) - 1) != eos, F.size(a)).otherwise(F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(x != eos, i + 1))), F.lit(0)))
-    return begin, F.greatest(begin, end)
+    return begin, F.when(a.isNotNull(), F.greatest(begin, end))
 
 
 def strip(a: Column, bos: int = BOS, eos: int = EOS) -> Column:
@@ -68,7 +68,7 @@ def one_eos(a: Column) -> Column:
 def shingles(a: Column, k: int = 5) -> Column:
     """Distinct runs of k; one run of all if there are fewer; none of none."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - k + 1, F.lit(1))), lambda i: F.slice(a, i, k))
-    return F.when(F.size(a) == 0, F.slice(F.array(a), 1, 0)).otherwise(F.array_distinct(runs))
+    return F.when(F.size(a) == 0, F.slice(F.array(a), 1, 0)).when(a.isNotNull(), F.array_distinct(runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -21,8 +21,11 @@ def keyed(seed: int, key: str) -> random.Random:
 
 
 def seed_column(*parts: Column) -> Column:
-    """The seed of the parts joined by "::", as a decimal of 20 digits (it exceeds a long)."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("::", *parts), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    """The seed of the parts joined by "::", as a decimal of 20 digits (it exceeds a long); a null part gives none."""
+    known = F.lit(True)
+    for p in parts:
+        known &= p.isNotNull()
+    return F.when(known, F.conv(F.substring(F.sha2(F.concat_ws("::", *parts), 256), 1, 16), 16, 10).cast("decimal(20,0)"))
 
 
 def random_split(n: int, rng: random.Random) -> tuple[int, int]:

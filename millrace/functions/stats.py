@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAN, INF = float("nan"), float("inf")
@@ -62,11 +62,11 @@ def binomial_ci95(count: Column, total: Column, scale: float = 100.0) -> Column:
 
 
 def band(value: Column, spread: Column, low: float, high: float) -> tuple[Column, Column]:
-    """[value - spread, value + spread] inside [low, high]; an unknown spread counts as none."""
+    """[value - spread, value + spread] inside [low, high]; an unknown spread counts as none; no value gives no band."""
     spread = F.when(finite(spread), spread).otherwise(0.0)
     lower = F.when(F.isnan(value), NAN).otherwise(F.least(F.greatest(value - spread, F.lit(low)), F.lit(high)))
     upper = F.when(F.isnan(value), NAN).otherwise(F.greatest(F.least(value + spread, F.lit(high)), lower))
-    return lower, upper
+    return F.when(value.isNotNull(), lower), F.when(value.isNotNull(), upper)
 
 
 def number(c: Column) -> Column:
@@ -93,6 +93,24 @@ def log_errors(value: Column, error: Column, floor: float = 1e-12) -> tuple[Colu
     return F.when(fine, value - low).otherwise(0.0), F.when(fine, F.greatest(value + error, low) - value).otherwise(0.0)
 
 
+def densities(rows: DataFrame, value: str, keys: list[str], bins: int, margin: float) -> DataFrame:
+    """keys, bin, n, share: values of every key's rows in even bins over the finite values of all, and a margin on either
+    side; a share is of the key's rows. Without a range (one value, or none) there are no bins."""
+    rows = rows.filter(finite(F.col(value)))
+    ends = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    ends = ends.filter("lo < hi").select((F.col("lo") - margin * span).alias("_a"), (span * (1 + 2 * margin) / bins).alias("_w"))
+    at = F.greatest(F.least(F.floor((F.round(value, 6) - F.col("_a")) / F.col("_w")), F.lit(bins - 1)), F.lit(0))
+    counts = rows.crossJoin(F.broadcast(ends)).groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))  # a row beside each
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def log_grid(low: float, high: float, steps: int) -> Column:
+    """Powers of ten at even steps from low to high, both included; one step is low alone."""
+    gap = (high - low) / max(steps - 1, 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.pow(F.lit(10.0), low + gap * i))
+
+
 def limits(rows: DataFrame, value: str, error: str, floor: float | None = None, pad: float = 0.12) -> DataFrame:
     """low, high of an axis around finite values and their errors (which count if all are finite)."""
     v, e = F.col(value), F.col(error)

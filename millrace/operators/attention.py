@@ -17,6 +17,36 @@ def bands(layers: int) -> dict[str, tuple[int, int]]:
     return {"early": (0, first), "mid": (first, second), "late": (second, layers)}
 
 
+#: Names of prompt formats.
+FORMATS = ("ltr_prefix", "fim_native")
+
+
+def layout(rows: DataFrame, format: str, prefix: str, suffix: str, target: str) -> DataFrame:
+    """Adds what profile() takes as bounds, from columns with a prompt's format and lengths; and prompt_length, sequence_length.
+
+    ltr_prefix is the prefix and then the target; fim_native is a mark, the prefix, a mark, the suffix, a mark, and
+    then the target. The first query is the prompt's last place, as it tells the target's first token; there are as
+    many queries as target tokens. Another format is an error.
+    """
+    p, s, t = (F.col(c).cast("int") for c in (prefix, suffix, target))
+    fim = F.col(format) == FORMATS[1]
+    known = F.when(F.col(format).isin(*FORMATS), F.col(format)).otherwise(F.raise_error(F.concat(F.lit("no prompt format is called "), F.coalesce(F.col(format), F.lit("null")))))
+    rows = rows.withColumn(format, known).withColumn("prompt_length", F.when(fim, p + s + 3).otherwise(p))
+    begin = F.when(fim, 1).otherwise(0)
+    return rows.withColumns({
+        "sequence_length": F.col("prompt_length") + t, "prefix_begin": begin, "prefix_end": begin + p, "suffix_begin": F.when(fim, p + 2).otherwise(0), "suffix_end": F.when(fim, p + 2 + s).otherwise(0),
+        "marks": F.when(fim, F.array(F.lit(0), p + 1, p + s + 2)).otherwise(F.array().cast("array<int>")), "target_begin": F.col("prompt_length"), "target_end": F.col("prompt_length") + t, "first_query": F.col("prompt_length") - 1,
+    })
+
+
+def roles() -> Column:
+    """The role of each place of a layout()'s sequence, a letter a place: M a mark, P prefix, S suffix, T target."""
+    part = lambda c, a, b: F.repeat(F.lit(c), F.col(b) - F.col(a))
+    fim = F.size("marks") > 0
+    prefix, suffix, target = part("P", "prefix_begin", "prefix_end"), part("S", "suffix_begin", "suffix_end"), part("T", "target_begin", "target_end")
+    return F.when(fim, F.concat(F.lit("M"), prefix, F.lit("M"), suffix, F.lit("M"), target)).otherwise(F.concat(prefix, target))
+
+
 def profile(weights: DataFrame, bounds: DataFrame, layers: int) -> DataFrame:
     """weights (w, l, h, q, k, a): a weight for each window, layer, head, query and key; bounds, a row a window:
     prefix_begin, prefix_end, suffix_begin, suffix_end, marks (array of keys), target_begin, target_end, first_query.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.rng import split_draws
+from ..sources.mix import PRESETS
 
 #: Share of documents laid out with the middle last where none is given.
 SHARES = {"ltr_clean": 0.0, "fim_hybrid": 0.5, "fim": 1.0}
@@ -35,6 +36,14 @@ def lay_out(df: DataFrame, key: Column, mode: str = "fim_hybrid", share: float |
     return df.withColumn("laid_out", A.one_eos(F.when(F.col("is_fim"), A.fim(t, left, middle)).otherwise(A.clean_ltr(t)))).drop("_d")
 
 
+def by_preset(df: DataFrame, key: Column, preset: str, seed: int = 42) -> DataFrame:
+    """lay_out() with a stage's share and cap. Caps apply after rows are chosen, so presets of one source keep the same rows."""
+    if preset not in PRESETS:
+        raise ValueError(f"no preset is called {preset}")
+    share, cap = PRESETS[preset]
+    return lay_out(df, key, share=share, cap=cap, seed=seed)
+
+
 def epoch_tokens(tokens: int, batch: int, length: int) -> int:
     """Tokens rounded up to whole batches."""
     step = batch * length

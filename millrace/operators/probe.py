@@ -68,20 +68,23 @@ def cut_out(found: DataFrame, tokens: DataFrame, g: Geometry) -> DataFrame:
     """found (id, target_start, ...), tokens (id, t) -> found with prefix, middle and suffix.
 
     An excerpt's windows wait for its tokens together, so that no window carries the whole excerpt; an excerpt has no
-    more windows than tokens.
+    more windows than tokens. A window that is found twice is one; of rows of tokens that share an id the longest (then
+    the greatest) counts; null ids have none.
     """
     rest = [c for c in found.columns if c != "id"]
-    by = found.groupBy("id").agg(F.collect_list(F.struct(*rest)).alias("_w"))
+    by = found.groupBy("id").agg(F.collect_set(F.struct(*rest)).alias("_w"))
     t, a = F.col("t"), lambda w: w["target_start"]
     parts = F.transform(
         "_w", lambda w: F.struct(*(w[c].alias(c) for c in rest), cut(t, a(w) - g.prefix, a(w)).alias("prefix"), cut(t, a(w), a(w) + g.middle).alias("middle"), cut(t, a(w) + g.middle, a(w) + g.middle + g.suffix).alias("suffix"))
     )
-    return by.join(tokens.select("id", "t"), "id").select("id", F.explode(parts).alias("_p")).select("id", "_p.*")
+    one = tokens.filter("id is not null").groupBy("id").agg(F.max(F.struct(F.size("t").alias("n"), "t")).alias("_o")).select("id", "_o.t")
+    return by.join(one, "id").select("id", F.explode(parts).alias("_p")).select("id", "_p.*")
 
 
 def distractors(found: DataFrame, samples: DataFrame, g: Geometry, seed: int = 0) -> DataFrame:
     """found (id, target_start), samples (id, size) -> id, target_start, distractor: the first other sample, from a keyed
-    place on and around, whose tokens reach over the window (null if there is none).
+    place on and around, whose tokens reach over the window (null if there is none). Null ids take no part; of rows that
+    share an id the longest counts.
 
     Samples stand once for each target place they reach, windows once for theirs; in the order of target and sample
     place, a running count gives each window the number of the sample it needs: an equal join, whatever the lengths.
@@ -89,7 +92,8 @@ def distractors(found: DataFrame, samples: DataFrame, g: Geometry, seed: int = 0
     from ..plans.corpus import global_rank, global_sums
     from ..session import settle
 
-    places = settle(global_rank(samples.select("id", "size"), [F.col("id").asc()], "id").withColumn("pos", F.col("rank") - 1).drop("rank"))
+    found, samples = found.filter("id is not null"), samples.filter("id is not null").groupBy("id").agg(F.max("size").alias("size"))
+    places = settle(global_rank(samples, [F.col("id").asc()], "id").withColumn("pos", F.col("rank") - 1).drop("rank"))
     n = places.agg(F.count("*").cast("decimal(20,0)").alias("n"))
     key = seed_column(F.lit(str(seed)), F.col("id").cast("string"), F.col("target_start").cast("string"), F.lit("distractor"))
     asks = found.select("id", "target_start").distinct().crossJoin(F.broadcast(n)).select("id", "target_start", (key % F.col("n")).cast("long").alias("pos"), F.lit(0).alias("has"))

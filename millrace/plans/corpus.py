@@ -15,7 +15,7 @@ from .registry import query
 #: Words of a document, as both engines cut them.
 WORDS = r"w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS t FROM documents)"
 #: Code points of whole texts as token ids.
-CODES = "c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)) AS t FROM documents)"
+CODES = "c AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ''), lambda x: unicode(x)) END AS t FROM documents)"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,32 +27,37 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.transform(F.split("text", ""), lambda x: F.ascii(x)).alias("t"))
+    return docs(spark, sf_dir).select("doc_id", T.code_points(F.col("text")).alias("t"))
 
 
 def window_scores(tokens: DataFrame, length: int = 64, stride: int = 64) -> DataFrame:
-    """doc_id, window_index, window_start, ppl under an add-one unigram model of the table itself."""
+    """doc_id, window_index, window_start, ppl under an add-one unigram model of the table itself. Rows that share an id
+    have windows of their own."""
     counts = settle(tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("c")))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     # words go to their windows by place, so that no window copies the document's array
-    words = tokens.filter(F.size("t") >= length).select("doc_id", F.size("t").alias("n"), F.posexplode("t").alias("at", "word"))
-    first = F.greatest(F.ceil((F.col("at") - length + 1) / stride), F.lit(0)).cast("int")
+    rows = tokens.filter(F.size("t") >= length).withColumn("row", F.monotonically_increasing_id())
+    words = rows.select("row", "doc_id", F.size("t").alias("n"), F.posexplode("t").alias("at", "word"))
     last = F.least(F.floor(F.col("at") / stride), F.floor((F.col("n") - length) / stride)).cast("int")
-    inside = words.withColumns({"first": first, "last": last}).filter("first <= last").select("doc_id", "at", "word", F.explode(F.sequence("first", "last")).alias("window_index"))
+    if stride >= length:  # a word is in one window at most
+        inside = words.withColumn("window_index", last).filter(F.col("at") < F.col("window_index") * stride + length)
+    else:
+        first = F.greatest(F.ceil((F.col("at") - length + 1) / stride), F.lit(0)).cast("int")
+        inside = words.withColumns({"first": first, "last": last}).filter("first <= last").select("row", "doc_id", "at", "word", F.explode(F.sequence("first", "last")).alias("window_index"))
     # a word's cost is worked out once, where it is counted
     cost = counts.crossJoin(F.broadcast(total)).select("word", (-F.log((F.col("c") + 1) / (F.col("n") + F.col("v")))).alias("cost"))
-    scored = look_up(inside, cost, ["word"], ["doc_id", "at"]).groupBy("doc_id", "window_index").agg(F.avg("cost").alias("nll"))
+    scored = look_up(inside, cost, ["word"], ["row", "at"]).groupBy("row", "doc_id", "window_index").agg(F.avg("cost").alias("nll"))
     scored = scored.withColumn("window_start", F.col("window_index") * stride)
     ppl = F.when(F.col("nll") < 50, F.exp(F.least("nll", F.lit(50.0)))).otherwise(float("inf"))
     return scored.select("doc_id", "window_index", "window_start", F.round(ppl, 6).alias("ppl"))
 
 
 SCORES = f"""
-{WORDS}, g AS (SELECT doc_id, t, unnest(range(0, len(t) // 64)) AS i FROM w WHERE len(t) >= 64),
-x AS (SELECT doc_id, i, unnest(t[i * 64 + 1 : i * 64 + 64]) AS word FROM g),
+{WORDS}, g AS (SELECT doc_id, r, t, unnest(range(0, len(t) // 64)) AS i FROM (SELECT *, row_number() OVER () AS r FROM w) WHERE len(t) >= 64),
+x AS (SELECT doc_id, r, i, unnest(t[i * 64 + 1 : i * 64 + 64]) AS word FROM g),
 c AS (SELECT word, count(*) AS c FROM (SELECT unnest(t) AS word FROM w) GROUP BY word), n AS (SELECT sum(c) AS n, count(*) AS v FROM c),
-s AS (SELECT doc_id, CAST(i AS INTEGER) AS window_index, CAST(i * 64 AS INTEGER) AS window_start,
-  round(exp(least(avg(-ln((c.c + 1) / (n.n + n.v))), 50)), 6) AS ppl FROM x JOIN c USING (word), n GROUP BY ALL)"""
+y AS (SELECT doc_id, r, i, avg(-ln((c.c + 1) / (n.n + n.v))) AS nll FROM x JOIN c USING (word), n GROUP BY doc_id, r, i),
+s AS (SELECT doc_id, CAST(i AS INTEGER) AS window_index, CAST(i * 64 AS INTEGER) AS window_start, round(exp(least(nll, 50)), 6) AS ppl FROM y)"""
 
 
 @query("mdl1_window_scores", f"WITH {SCORES} SELECT * FROM s")
@@ -113,7 +118,7 @@ def lowest_dropped(df: DataFrame, score: str, key: str, drop) -> DataFrame:  # n
 
 @query(
     "win1_best_window_per_doc",
-    f"""WITH {SCORES.replace("FROM w WHERE", "FROM w JOIN documents USING (doc_id) WHERE length(text) >= 200 AND").replace("unnest(t) AS word FROM w)", "unnest(t) AS word FROM w JOIN documents USING (doc_id) WHERE length(text) >= 200)")},
+    f"""WITH {SCORES.replace("FROM documents)", "FROM documents WHERE length(text) >= 200)")},
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ppl DESC, window_index) AS r FROM s),
 k AS (SELECT * FROM b WHERE r = 1 AND ppl > 100 AND ppl <= 100000), o AS (SELECT *, row_number() OVER (ORDER BY ppl, doc_id) AS z, count(*) OVER () AS n FROM k)
 SELECT doc_id, window_index, window_start, ppl FROM o WHERE z > CAST(floor(n * 0.1) AS BIGINT)""",
@@ -169,7 +174,7 @@ def str4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("str5_str7_terms", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, ',', ';'), ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS terms FROM documents)
-SELECT doc_id, len(terms) AS n_terms, terms[1] AS first, CASE WHEN len(terms) > 1 THEN terms[1] || ' | ' || terms[2] END AS work_key FROM p""")
+SELECT doc_id, coalesce(len(terms), 0) AS n_terms, terms[1] AS first, CASE WHEN len(terms) > 1 THEN terms[1] || ' | ' || terms[2] END AS work_key FROM p""")
 def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = T.terms(F.translate("text", ",", ";"))
     first, second = F.get(terms, F.lit(0)), F.get(terms, F.lit(1))
@@ -177,7 +182,7 @@ def str5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("str8_str9_str10_identifiers", r"""SELECT event_id, nullif(regexp_extract(k, '^(\d+)(?:$|[-_].*)', 1), '') AS book, try_cast(nullif(regexp_extract(strftime(ts, '%Y-%m-%d'), '^(\d{4})', 1), '') AS INTEGER) AS issued_year,
-trim(regexp_replace(event_type || ' ' || k, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS file_name FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN user_id || '-' || event_id WHEN event_id % 3 = 1 THEN CAST(user_id AS VARCHAR) ELSE 'x' || user_id END AS k FROM events)""")
+trim(regexp_replace(concat_ws(' ', event_type, k), '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS file_name FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN user_id || '-' || event_id WHEN event_id % 3 = 1 THEN CAST(user_id AS VARCHAR) ELSE 'x' || user_id END AS k FROM events)""")
 def str8(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.expr("case when event_id % 3 = 0 then concat(user_id, '-', event_id) when event_id % 3 = 1 then cast(user_id as string) else concat('x', user_id) end")
     return table(spark, sf_dir, "events").select(
@@ -222,7 +227,7 @@ def arr9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("arr10_arr14_neighbours", f"""WITH {WORDS}, p AS (SELECT a.doc_id, a.t AS x, b.t AS y FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) END AS jaccard, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i])) AS matched, x = y AS exact FROM p""")
+SELECT doc_id, CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN len(x) + len(y) = 0 THEN 1 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) END AS jaccard, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i])) END AS matched, x = y AS exact FROM p""")
 def arr10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of neighbouring documents: shared words, and words that stand at one place in both."""
     a = tokens(spark, sf_dir).select("doc_id", F.col("t").alias("x"))
@@ -242,12 +247,12 @@ def arr11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.col("lcs").cast("long").alias("lcs"), F.round(A.rouge_l(F.col("x"), F.col("y"), F.col("lcs")), 6).alias("rouge_l"))
 
 
-@query("arr15_packed_boundaries", f"""WITH {CODES}, e AS (SELECT doc_id, len(t) AS n, list_concat([0], list_filter(range(1, len(t) + 1), lambda i: t[i] = 10)) AS b FROM c),
+@query("arr15_packed_boundaries", f"""WITH {CODES}, e AS (SELECT doc_id, len(t) AS n, list_concat([0], list_filter(range(1, len(t) + 1), lambda i: t[i] = 10)) AS b FROM c WHERE t IS NOT NULL),
 f AS (SELECT doc_id, CASE WHEN b[len(b)] = n THEN b ELSE list_concat(b, [n]) END AS b FROM e)
 SELECT doc_id, list_transform(b, lambda x: CAST(x AS INTEGER)) AS bounds, list_max(list_transform(range(2, len(b) + 1), lambda i: b[i] - b[i - 1]))::INTEGER AS longest FROM f""")
 def arr15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line ends stand for ends of documents."""
-    found = codes(spark, sf_dir).select("doc_id", A.packed_boundaries(F.col("t"), 10).alias("bounds"))
+    found = codes(spark, sf_dir).filter("t is not null").select("doc_id", A.packed_boundaries(F.col("t"), 10).alias("bounds"))
     b = F.col("bounds")
     return found.select("doc_id", "bounds", F.array_max(F.transform(F.slice(b, 2, F.size(b)), lambda x, i: x - F.get(b, i))).alias("longest"))
 

@@ -13,6 +13,8 @@ from ..session import settle, table
 from .corpus import WORDS, docs, global_rank, global_sums, tokens
 from .registry import query
 
+#: Student's t for n observations, in SQL.
+T_OF_N = f"CASE WHEN n - 1 > 120 THEN 1.96 {' '.join(f'WHEN n - 1 >= {d} THEN {S.T95[d]}' for d in sorted(S.T95, reverse=True))} END"
 ARM = "l_returnflag || l_linestatus"
 ARMS = tuple(a + b for a in "ANR" for b in "FO")
 
@@ -26,15 +28,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn1_jn3_labels", """SELECT d.doc_id, d.source, l.quality, 'matched' AS status FROM documents d JOIN labels l USING (doc_id)
-UNION ALL SELECT doc_id, source, NULL, 'unresolved' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+UNION ALL SELECT doc_id, source, NULL, 'unresolved' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def jn1(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = docs(spark, sf_dir).select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id", "quality")  # noqa: E741
     both = d.join(l, "doc_id").withColumn("status", F.lit("matched"))
     return both.unionByName(d.join(l, "doc_id", "left_anti").select("*", F.lit(None).cast("int").alias("quality"), F.lit("unresolved").alias("status")).select(both.columns))
 
 
-@query("jn2_bijection", """SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS without_text,
-(SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS without_label, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated""")
+@query("jn2_bijection", """SELECT (SELECT count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)) AS without_text,
+(SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS without_label, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated""")
 def jn2(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = docs(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")  # noqa: E741
     one = l.join(d, "doc_id", "left_anti").agg(F.count("*").alias("without_text"))
@@ -42,7 +44,7 @@ def jn2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.crossJoin(two).crossJoin(l.groupBy("doc_id").count().filter("count > 1").agg(F.count("*").alias("repeated")))
 
 
-JN6 = """WITH s AS (SELECT doc_id, length(text) AS n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+JN6 = """WITH o AS (SELECT doc_id, coalesce(max(length(text)), 0) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), s AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM o),
 p AS (SELECT doc_id, pos, n, (doc_id * 7919 + 13) % n AS start FROM s)
 SELECT p.doc_id, arg_min(q.doc_id, (q.pos - p.start + p.n) % p.n) AS distractor FROM p JOIN s q ON q.doc_id <> p.doc_id AND q.n_chars >= 400 GROUP BY p.doc_id"""
 
@@ -52,12 +54,14 @@ STRETCH = 1 << 20
 
 
 def distractors(samples: DataFrame, start: F.Column, need: int) -> DataFrame:
-    """(id, size) in id order -> id, distractor: from place start on, around, the first other row of enough size.
+    """(id, size) in id order -> id, distractor: from place start on, around, the first other row of enough size. Null ids
+    take no part; of rows that share an id the largest counts.
 
     Rows of enough size are numbered; a start's number is the count of those before it, so that the choice is an
     equal join on numbers, not a comparison of all pairs. Counts run within stretches of places, and over a row a
     stretch.
     """
+    samples = samples.filter("id is not null").groupBy("id").agg(F.coalesce(F.max("size"), F.lit(0)).alias("size"))
     rows = global_rank(samples, [F.col("id").asc()], "id").select("id", (F.col("rank") - 1).alias("pos"), (F.col("size") >= need).cast("long").alias("fits"))
     rows = rows.withColumn("s", F.floor(F.col("pos") / STRETCH))
     whole = rows.groupBy("s").agg(F.sum("fits").alias("w"))
@@ -107,11 +111,16 @@ def jn9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def key_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by whether one of their lines has a large discount (a), and whether one has a large quantity (b)."""
+    k = facts(spark, sf_dir).groupBy("l_orderkey").agg((F.max("l_discount") >= 0.09).alias("a"), (F.max("l_quantity") >= 45).alias("b"))
+    return k.select("l_orderkey", F.expr("case when a and b then 'both' when a then 'only_a' when b then 'only_b' else 'neither' end").alias("part"))
+
+
 @query("jn11_key_partition", """WITH a AS (SELECT l_orderkey, max(l_discount) >= 0.09 AS a, max(l_quantity) >= 45 AS b FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' WHEN b THEN 'only_b' ELSE 'neither' END AS part FROM a""")
 def jn11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = facts(spark, sf_dir).groupBy("l_orderkey").agg((F.max("l_discount") >= 0.09).alias("a"), (F.max("l_quantity") >= 45).alias("b"))
-    return k.select("l_orderkey", F.expr("case when a and b then 'both' when a then 'only_a' when b then 'only_b' else 'neither' end").alias("part"))
+    return key_parts(spark, sf_dir)
 
 
 @query("jn14_task_metrics", f"""WITH m AS (SELECT {ARM} AS task, l_linenumber % 2 AS side, 'qty' AS metric, avg(l_quantity) AS v FROM lineitem GROUP BY ALL UNION ALL SELECT {ARM}, l_linenumber % 2, 'disc', avg(l_discount) FROM lineitem GROUP BY ALL)
@@ -136,24 +145,25 @@ def set1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts["union"].withColumn("op", F.lit("union")).union(parts["intersect"].withColumn("op", F.lit("intersect"))).union(parts["except"].withColumn("op", F.lit("except")))
 
 
-@query("set4_win7_mix", """WITH s AS (SELECT 'shard_' || (doc_id % 12) AS shard, doc_id, length(text) AS n FROM documents)
-SELECT shard, doc_id, n, coalesce(sum(n * 4) OVER (PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pointer, dense_rank() OVER (ORDER BY shard)::BIGINT - 1 AS source_ord FROM s""")
+@query("set4_win7_mix", """WITH s AS (SELECT 'shard_' || (doc_id % 12) AS shard, doc_id, length(text) AS n FROM documents WHERE doc_id IS NOT NULL)
+SELECT shard, doc_id, n, coalesce(sum(n * 4) OVER (PARTITION BY shard ORDER BY doc_id, n NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pointer, dense_rank() OVER (ORDER BY shard)::BIGINT - 1 AS source_ord FROM s""")
 def set4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards in the order of their names (10 before 2), each sequence with its byte pointer in the shard."""
-    s = docs(spark, sf_dir).select(F.concat(F.lit("shard_"), F.col("doc_id") % 12).alias("shard"), "doc_id", F.length("text").cast("long").alias("n"))
-    summed = settle(global_sums(s, [F.col("shard").asc(), F.col("doc_id").asc()], pointer=F.col("n") * 4))
+    """Shards in the order of their names (10 before 2), each sequence with its byte pointer in the shard. Null ids are in none."""
+    s = docs(spark, sf_dir).filter("doc_id is not null").select(F.concat(F.lit("shard_"), F.col("doc_id") % 12).alias("shard"), "doc_id", F.length("text").cast("long").alias("n"))
+    summed = settle(global_sums(s, [F.col("shard").asc(), F.col("doc_id").asc(), F.col("n").asc()], pointer=F.col("n") * 4))
     heads = summed.groupBy("shard").agg(F.min("pointer").alias("head"))  # a row a shard
     heads = heads.withColumn("source_ord", (F.row_number().over(Window.orderBy("shard")) - 1).cast("long"))
     return summed.join(F.broadcast(heads), "shard").select("shard", "doc_id", "n", (F.col("pointer") - F.col("head")).alias("pointer"), "source_ord")
 
 
-@query("ded1_exact_first", "SELECT min(doc_id) AS doc_id, count(*) AS copies, list_sort(list(doc_id))[1:5] AS preview FROM documents GROUP BY text")
+@query("ded1_exact_first", "SELECT min(doc_id) AS doc_id, count(*) AS copies, list_sort(list(doc_id) FILTER (doc_id IS NOT NULL))[1:5] AS preview FROM documents GROUP BY text")
 def ded1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First of equal texts, with the first members; grouped by digest so that texts are not shuffled."""
-    d = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
+    """First of equal texts (null ones are a group), with the first members; grouped by digest so that texts are not shuffled.
+    Null ids count as copies, but are no first and no member."""
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("h"))
     w = Window.partitionBy("h").orderBy("doc_id")
-    few = d.withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("preview"))
-    return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(few, "h").drop("h")
+    few = d.filter("doc_id is not null").withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("preview"))
+    return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).join(few, "h", "left").drop("h")
 
 
 @query("jn4_cosine_pairs", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
@@ -163,8 +173,8 @@ def jn4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cosine_pairs(v, 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents clustered by cosine of word-count vectors (0.96) and shared shingles (0.20); longer ones are preferred.
+def semantic_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, vectors, sets) of documents for semantic clusters; longer ones are preferred.
 
     The vectors stand for an encoder's: 64 sums of +1 and -1 over a text's words, by the words' hashes.
     """
@@ -177,7 +187,12 @@ def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = v.select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
     nodes = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").cast("double").alias("score"))
     sets = t.select(F.col("doc_id").alias("id"), shingles(F.col("t")).alias("s"))
-    return M.semantic_clusters(nodes, v, sets, 0.96, 0.20)
+    return nodes, v, sets
+
+
+def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents clustered by cosine of word-count vectors (0.96) and shared shingles (0.20)."""
+    return M.semantic_clusters(*semantic_parts(spark, sf_dir), 0.96, 0.20)
 
 
 @query("ded3_representatives")
@@ -226,7 +241,7 @@ def top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).withColumn("r", F.row_number().over(w)).filter("r <= 3").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("top8_bal2_snake", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
+@query("top8_bal2_snake", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) NULLS FIRST, doc_id NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM documents),
 p AS (SELECT doc_id, n, CASE WHEN r < ceil(n / 2) THEN 2 * r ELSE 2 * (n - 1 - r) + 1 END AS place FROM r) SELECT doc_id, place, place // greatest(n // 12, 1) AS bucket FROM p""")
 def top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", F.length("text").alias("size"))
@@ -261,12 +276,9 @@ def agg3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_pop("l_quantity"), 6).alias("std"), F.bround(F.avg(hit) * F.count("*")).cast("long").alias("hits"), F.round(F.avg(hit) * 10000, 4).alias("per_10k"))
 
 
-T_SQL = "CASE WHEN n <= 1 THEN 0 WHEN n > 121 THEN 1.96 END"
-
-
 @query("agg4_weighted_overall", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL),
 o AS (SELECT arm, sum(n) AS n, sum(n * m) / sum(n) AS mu FROM p GROUP BY arm), q AS (SELECT p.arm, any_value(o.n) AS n, any_value(mu) AS mu, sum(CASE WHEN p.n > 1 THEN (p.n - 1) * s * s ELSE 0 END + p.n * (m - mu) * (m - mu)) AS m2 FROM p JOIN o USING (arm) GROUP BY p.arm)
-SELECT arm, n::BIGINT AS n, round(mu, 6) AS mean, round(sqrt(m2 / (n - 1)), 6) AS std, round(1.96 * sqrt(m2 / (n - 1)) / sqrt(n), 6) AS ci95 FROM q""")
+SELECT arm, n::BIGINT AS n, round(mu, 6) AS mean, round(CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) ELSE 0 END, 6) AS std, round(CASE WHEN n > 1 THEN {T_OF_N} * sqrt(m2 / (n - 1)) / sqrt(n) ELSE 0 END, 6) AS ci95 FROM q""")
 def agg4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools the population deviations of repetitions in a sample formula, as the measure is defined."""
     per = facts(spark, sf_dir).groupBy("arm", "rep").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
@@ -285,7 +297,7 @@ def pooled(per: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @query("agg5_log_fields", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, count(*) AS n, avg(l_discount) AS m, stddev_pop(l_discount) AS s FROM lineitem GROUP BY ALL)
-SELECT arm, rep, round(log10(m), 6) AS log10_mean, round(s / (m * ln(10)), 6) AS log10_std FROM p""")
+SELECT arm, rep, round(CASE WHEN m > 0 THEN log10(m) ELSE 'nan'::DOUBLE END, 6) AS log10_mean, round(CASE WHEN m > 0 THEN s / (m * ln(10)) ELSE 0 END, 6) AS log10_std FROM p""")
 def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import math
 
@@ -294,8 +306,8 @@ def agg5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("arm", "rep", F.round(S.log10_or_nan(F.col("m")), 6).alias("log10_mean"), F.round(std, 6).alias("log10_std"))
 
 
-@query("agg6_agg7_profile", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, avg(l_tax) AS m FROM lineitem GROUP BY ALL)
-SELECT arm, count(*) AS n, round(avg(m), 8) AS mean, round(stddev_samp(m) / sqrt(count(*)), 8) AS sem, round(2.447 * stddev_samp(m) / sqrt(count(*)), 8) AS ci95 FROM p GROUP BY arm""")
+@query("agg6_agg7_profile", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, avg(l_tax) AS m FROM lineitem GROUP BY ALL), g AS (SELECT arm, count(*) AS n, avg(m) AS mean, CASE WHEN count(*) > 1 THEN stddev_samp(m) / sqrt(count(*)) ELSE 'nan'::DOUBLE END AS sem FROM p WHERE m IS NOT NULL GROUP BY arm)
+SELECT arm, n, round(mean, 8) AS mean, round(sem, 8) AS sem, round(CASE WHEN n > 1 THEN {T_OF_N} * sem ELSE 'nan'::DOUBLE END, 8) AS ci95 FROM g""")
 def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = facts(spark, sf_dir).groupBy("arm", "rep").agg(F.avg("l_tax").alias("m")).filter(S.finite(F.col("m")))
     sem = F.when(F.count("*") > 1, F.coalesce(F.stddev_samp("m"), F.lit(0.0)) / F.sqrt(F.count("*"))).otherwise(S.NAN)
@@ -303,7 +315,7 @@ def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg9_agg10_best_arm", """WITH b AS (SELECT l_orderkey, l_linenumber AS rep, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem),
-w AS (SELECT o_orderpriority AS split, rep FROM b JOIN orders ON o_orderkey = l_orderkey WHERE r = 1)
+w AS (SELECT o_orderpriority AS split, b.rep FROM b JOIN orders ON o_orderkey = l_orderkey WHERE b.r = 1)
 SELECT coalesce(split, 'all') AS split, rep, count(*) AS wins FROM w GROUP BY GROUPING SETS ((split, rep), (rep))""")
 def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best arm of each window (the first wins ties), counted by split and over all."""
@@ -461,8 +473,17 @@ def mdl4c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("rank").alias("supported"), F.round(F.sum("lp"), 4).alias("log_p"), F.max(F.when(F.col("rank").isNull(), F.col("pos"))).alias("last_unsupported"))
 
 
-ATT = """SELECT c_custkey AS w, l, h, q, k, (k + 1 + h + c_nationkey % 3) / sum(k + 1 + h + c_nationkey % 3) OVER (PARTITION BY c_custkey, l, h, q) AS a
-FROM customer, range(0, 6) y(l), range(0, 2) z(h), range(4, 10) u(q), range(0, 10) v(k) WHERE k <= q"""
+#: Of rows that share a key the greatest values; rows without them take no part.
+CUSTOMERS = "(SELECT c_custkey, max(c_nationkey) AS c_nationkey, max(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY c_custkey)"
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").filter("c_custkey is not null and c_nationkey is not null")
+    return rows.groupBy("c_custkey").agg(F.max("c_nationkey").alias("c_nationkey"), F.max("c_mktsegment").alias("c_mktsegment"))
+
+
+ATT = f"""SELECT c_custkey AS w, l, h, q, k, (k + 1 + h + c_nationkey % 3) / sum(k + 1 + h + c_nationkey % 3) OVER (PARTITION BY c_custkey, l, h, q) AS a
+FROM {CUSTOMERS}, range(0, 6) y(l), range(0, 2) z(h), range(4, 10) u(q), range(0, 10) v(k) WHERE k <= q"""
 
 
 @query("mdl8_arr17_attention", f"""WITH a AS ({ATT}), m AS (SELECT w, l, h, q, sum(CASE WHEN k < 3 THEN a ELSE 0 END) AS p, sum(CASE WHEN k = 3 THEN a ELSE 0 END) AS m, sum(CASE WHEN k > 3 THEN a ELSE 0 END) AS t, -sum(a * ln(greatest(a, 1e-30))) / greatest(ln(q + 1), 1) AS e, max(a) AS x, sum(a * greatest(q - k, 0)) AS d FROM a GROUP BY w, l, h, q),
@@ -479,7 +500,7 @@ def attention_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a made table of weights, a row (window, layer, head, query, key); each window a prefix of three, a mark, and a target."""
     from ..operators.attention import profile
 
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("w"), (F.col("c_nationkey") % 3).alias("c"))
+    a = customers(spark, sf_dir).select(F.col("c_custkey").alias("w"), (F.col("c_nationkey") % 3).alias("c"))
     for name, low, high in (("l", 0, 5), ("h", 0, 1), ("q", 4, 9)):
         a = a.withColumn(name, F.explode(F.sequence(F.lit(low), F.lit(high))))
     q = F.col("q")

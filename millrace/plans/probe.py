@@ -14,14 +14,16 @@ from ..operators import suite as U
 from ..operators.joins import look_up
 from ..session import settle, shared_dir, table
 from .corpus import WORDS, docs, global_sums, tokens
-from .measure import ARM, ATT, LM, SCORE, facts, ranked_targets, table_model, topk_scores
+from .measure import ARM, ATT, CUSTOMERS, LM, SCORE, T_OF_N, facts, ranked_targets, table_model, topk_scores
 from .registry import query
-from .reports import T_OF_N
 
 G = P.Geometry(prefix=20, middle=10, suffix=20, stride=15)
+#: Of documents that share an id the one of most words; null ids have none.
+ONE_EACH = WORDS.replace("w AS (", "w0 AS (") + ", w AS (SELECT doc_id, t FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY len(t) DESC NULLS LAST, t DESC) AS r FROM w0 WHERE doc_id IS NOT NULL) WHERE r = 1)"
 #: Matched context needs 40 words on either side of ten; a window is 50 long, so each fourth candidate is selected.
 WINDOWS = f"""{WORDS}, c AS (SELECT doc_id, t, (len(t) - 90) // 15 + 1 AS m, unnest(range(0, (len(t) - 90) // 15 + 1, 4)) AS i FROM w WHERE len(t) >= 90),
 s AS (SELECT doc_id, t, i AS window_index, 40 + 15 * i AS target_start, m FROM c)"""
+WINDOWS_OF_ONE = WINDOWS.replace(WORDS, ONE_EACH)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,14 +46,14 @@ def gen5_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.counters(P.candidates(samples(spark, sf_dir).select("id", F.size("t").alias("size")), G))
 
 
-@query("gen4b_stored_windows", f"WITH {WINDOWS} SELECT doc_id, CAST(target_start AS INTEGER) AS target_start, array_to_string(t[target_start - 19 : target_start], ' ') AS prefix, array_to_string(t[target_start + 1 : target_start + 10], ' ') AS middle FROM s")
+@query("gen4b_stored_windows", f"WITH {WINDOWS_OF_ONE} SELECT doc_id, CAST(target_start AS INTEGER) AS target_start, array_to_string(t[target_start - 19 : target_start], ' ') AS prefix, array_to_string(t[target_start + 1 : target_start + 10], ' ') AS middle FROM s")
 def gen4b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows known by key and place alone get their words back."""
     rows = P.cut_out(selected(spark, sf_dir).select("id", "target_start"), samples(spark, sf_dir), G)
     return rows.select(F.col("id").alias("doc_id"), "target_start", *(F.array_join(c, " ").alias(c) for c in ("prefix", "middle")))
 
 
-@query("jn7_context_swap", f"""WITH {WINDOWS}, o AS (SELECT doc_id, len(t) AS size, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM w),
+@query("jn7_context_swap", f"""WITH {WINDOWS_OF_ONE}, o AS (SELECT doc_id, len(t) AS size, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM w),
 p AS (SELECT s.doc_id, target_start AS a, n, (('0x' || substr(sha256('0::' || s.doc_id || '::' || target_start || '::distractor'), 1, 16))::UBIGINT % n)::BIGINT AS start FROM s, (SELECT count(*)::UBIGINT AS n FROM w)),
 d AS (SELECT p.doc_id, a, arg_min(o.doc_id, (o.pos - start + p.n::BIGINT) % p.n::BIGINT) AS other FROM p LEFT JOIN o ON o.doc_id <> p.doc_id AND o.size >= a + 30 GROUP BY p.doc_id, a),
 x AS (SELECT d.*, y.t, w.t AS u FROM d JOIN w y ON y.doc_id = d.doc_id LEFT JOIN w ON w.doc_id = other), i AS (SELECT unnest(['full', 'suffix_distractor', 'prefix_distractor', 'both_distractor']) AS context_intervention)
@@ -122,16 +124,16 @@ def agg2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- report tables ---
 
 ATTENTION = f"""a AS ({ATT}), m AS (SELECT w, l, h, q, sum(CASE WHEN k < 3 THEN a ELSE 0 END) AS p, sum(CASE WHEN k = 3 THEN a ELSE 0 END) AS m, sum(CASE WHEN k > 3 THEN a ELSE 0 END) AS t, -sum(a * ln(greatest(a, 1e-30))) / greatest(ln(q + 1), 1) AS e FROM a GROUP BY w, l, h, q),
-v AS (SELECT c_mktsegment AS arm, c_nationkey % 4 AS rep, avg(p) AS attn_prefix_mass, avg(t) AS attn_target_prev_mass, avg(m) AS attn_fim_marker_mass, avg(e) AS attn_entropy_norm FROM m JOIN customer ON c_custkey = w GROUP BY c_mktsegment, c_nationkey, w)"""
+v AS (SELECT c_mktsegment AS arm, c_nationkey % 4 AS rep, avg(p) AS attn_prefix_mass, avg(t) AS attn_target_prev_mass, avg(m) AS attn_fim_marker_mass, avg(e) AS attn_entropy_norm FROM m JOIN {CUSTOMERS} k ON c_custkey = w GROUP BY c_mktsegment, c_nationkey, w)"""
 PANELS = ("attn_prefix_mass", "attn_target_prev_mass", "attn_fim_marker_mass", "attn_entropy_norm")
 LONG = "UNPIVOT v ON " + ", ".join(PANELS) + " INTO NAME metric VALUE x"
 
 
 def attention_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """arm, rep, metric, n, m, s: a row for each metric of a window summary, long."""
-    from .measure import attention_profile
+    from .measure import attention_profile, customers
 
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("w"), F.col("c_mktsegment").alias("arm"), (F.col("c_nationkey") % 4).alias("rep"))
+    c = customers(spark, sf_dir).select(F.col("c_custkey").alias("w"), F.col("c_mktsegment").alias("arm"), (F.col("c_nationkey") % 4).alias("rep"))
     rows = attention_profile(spark, sf_dir).join(c, "w").unpivot(["arm", "rep"], list(PANELS), "metric", "x")
     return rows.groupBy("arm", "rep", "metric").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
 
@@ -171,16 +173,16 @@ def rpt14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(p.alias("prefix_length"), F.concat_ws("/", p, 100 - p).alias("split"), "metric", "place", "mass", "upto")
 
 
-@query("rpt18_flt12_sizes", f"""WITH p AS (SELECT l_returnflag AS model_label, CASE l_linestatus WHEN 'F' THEN '1B' ELSE '3B' END AS model_size, l_linenumber AS repetition, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL), c AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE {T_OF_N} * s / sqrt(n) END AS ci FROM p),
-k AS (SELECT model_label, model_size, count(*) = 7 AS complete FROM p GROUP BY ALL)
-SELECT model_label, model_size, repetition, n AS num_windows, round(m, 6) AS rouge_l_mean, round(ci, 6) AS rouge_l_ci95, complete FROM c JOIN k USING (model_label, model_size)""")
+@query("rpt18_flt12_sizes", f"""WITH p AS (SELECT l_returnflag AS model_label, CASE l_linestatus WHEN 'F' THEN '1B' ELSE '3B' END AS model_size, l_linenumber AS repetition, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL), c AS (SELECT *, CASE WHEN n <= 1 OR s IS NULL THEN 0 ELSE {T_OF_N} * s / sqrt(n) END AS ci FROM p),
+k AS (SELECT model_label, model_size, count(*) = 7 AND count(repetition) = 7 AS complete FROM p GROUP BY ALL)
+SELECT c.model_label, c.model_size, repetition, n AS num_windows, round(m, 6) AS rouge_l_mean, round(ci, 6) AS rouge_l_ci95, complete FROM c JOIN k ON c.model_label IS NOT DISTINCT FROM k.model_label AND c.model_size IS NOT DISTINCT FROM k.model_size""")
 def rpt18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap by model, its size and repetition, and whether the series has every repetition once."""
     keys = ["model_label", "model_size"]
     f = facts(spark, sf_dir).select(F.col("l_returnflag").alias("model_label"), F.when(F.col("l_linestatus") == "F", "1B").otherwise("3B").alias("model_size"), F.col("rep").alias("repetition"), "l_quantity")
     p = f.groupBy(*keys, "repetition").agg(F.count("*").alias("num_windows"), F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
-    broken = U.gaps(p, keys, "repetition", list(range(1, 8))).select(*keys, F.lit(False).alias("complete"))
-    out = p.join(broken, keys, "left")
+    broken = U.gaps(p, keys, "repetition", list(range(1, 8))).select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(False).alias("complete"))
+    out = p.join(broken, F.col("model_label").eqNullSafe(F.col("_model_label")) & F.col("model_size").eqNullSafe(F.col("_model_size")), "left")
     return out.select(*keys, "repetition", "num_windows", F.round("m", 6).alias("rouge_l_mean"), F.round(S.ci95(F.col("s"), F.col("num_windows")), 6).alias("rouge_l_ci95"), F.coalesce("complete", F.lit(True)).alias("complete"))
 
 
@@ -201,7 +203,7 @@ def rpt21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mth7b_mth8b_mth9b_intervals", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, count(*) AS n, avg(l_tax) AS m, stddev_pop(l_tax) AS s, sum((l_discount >= 0.05)::INT) AS k FROM lineitem GROUP BY ALL),
-c AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE {T_OF_N} * s / sqrt(n) END AS ci, CASE WHEN rep % 2 = 1 THEN CASE WHEN n <= 1 THEN 0 ELSE {T_OF_N} * 0.5 / sqrt(n) END * 100 ELSE 0 END AS t FROM p)
+c AS (SELECT *, CASE WHEN n <= 1 OR s IS NULL THEN 0 ELSE {T_OF_N} * s / sqrt(n) END AS ci, CASE WHEN rep % 2 = 1 THEN CASE WHEN n <= 1 THEN 0 ELSE {T_OF_N} * 0.5 / sqrt(n) END * 100 ELSE 0 END AS t FROM p)
 SELECT arm, rep, round(ci, 8) AS ci95, round(CASE WHEN t > 0 THEN t ELSE 1.96 * sqrt((k / n) * (1 - k / n) / n) * 100 END, 6) AS rate_ci95, round(CASE WHEN m > 0 THEN m - greatest(m - ci, m * 0.05, 1e-12) ELSE 0 END, 8) AS down, round(CASE WHEN m > 0 THEN greatest(m + ci, greatest(m - ci, m * 0.05, 1e-12)) - m ELSE 0 END, 8) AS up FROM c""")
 def mth7b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals from rolled-up rows: of a metric, of a rate (by its deviation where it has one, else by its count), and for a logarithmic axis."""
@@ -237,11 +239,11 @@ def mdl2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_mean(e).select(F.col("key").alias("label"), "i", F.round("x", 6).alias("x"))
 
 
-@query("win8_bal6_slices", """SELECT doc_id, coalesce(sum(length(text) * 4) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_byte, sum(length(text) * 4) OVER (ORDER BY doc_id)::BIGINT AS end_byte, ((row_number() OVER (ORDER BY doc_id) - 1) % 4)::INTEGER AS rank FROM documents""")
+@query("win8_bal6_slices", """SELECT doc_id, coalesce(sum(n) OVER (ORDER BY doc_id NULLS FIRST, n NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_byte, (coalesce(sum(n) OVER (ORDER BY doc_id NULLS FIRST, n NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n)::BIGINT AS end_byte, ((row_number() OVER (ORDER BY doc_id NULLS FIRST, n NULLS FIRST) - 1) % 4)::INTEGER AS rank FROM (SELECT doc_id, length(text) * 4 AS n FROM documents)""")
 def win8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each sequence in one file, and the worker that takes it in turn."""
     d = docs(spark, sf_dir).select("doc_id", (F.length("text").cast("long") * 4).alias("n"))
-    s = global_sums(d, [F.col("doc_id").asc()], begin_byte=F.col("n"), place=F.lit(1))
+    s = global_sums(d, [F.col("doc_id").asc(), F.col("n").asc()], begin_byte=F.col("n"), place=F.lit(1))
     return s.select("doc_id", "begin_byte", (F.col("begin_byte") + F.col("n")).alias("end_byte"), (F.col("place") % 4).cast("int").alias("rank"))
 
 
@@ -265,7 +267,7 @@ def tok1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
-@query("agg2b_rank_merge", f"""WITH {WORDS}, s AS (SELECT doc_id, doc_id % 3 AS r, len(t) AS n FROM w), b AS (SELECT r, doc_id, n, row_number() OVER (PARTITION BY r ORDER BY n DESC, doc_id) AS k FROM s)
+@query("agg2b_rank_merge", f"""WITH {WORDS}, s AS (SELECT doc_id, doc_id % 3 AS r, len(t) AS n FROM w WHERE doc_id IS NOT NULL), b AS (SELECT r, doc_id, n, row_number() OVER (PARTITION BY r ORDER BY n DESC, doc_id) AS k FROM s)
 SELECT r AS shard, doc_id, n FROM b WHERE k <= 5""")
 def agg2b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workers' outputs put together, then ranked as one table by key."""
@@ -287,7 +289,7 @@ def set4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenindex.register(spark)
     root = f"{shared_dir(spark).removeprefix('file://')}/mix-{uuid.uuid4().hex}"
     where = mix.layout(root, "no_fim", {})
-    rows = codes(spark, sf_dir).filter(F.size("t") > 0).filter("t[0] <> 0 or size(t) > 1")
+    rows = codes(spark, sf_dir).filter(F.size("t") > 0)
     for k, prefix in enumerate([where["book"], *(where["web"].replace("*.bin", f"part_{i}") for i in range(3))]):
         own = global_rank(rows.filter(F.col("doc_id") % 4 == k), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.col("t").alias("tokens"), F.lit(None).cast("byte").alias("mode"))
         own.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(f"{root}/parts/{k}")

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators.joins import look_up
 from ..session import settle, table
-from .measure import ARM, LM, best_tokens, facts, pooled, table_model
+from .measure import ARM, LM, T_OF_N, best_tokens, facts, pooled, table_model
 from .registry import query
 
-#: The t table in SQL, by a number of observations n above 1.
-T_OF_N = f"CASE WHEN n - 1 > 120 THEN 1.96 {' '.join(f'WHEN n - 1 >= {d} THEN {S.T95[d]}' for d in sorted(S.T95, reverse=True))} END"
+
 RATE = "avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END)"
 
 
@@ -30,7 +29,7 @@ def rpt1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rpt2_rpt19_metric_bands", f"""WITH p AS (SELECT {ARM} AS arm, l_linenumber AS rep, count(*) AS n, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY ALL), t AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE {T_OF_N} * s / sqrt(n) END AS ci FROM p)
-SELECT arm, rep, n, round(m, 6) AS mean, round(greatest(m - ci, 0), 6) AS low, round(m + ci, 6) AS high FROM t""")
+SELECT arm, rep, n, round(m, 6) AS mean, round(CASE WHEN m IS NOT NULL THEN greatest(m - ci, 0) END, 6) AS low, round(m + ci, 6) AS high FROM t""")
 def rpt2(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = facts(spark, sf_dir).groupBy("arm", "rep").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
     low, high = S.band(F.col("m"), S.ci95(F.col("s"), F.col("n")), 0.0, float("inf"))
@@ -56,7 +55,7 @@ def rpt5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rpt6_rpt13_profile", f"""WITH p AS (SELECT l_linenumber AS split, {ARM} AS arm, count(*) AS n, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY ALL), o AS (SELECT split, sum(n) AS n, sum(n * m) / sum(n) AS mu FROM p GROUP BY 1),
 q AS (SELECT p.split, any_value(o.n) AS n, any_value(mu) AS mu, sum((p.n - 1) * s * s + p.n * (m - mu) * (m - mu)) AS m2 FROM p JOIN o USING (split) GROUP BY 1)
-SELECT split, n::BIGINT AS n, round(mu, 4) AS mean, round(sqrt(m2 / (n - 1)), 4) AS std FROM q""")
+SELECT split, n::BIGINT AS n, round(mu, 4) AS mean, round(CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) ELSE 0 END, 4) AS std FROM q""")
 def rpt6(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = facts(spark, sf_dir).groupBy(F.col("rep").alias("split"), "arm").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("m"), F.stddev_pop("l_extendedprice").alias("s"))
     return pooled(per, ["split"]).select("split", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
@@ -158,14 +157,15 @@ def mdl5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mdl6_greedy_decode", f"""WITH RECURSIVE {LM}, best AS (SELECT ctx, token FROM k WHERE rank = 1),
-d AS (SELECT doc_id, target, 0 AS step, ctx AS last, CAST([] AS VARCHAR[]) AS words FROM q WHERE i = target UNION ALL SELECT doc_id, target, step + 1, token, list_append(words, token) FROM d JOIN best ON ctx = last WHERE step < 5),
+d AS (SELECT doc_id, target, 0 AS step, min(ctx) AS last, CAST([] AS VARCHAR[]) AS words FROM q WHERE i = target GROUP BY doc_id, target UNION ALL SELECT doc_id, target, step + 1, token, list_append(words, token) FROM d JOIN best ON ctx = last WHERE step < 5),
 l AS (SELECT doc_id, target, words, row_number() OVER (PARTITION BY doc_id, target ORDER BY step DESC) AS z FROM d) SELECT doc_id, CAST(target AS INTEGER) AS target, array_to_string(words, ' ') AS decoded FROM l WHERE z = 1""")
 def mdl6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five greedy steps from each target's context: each looks up the best continuation of the last word (first in order wins ties)."""
+    """Five greedy steps from each target's context: each looks up the best continuation of the last word (first in order wins ties).
+    Of rows that share an id and a target the least context counts."""
     g, logits = table_model(spark, sf_dir)
     best = logits.groupBy("ctx").agg(F.min(F.struct((-F.round("logit", 6)).alias("s"), "token")).alias("b")).select(F.col("ctx").alias("last"), F.col("b.token").alias("next"))
     best = settle(best)
-    d = g.filter("pos = target").select("doc_id", "target", F.col("ctx").alias("last"), F.array().cast("array<string>").alias("words"))
+    d = g.filter("pos = target").groupBy("doc_id", "target").agg(F.min("ctx").alias("last")).select("doc_id", "target", "last", F.array().cast("array<string>").alias("words"))
     for _ in range(5):
         d = look_up(d, best, ["last"], ["doc_id", "target"], "left").select("doc_id", "target", F.col("next").alias("last"), F.when(F.col("next").isNull(), F.col("words")).otherwise(F.concat("words", F.array("next"))).alias("words"))
     return d.select("doc_id", "target", F.array_join("words", " ").alias("decoded"))
@@ -182,11 +182,12 @@ def mdl7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "target", (F.col("pos") + 1).alias("pos"), "token", "rank", F.round(F.coalesce(F.exp("lp"), F.lit(0.0)) + 1e-9, 6).alias("p"), "top")
 
 
-@query("str12_win10_word_groups", """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
-g AS (SELECT *, sum(CASE WHEN i > 1 AND ch IN (' ', chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM c)
-SELECT doc_id, CAST(word AS BIGINT) AS word, trim(string_agg(ch, '' ORDER BY i), ' ' || chr(10)) AS text, CAST(min(i) - 1 AS INTEGER) AS begin_at, CAST(max(i) AS INTEGER) AS end_at FROM g GROUP BY doc_id, word""")
+@query("str12_win10_word_groups", """WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text <> ''), c AS (SELECT doc_id, r, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM d),
+g AS (SELECT *, sum(CASE WHEN i > 1 AND ch IN (' ', chr(10)) THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS word FROM c)
+SELECT doc_id, CAST(word AS BIGINT) AS word, trim(string_agg(ch, '' ORDER BY i), ' ' || chr(10)) AS text, CAST(min(i) - 1 AS INTEGER) AS begin_at, CAST(max(i) AS INTEGER) AS end_at FROM g GROUP BY doc_id, r, word""")
 def str12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces (here characters) that start with white space begin a word: cut at once, a row a word, places by running lengths."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(?:^.|[ \n])[^ \n]*"), F.lit(0))).alias("word", "t"))
-    end = F.sum(F.length("t")).over(Window.partitionBy("doc_id").orderBy("word")).cast("int")
+    w = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    w = w.select("doc_id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(?:^.|[ \n])[^ \n]*"), F.lit(0))).alias("word", "t"))
+    end = F.sum(F.length("t")).over(Window.partitionBy("row").orderBy("word")).cast("int")
     return w.withColumn("end_at", end).select("doc_id", F.col("word").cast("long").alias("word"), F.regexp_replace("t", "^[ \n]+|[ \n]+$", "").alias("text"), (F.col("end_at") - F.length("t")).alias("begin_at"), "end_at")

@@ -73,7 +73,7 @@ def flt8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.report_arms(U.arm_table(spark), "native_geometry").select("arm_id", "prefix_length")
 
 
-@query("flt10_pending", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)")
+@query("flt10_pending", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber = 3 AND l_orderkey = o_orderkey)")
 def flt10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work that has no finished line yet."""
     done = table(spark, sf_dir, "lineitem").filter("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("num_windows"), F.lit(1).alias("num_selected_windows"))
@@ -88,8 +88,8 @@ def str6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.primary_author(T.contributors(a)).alias("author"))
 
 
-@query("mth1_mth4_guards", """SELECT event_id, CASE WHEN value * 2 < 50 THEN round(log10(exp(value * 2)), 9) ELSE 'inf'::DOUBLE END AS log10_ppl, round(CASE WHEN -value * 100 < -745 THEN 0 ELSE exp(-value * 100) END, 9) AS p,
-round(CASE WHEN value > 0 THEN log10(value) ELSE 'nan'::DOUBLE END, 6) AS l, round(log10(greatest(value, 1e-8)), 6) AS floored FROM events""")
+@query("mth1_mth4_guards", """SELECT event_id, CASE WHEN value * 2 < 50 THEN round(log10(exp(value * 2)), 9) ELSE 'inf'::DOUBLE END AS log10_ppl, round(CASE WHEN value IS NULL THEN 'nan'::DOUBLE WHEN -value * 100 < -745 THEN 0 ELSE exp(-value * 100) END, 9) AS p,
+round(CASE WHEN value > 0 THEN log10(value) ELSE 'nan'::DOUBLE END, 6) AS l, round(CASE WHEN value IS NULL THEN 'nan'::DOUBLE ELSE log10(greatest(value, 1e-8)) END, 6) AS floored FROM events""")
 def mth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     ppl = S.safe_exp(v * 2)
@@ -117,7 +117,8 @@ def arr16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes(spark, sf_dir).filter(F.size("t") >= 30).select("doc_id", F.explode(prompts).alias("p")).select("doc_id", "p.target_start", "p.prompt")
 
 
-@query("snk3_src5_token_index", f"""WITH {CODES} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq_id, len(t)::BIGINT AS n, list_sum(t)::BIGINT AS total FROM c""")
+@query("snk3_src5_token_index", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ''), lambda x: unicode(x)) END AS t FROM d)
+SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) - 1 AS seq_id, len(t)::BIGINT AS n, coalesce(list_sum(t), 0)::BIGINT AS total FROM c""")
 def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as a token index and read back. The index holds one file a run, so the path must be one that executors share."""
     import os
@@ -128,7 +129,7 @@ def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokenindex.register(spark)
     prefix = os.path.join(shared_dir(spark).removeprefix("file://"), f"index-{uuid.uuid4().hex}", "docs")
-    rows = global_rank(docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), [F.col("doc_id").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", F.transform(F.split("text", ""), lambda x: F.ascii(x)).alias("tokens"), F.lit(None).cast("byte").alias("mode"))
+    rows = global_rank(docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), [F.col("doc_id").asc(), F.col("text").asc()], "doc_id").select((F.col("rank") - 1).alias("seq_id"), "doc_id", T.code_points(F.col("text")).alias("tokens"), F.lit(None).cast("byte").alias("mode"))
     rows.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.format("tokenindex").mode("append").save(prefix)
     back = spark.read.format("tokenindex").load(prefix)
     return back.select("seq_id", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -15,7 +15,7 @@ def long_texts(df: DataFrame, least: int = 200) -> DataFrame:
 
 def sequences(df: DataFrame, cap: int = 4096) -> DataFrame:
     """Documents as code points, laid out by key."""
-    tokens = df.select("doc_id", F.transform(F.split("text", ""), lambda x: F.ascii(x)).alias("tokens"))
+    tokens = df.select("doc_id", T.code_points(F.col("text")).alias("tokens"))
     return lay_out(tokens, F.concat(F.lit("doc:"), F.col("doc_id")), cap=cap)
 
 

@@ -170,7 +170,7 @@ def str2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str4_normalize_key", r"""SELECT doc_id, nullif(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(replace(text, 'ß', 'ss'), 'ẞ', '')), '[^\x00-\x7F]', '', 'g'), ',?\s*\b\d{3,4}\s*-\s*\d{0,4}\b', ' ', 'g'), '\[[^\]]+\]', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), '') AS title_key FROM documents""")
 def str4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.normalize_key("text").alias("title_key"))
+    return docs(spark, sf_dir).select("doc_id", T.normalize_key(F.col("text")).alias("title_key"))
 
 
 @query("str5_str7_terms", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, ',', ';'), ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS terms FROM documents)

@@ -61,7 +61,9 @@ def test_numbers(spark):
 
 
 def test_strings(spark):
-    assert T.normal_key("Brontë, Charlotte, 1816-1855 [Editor]") == "bronte charlotte"
+    names = {"Brontë, Charlotte, 1816-1855 [Editor]": "bronte charlotte", "Ærøskøbing & Þór, 1901-": "aeroskobing thor 1901", "ﬁne Straße ½": "fine strasse 12", "[x] – 12": "12", "日本": None, "": None, None: None}
+    keys = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.normalize_key(F.col("n")).alias("k"))
+    assert {r.n: r.k for r in keys.collect()} == names
     assert [one(spark, T.ebook_id(F.lit(x))) for x in ("10-0", "1342_x", "phys-0", "abc")] == ["10", "1342", "10453", None]
     book = "intro\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n body \n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nend"
     assert one(spark, T.between(F.lit(book))) == "body" and one(spark, T.between(F.lit("plain"))) == "plain"

@@ -17,7 +17,7 @@ Any two texts within the join's distance are then both in the cell that either i
 texts of their region and leave. Cells are the next round's regions, save those without a text at home and those whose
 texts the links so far have all made one component. Regions of few texts, and what is large after the last round, are
 solved in blocks of bounded size, where texts of different components meet (those of a region's main component not with
-each other).
+each other): first each text's nearest, and when these links have joined components, all pairs between those that are left.
 
 A distance is bounded from below by the sets' sizes and parities; within blocks only pairs that the bound leaves are
 told. They are measured on the full sets, which are read again from the texts of such pairs alone. Links join in connected components.
@@ -46,6 +46,8 @@ WORDS, PERCENT = 4, 85
 NEAR, CORE = 1 - PERCENT / 100, 0.20
 #: Least shingles that elect a text's first pivots; pivots of a large region, texts of a small one, and rounds.
 LEAST, PIVOTS, LEAF, ROUNDS = 3, 4, 256, 2
+#: Candidates of a set in a block's first pass.
+BEST = 3
 #: Numbers of 64 bits that are compared at once in a block.
 AT_ONCE = 1 << 20
 #: Sets that a task remembers, so as to tell the prefix of copies once.
@@ -231,8 +233,9 @@ def bits_of(rows: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def near_pairs(left: tuple, right: tuple, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(sid, n, root, bits) twice -> pairs of different roots whose sizes and parities leave them within reach.
+def near_pairs(left: tuple, right: tuple, reach: float, best: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sid, n, root, bits) twice -> pairs of different roots whose sizes and parities leave them within reach; of each
+    left set, where best is given, only so many of each class of sizes, the nearest by the bound.
 
     Parities are as long as the next power of two of a set's size, so sizes that fit are in the same or the next class.
     """
@@ -257,41 +260,50 @@ def near_pairs(left: tuple, right: tuple, reach: float) -> tuple[np.ndarray, np.
                     apart_ += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
                 gap = np.maximum(apart_, np.abs(n[:, None] - m[None, :]))
                 fits = (2 * gap <= (reach + EPS) * (n[:, None] + m[None, :] + gap)) & (left[2][own][:, None] != roots[None, :])
+                if best is not None and fits.shape[1] > best:
+                    share = np.where(fits, gap / (n[:, None] + m[None, :]), np.inf)
+                    nearest = np.argpartition(share, best, axis=1)[:, :best]
+                    chosen = np.zeros_like(fits)
+                    np.put_along_axis(chosen, nearest, True, axis=1)
+                    fits &= chosen
                 i, j = np.nonzero(fits)
                 found.append([left[0][own[i]], right[0][other[j]]])
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def solved(members: DataFrame, sets: Sets, held: int) -> DataFrame:
-    """(region, sid, n, root) -> pairs (a, b) of different roots that the bound leaves within the join's distance.
+def solved(members: DataFrame, sets: Sets, held: int, best: int | None = None) -> DataFrame:
+    """(region, sid, n, root) -> pairs (a, b) of different roots that the bound leaves within the join's distance (with
+    best, the nearest of them).
 
-    A region's main root is one of its sets'. Sets of other roots (the rest) meet all. Both are cut into blocks of about
+    A region's main root is that of most of its sets. Sets of other roots (the rest) meet all. Both are cut into blocks of about
     held sets, so that no task holds a region; a region whose rest is small costs its own size.
     """
-    told = members.groupBy("region").agg(F.count("*").alias("m"), F.min("root").alias("main"), F.max("root").alias("hi")).filter("main < hi").drop("hi")
-    members = spread_join(members, told, ["region"], ["sid"])
-    members = members.join(sets.profiles.select("sid", "bits"), "sid")
-    members = materialize(members, "members")
-    rest = members.filter("root <> main")
+    by_root = members.groupBy("region", "root").agg(F.count("*").alias("c"))
+    told = by_root.groupBy("region").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    members = materialize(spread_join(members, told, ["region"], ["sid"]).withColumn("rest", F.col("root") != F.col("main")), "members")
+    small = members.filter(F.col("m") <= held).select("region", *(F.lit(0).cast("long").alias(x) for x in "ij"), F.lit(1).alias("side"), "sid", "n", "root", "rest")
+    members = members.filter(F.col("m") > held)
+    rest = members.filter("rest")
     some = rest.groupBy("region").agg(F.count("*").alias("r"))
     blocks = [(F.floor((F.col(x) - 1) / held) + 1).cast("long") for x in ("m", "r")]
     own = [F.pmod(F.xxhash64("sid"), x) for x in blocks]
     every = [F.explode(F.sequence(F.lit(0).cast("long"), x - 1)) for x in blocks]
-    columns = ["region", "i", "j", "side", "sid", "n", "root", "bits"]
-    left = spread_join(rest, some, ["region"], ["sid"]).withColumn("j", own[1]).withColumn("i", every[0]).withColumn("side", F.lit(0)).select(columns)
-    right = spread_join(members, some, ["region"], ["sid"]).withColumn("i", own[0]).withColumn("j", every[1]).withColumn("side", F.lit(1)).select(columns)
+    left = spread_join(rest, some, ["region"], ["sid"]).withColumn("j", own[1]).withColumn("i", every[0]).withColumn("side", F.lit(0)).select(small.columns)
+    right = spread_join(members, some, ["region"], ["sid"]).withColumn("i", own[0]).withColumn("j", every[1]).withColumn("side", F.lit(1)).select(small.columns)
+    rows = small.union(left).union(right).join(sets.profiles.select("sid", "bits"), "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ([], [])
 
+        def side(parts: list[pa.RecordBatch]) -> tuple:
+            t = pa.Table.from_batches(parts)
+            return t.column("sid").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("root").to_numpy(), t.column("bits").to_pylist()
+
         def done() -> Iterator[pa.RecordBatch]:
-            if sides[0] and sides[1]:
-                both = []
-                for parts in sides:
-                    t = pa.Table.from_batches(parts)
-                    both.append((t.column("sid").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("root").to_numpy(), t.column("bits").to_pylist()))
-                a, b = near_pairs(*both, NEAR)
+            left = sides[0] or [b.filter(b.column("rest")) for b in sides[1]]
+            if sides[1] and any(b.num_rows for b in left):
+                a, b = near_pairs(side(left), side(sides[1]), NEAR, best)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -299,16 +311,16 @@ def solved(members: DataFrame, sets: Sets, held: int) -> DataFrame:
             if not b.num_rows:
                 continue
             keys = np.stack([b.column(c).to_numpy() for c in ("region", "i", "j")])
-            side = b.column("side").to_numpy()
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (side[1:] != side[:-1])) + 1
+            of = b.column("side").to_numpy()
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (of[1:] != of[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
                 if key != (now := tuple(keys[:, lo].tolist())):
                     yield from done()
                     key, sides = now, ([], [])
-                sides[side[lo]].append(b.slice(lo, hi - lo))
+                sides[of[lo]].append(b.slice(lo, hi - lo))
         yield from done()
 
-    found = left.union(right).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "side").mapInArrow(run, "a long, b long")
+    found = rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "side").mapInArrow(run, "a long, b long")
     return found.distinct()
 
 
@@ -333,8 +345,10 @@ def links(sets: Sets, marked: DataFrame, pivots: int = PIVOTS, leaf: int = LEAF,
         found = measured(met.filter("sid <> pivot").select(*pair("sid", "pivot")).distinct(), sets, CORE + NEAR)
         roots = linked(found)
         members = open_regions(cells(met, found), roots)
-    rest = materialize(rooted(reduce(DataFrame.union, few), roots), "members")
-    return linked(exact(solved(rest, sets, held), sets, NEAR))
+    # the nearest of each set first, which link nearly all that will be; then whatever is left between components
+    rest = reduce(DataFrame.union, few)
+    roots = linked(exact(solved(materialize(rooted(rest, roots), "members"), sets, held, BEST), sets, NEAR))
+    return linked(exact(solved(materialize(rooted(rest, roots), "members"), sets, held), sets, NEAR))
 
 
 def join(docs: DataFrame, sample: int = SAMPLE, **how: int) -> DataFrame:

@@ -241,3 +241,19 @@ def test_look_up_spreads_hot_keys(spark, monkeypatch):
     for few in (joins.FEW, 0):
         monkeypatch.setattr(joins, "FEW", few)
         assert sorted((r.i, r.v or "") for r in joins.look_up(many, one, ["k"], ["i"], "left").collect()) == want
+
+
+def test_near_vectors_with_unlike_sets_are_counted_only(spark):
+    n = 60
+    v = [1.0, 2.0, 3.0]
+    vectors = [(i, v if i % 2 else [1.0, 2.0, 3.001]) for i in range(n)]
+    # rows 0 to 9 are copies of one, the rest have sets of their own
+    sets = [(i, [f"{max(i, 9)}:{k}" for k in range(300)]) for i in range(n)]
+    vectors = [(i, v if i < 10 else x) for i, x in vectors]
+    frames = [spark.createDataFrame(x, s) for x, s in (([(i, float(i)) for i in range(n)], "id long, score double"), (vectors, "id long, v array<double>"), (sets, "id long, s array<string>"))]
+    found, counts = similarity.clusters_and_counts(*frames, 0.96, 0.2)
+    assert {r.id: r.representative for r in found.collect()} == {i: max(i, 9) for i in range(n)}
+    assert counts() == {"over_cosine": n * (n - 1) // 2, "over_jaccard": 45}
+    rows = similarity.sketches(similarity.hashed(frames[2])).join(frames[1], "id").selectExpr("id", "v", "n", "bits", "1L as w")
+    met = similarity._meet(rows.cache(), 0.96, 0.2).collect()
+    assert sorted((r.a, r.b) for r in met if r.a is not None) == [(a, b) for a in range(10) for b in range(a + 1, 10)]

@@ -257,3 +257,12 @@ def test_near_vectors_with_unlike_sets_are_counted_only(spark):
     rows = similarity.sketches(similarity.hashed(frames[2])).join(frames[1], "id").selectExpr("id", "v", "n", "bits", "1L as w")
     met = similarity._meet(rows.cache(), 0.96, 0.2).collect()
     assert sorted((r.a, r.b) for r in met if r.a is not None) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+
+
+def test_attention_bounds_go_with_the_weights(spark):
+    names = {"prefix_begin": 0, "prefix_end": 2, "suffix_begin": 0, "suffix_end": 0, "target_begin": 3, "target_end": 6, "first_query": 3}
+    weights = spark.range(3).selectExpr("id as w", "explode(sequence(0, 1)) as l", "0 as h").selectExpr("*", "explode(sequence(3, 5)) as q").selectExpr("*", "explode(sequence(0, q)) as k").selectExpr("*", "1 / (q + 1) as a")
+    one = lambda x: x.selectExpr("*", *(f"{v} as {k}" for k, v in names.items()), "array(2) as marks")
+    beside, within = attention.profile(weights, one(spark.range(3).selectExpr("id as w")), 2), attention.profile(one(weights), None, 2)
+    assert sorted(map(str, beside.collect())) == sorted(map(str, within.collect()))
+    assert "Join" not in within._jdf.queryExecution().optimizedPlan().toString()

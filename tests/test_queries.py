@@ -99,3 +99,11 @@ def test_components_are_orthogonal(spark, sf):
     v = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()], float)
     variance = np.linalg.eigvalsh(np.cov(v.T))
     assert np.allclose([got.pca_y.var(), got.pca_x.var()], [variance[-1], variance[-2]])
+
+
+def test_guards_round_as_their_sql(spark, tmp_path):
+    d = duckdb.connect()
+    d.execute(f"COPY (SELECT i AS event_id, CASE WHEN i < 300000 THEN hash(i) / 18446744073709551616.0 * 25 ELSE (ARRAY['inf'::DOUBLE, '-inf'::DOUBLE, -466.08, 0, NULL, 1e300])[i - 299999] END AS value FROM range(0, 300006) r(i)) TO '{tmp_path}/events.parquet'")
+    d.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    QUERIES["mth1_mth4_guards"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert d.execute(f"SELECT count(*) FROM ((FROM ({ORACLES['mth1_mth4_guards']})) EXCEPT ALL FROM '{tmp_path}/out/*.parquet')").fetchone() == (0,)

@@ -11,8 +11,8 @@ exactly; bytes that such strings cover are removed.
 3. The strings of a repeated anchor make a context, the bytes that they cover. Contexts are dealt by
    anchor, so equal strings meet in one task, in batches of about BATCH bytes; equal contexts count once,
    at most twice where they repeat, and those of one part are made one before they are dealt. A batch's
-   contexts are joined and sorted by their first 256 symbols
-   into a Burrows-Wheeler transform. From the intervals of prefixes of 16 symbols, backward extension
+   contexts without a string whose hash is met twice there share none and leave; the rest are joined and sorted by
+   their first 256 symbols into a Burrows-Wheeler transform. From the intervals of prefixes of 16 symbols, backward extension
    breadth-first sets each boundary between neighbouring suffixes at its common prefix's length, shortest
    first; an interval whose boundary was set before is not extended again. After LENGTH - 1 the
    boundaries not yet set are those of common prefixes of LENGTH or more: their suffixes repeat.
@@ -42,8 +42,8 @@ LENGTH = 200
 #: Lengths of the k-grams that anchors are taken from; later ones for hot anchors.
 GRAMS = (40, 120, 180)
 HOT = 4096
-#: Bytes of a batch that a transform is built over; of a text that anchors are taken from at once.
-BATCH, PIECE = 1 << 18, 1 << 20
+#: Bytes of a batch that a transform is built over; of texts that a step takes; that anchors are taken from at once.
+BATCH, STEP, PIECE = 1 << 18, 1 << 20, 1 << 16
 SEPARATOR = 0xFF  # in no UTF-8 text
 
 _rng = np.random.default_rng(23)
@@ -180,20 +180,38 @@ def repeated_suffixes(text: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def sharing(parts: list[bytes], length: int) -> np.ndarray:
+    """True for each context that has a string whose hash is met again among all: no other's is found again."""
+    sizes = np.array([len(x) for x in parts])
+    windows, starts = sizes - length + 1, np.cumsum(sizes) - sizes
+    at = np.arange(windows.sum()) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
+    h, of = gram_hashes(np.frombuffer(b"".join(parts), np.uint8), length)[at], np.repeat(np.arange(len(parts)), windows)
+    order = np.argsort(h)
+    again = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    out = np.zeros(len(parts), bool)
+    out[of[order[again]]] = out[of[order[again + 1]]] = True
+    return out
+
+
 def repeated_in(parts: list[bytes], twice: list[bool], length: int) -> list[list[tuple[int, int]]]:
     """Runs [a, b) of string starts in each context whose strings are found again among all contexts."""
+    # a context that shares nothing repeats as a whole or not at all
+    out = [[(0, len(x) - length + 1)] if double else [] for x, double in zip(parts, twice, strict=True)]
+    some = np.flatnonzero(sharing(parts, length)).tolist()
+    if not some:
+        return out
+    parts, twice = [parts[i] for i in some], [twice[i] for i in some]
     pieces, places, at = [], [], 0
     for x in parts:
         places.append(at)
         pieces += [x, b"\xff"]
         at += len(x) + 1
     flags = repeated_suffixes(np.frombuffer(b"".join(pieces), np.uint8), length)
-    out = []
-    for x, place, double in zip(parts, places, twice, strict=True):
+    for i, x, place, double in zip(some, parts, places, twice, strict=True):
         # a context's multiplicity counts in the width of its strings' intervals
         own = np.concatenate(([False], flags[place : place + len(x) - length + 1] | double, [False]))
         edges = np.flatnonzero(own[1:] != own[:-1]).tolist()
-        out.append(list(zip(edges[::2], edges[1::2], strict=True)))
+        out[i] = list(zip(edges[::2], edges[1::2], strict=True))
     return out
 
 
@@ -216,7 +234,7 @@ def cut_documents(candidates: DataFrame, length: int, k: int) -> DataFrame:
     """(cid, weight, text, keys) -> the contexts of the anchors in keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", PIECE):
+        for b in chunks(batches, "text", STEP):
             texts, cids, weights = b.column("text").to_pylist(), b.column("cid").to_pylist(), b.column("weight").to_pylist()
             wanted, rows = b.column("keys").to_pylist(), []
             for i, h, lo, hi in contexts(texts, length, k):
@@ -233,7 +251,7 @@ def cut_contexts(found: DataFrame, length: int, k: int) -> DataFrame:
     """Contexts cut again by longer k-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "content", PIECE):
+        for b in chunks(batches, "content", STEP):
             texts, rows = b.column("content").to_pylist(), []
             cids, starts, weights = (b.column(x).to_pylist() for x in ("cid", "start", "weight"))
             for i, h, lo, hi in contexts(texts, length, k):
@@ -329,7 +347,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select("doc_id", "text", F.sha2("text", 256).alias("sha"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", PIECE):
+        for b in chunks(batches, "text", STEP):
             texts = b.column("text").to_pylist()
             keys: list[list[np.ndarray]] = [[] for _ in texts]
             for i, h, _, _ in contexts(texts, length, k):

@@ -72,12 +72,27 @@ class Bigrams:
 
 
 def bigram_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """Counts of neighbouring ids below size: size x size numbers reach the driver."""
-    pairs = rows.select(F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))).alias("a"), F.slice("ids", F.lit(2), F.greatest(F.size("ids") - 1, F.lit(0))).alias("b"))).alias("p"))
-    found = pairs.groupBy("p.a", "p.b").count().toArrow()
-    out = np.zeros((size, size), np.int64)
-    out[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("count").to_numpy()
-    return out
+    """Counts of neighbouring ids below size: size x size numbers at most leave a task and reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size * size, np.int64)
+        for b in batches:
+            ids = b.column("ids")
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(flat) and not (flat.min() >= 0 and flat.max() < size):
+                raise IndexError(f"an id is not below {size}")
+            inner = np.ones(len(flat), bool)  # ids that have one behind them
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
+            inner[ends[ends > 0] - 1] = False
+            at = np.flatnonzero(inner)
+            counts += np.bincount(flat[at] * size + flat[at + 1], minlength=size * size)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["pair", "n"])
+
+    found = rows.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(size, size)
 
 
 def window_perplexity(rows: DataFrame, keys: list[str], load: Callable[[], object], end: int, pad: int | None = None, batch: int = 16) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 DIM = 1024
+#: Bytes of text whose trigrams are told at once, and counts (texts by trigrams) that are held at once: short texts are many.
+TOLD_BYTES, COUNTS = 1 << 18, 1 << 20
 
 
 def letter(code: int) -> np.ndarray:
@@ -86,12 +88,15 @@ def bundles(texts: list[str | None], group: np.ndarray | None = None) -> np.ndar
     keys, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
     row = np.repeat(rows, [len(x) for x in found])
     for i in range(0, len(keys), 4096):  # a few thousand trigrams at a time bound the count matrix
-        inside = (at >= i) & (at < i + 4096)
         width = min(4096, len(keys) - i)
-        count = np.bincount(row[inside] * width + at[inside] - i, minlength=len(out) * width).reshape(len(out), width)
-        # float32 is exact for whole numbers below 2^24; larger counts go in double
-        kind = np.float32 if count.sum(axis=1).max(initial=0) < 1 << 24 else np.float64
-        out += count.astype(kind) @ cells(keys[i : i + width]).astype(kind)
+        vectors, step = cells(keys[i : i + width]), max(1, COUNTS // width)
+        for r in range(0, len(out), step):
+            part = out[r : r + step]
+            inside = (at >= i) & (at < i + width) & (row >= r) & (row < r + step)
+            count = np.bincount((row[inside] - r) * width + at[inside] - i, minlength=len(part) * width).reshape(len(part), width)
+            # float32 is exact for whole numbers below 2^24; larger counts go in double
+            kind = np.float32 if count.sum(axis=1).max(initial=0) < 1 << 24 else np.float64
+            part += count.astype(kind) @ vectors.astype(kind, copy=False)
     return out
 
 
@@ -104,7 +109,7 @@ def prototypes(train: DataFrame) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in chunks(batches, "text", 1 << 20):
+        for b in chunks(batches, "text", TOLD_BYTES):
             langs = b.column("lang").to_pylist()
             names = sorted({*langs})
             sums = bundles(b.column("text").to_pylist(), np.array([names.index(x) for x in langs]))
@@ -126,7 +131,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str]) ->
     unit = np.stack([learned[x] / np.linalg.norm(learned[x]) for x in names]) if names else np.zeros((0, DIM))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "_text", 1 << 20):
+        for b in chunks(batches, "_text", TOLD_BYTES):
             v = bundles(b.column("_text").to_pylist())
             norm = np.linalg.norm(v, axis=1)
             known = (norm > 0) & bool(names)

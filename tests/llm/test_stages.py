@@ -49,6 +49,21 @@ def test_plain_bundles():
     assert (langid.bundles(texts) == np.stack([plain_vector(t) for t in texts])).all()
 
 
+def test_bundles_hold_few_counts():
+    """A thousand short texts of many trigrams at once: the matrix of counts must not be as large as both."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(1000)]
+    small = np.concatenate([langid.bundles(texts[i : i + 100]) for i in range(0, 1000, 100)])
+    tracemalloc.start()
+    got = langid.bundles(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == small).all() and peak < 90 << 20
+
+
 def test_language(spark):
     import zlib
 

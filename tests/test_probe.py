@@ -42,6 +42,22 @@ def test_distractors_against_all_pairs(spark):
     assert got == want and None in {want.get(k) for k in want} | {None}
 
 
+def test_distractors_across_blocks(spark, monkeypatch):
+    """Blocks of four: windows find theirs in their own block, in a later one, around the end, or nowhere; a sample that is
+    as long as can be stands once."""
+    monkeypatch.setattr(probe, "BLOCK", 4)
+    g = probe.Geometry(4, 3, 2, 5)
+    draw = random.Random(11)
+    samples = [(i, draw.choice([9, 9, 9, 9, 16, 40])) for i in range(30)] + [(30, 90), (31, 2_000_000_000)]
+    found = [(i, a) for i, n in samples for a in (6, 21, 60, 1_000_000_006) if n >= a + 5]
+    got = {(r.id, r.target_start): r.distractor for r in probe.distractors(spark.createDataFrame(found, "id long, target_start int"), spark.createDataFrame(samples, "id long, size int"), g).collect()}
+    want = {}
+    for i, a in found:
+        begin = seed_of(f"0::{i}::{a}::distractor") % len(samples)
+        want[i, a] = next((j for j, n in samples[begin:] + samples[:begin] if j != i and n >= a + 5), None)
+    assert got == want and want[31, 1_000_000_006] is None and want[30, 60] == 31
+
+
 def test_selection(spark):
     g = probe.Geometry(1, 1, 0, 1, layout="cooper_nonoverlap")
     rows = spark.createDataFrame([(1, 20), (2, 3)], "id long, size int")

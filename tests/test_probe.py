@@ -58,6 +58,19 @@ def test_distractors_across_blocks(spark, monkeypatch):
     assert got == want and want[31, 1_000_000_006] is None and want[30, 60] == 31
 
 
+def test_mixed_index_moves_texts_once(spark, sf, monkeypatch):
+    """Texts are neither ranked nor written again before they are in the index."""
+    from millrace.plans import corpus
+
+    def ranked(*_, **__):
+        raise AssertionError("texts are ranked")
+
+    monkeypatch.setattr(corpus, "global_sums", ranked)
+    got = [(r.seq_id, r.n, r.total) for r in QUERIES["set4_xf3_mixed_index"](spark, sf).orderBy("seq_id").collect()]
+    rows = sorted((r.doc_id % 4, r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text)
+    assert got == [(i, len(t), sum(map(ord, t))) for i, (_, _, t) in enumerate(rows)]
+
+
 def test_selection(spark):
     g = probe.Geometry(1, 1, 0, 1, layout="cooper_nonoverlap")
     rows = spark.createDataFrame([(1, 20), (2, 3)], "id long, size int")

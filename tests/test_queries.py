@@ -107,3 +107,13 @@ def test_guards_round_as_their_sql(spark, tmp_path):
     d.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
     QUERIES["mth1_mth4_guards"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
     assert d.execute(f"SELECT count(*) FROM ((FROM ({ORACLES['mth1_mth4_guards']})) EXCEPT ALL FROM '{tmp_path}/out/*.parquet')").fetchone() == (0,)
+
+
+def test_guards_have_the_last_bits_and_zero_signs_of_their_sql(spark, tmp_path):
+    d = duckdb.connect()
+    d.execute(f"COPY (SELECT i AS event_id, CASE WHEN i < 20000 THEN hash(i) / 18446744073709551616.0 * -7 WHEN i < 20100 THEN 1 - (i - 19999) * 4e-9 ELSE (i - 20150) * 1e-12 END AS value FROM range(0, 20300) r(i)) TO '{tmp_path}/events.parquet'")
+    d.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    QUERIES["mth1_mth4_guards"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    shown = "SELECT event_id, CAST(log10_ppl AS VARCHAR), CAST(p AS VARCHAR), CAST(l AS VARCHAR), CAST(floored AS VARCHAR) FROM"  # tells 0.0 from -0.0
+    want, got = (d.execute(f"{shown} {x} ORDER BY event_id").fetchall() for x in (f"({ORACLES['mth1_mth4_guards']})", f"'{tmp_path}/out/*.parquet'"))
+    assert [(a, b) for a, b in zip(want, got, strict=True) if a != b] == []

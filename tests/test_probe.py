@@ -12,7 +12,7 @@ from millrace.functions import stats as S
 from millrace.functions import tokenizers
 from millrace.functions.rng import seed_of
 from millrace.operators import attention, joins, probe, similarity, suite
-from millrace.plans import QUERIES
+from millrace.plans import QUERIES, measure
 from millrace.sources import scans
 
 rng = random.Random(7)
@@ -295,3 +295,19 @@ def test_attention_bounds_go_with_the_weights(spark):
     beside, within = attention.profile(weights, one(spark.range(3).selectExpr("id as w")), 2), attention.profile(one(weights), None, 2)
     assert sorted(map(str, beside.collect())) == sorted(map(str, within.collect()))
     assert "Join" not in within._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_rows_are_shuffled_a_few_times_whatever_is_sent(spark, sf, monkeypatch):
+    want = sorted(map(str, QUERIES["mdl11_window_rows"](spark, sf).collect()))
+    for module in (joins, measure):
+        monkeypatch.setattr(module, "FEW", 20, raising=False)
+    sent = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES["mdl11_window_rows"](spark, sf)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    # the words of targets, their sums, rows by their last word, both sides of the join
+    assert plan.count("Exchange hashpartitioning") <= 8
